@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.operators.scan import ordered_scan
+from cotejo.session import stage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -281,6 +282,24 @@ SELECT DISTINCT o_custkey % 16 AS doc_id, o_custkey * 16 AS seq,
        CAST(floor(o_custkey / 64) AS BIGINT) + 1 AS pagina_inicio
 FROM orders"""
 
+# The same months where odd documents were read without a single amount.
+RELATIONS["may_zero"] = f"""
+SELECT doc_id, seq, cuenta, orden, periodo,
+       CASE WHEN doc_id % 2 = 1 THEN CAST(0.00 AS {M}) ELSE cargos END AS cargos,
+       CASE WHEN doc_id % 2 = 1 THEN CAST(0.00 AS {M}) ELSE abonos END AS abonos,
+       CASE WHEN doc_id % 2 = 1 THEN NULL ELSE saldo END AS saldo,
+       CASE WHEN doc_id % 2 = 1 THEN NULL ELSE acum_cargos END AS acum_cargos,
+       CASE WHEN doc_id % 2 = 1 THEN NULL ELSE acum_abonos END AS acum_abonos
+FROM mayor_meses"""
+
+# Trial balances paired with the ledgers: the same account key written with a dash.
+RELATIONS["par_balanza"] = f"""
+SELECT doc_id, MIN(seq) AS seq, substr(cuenta, 1, 3) || '-' || substr(cuenta, 4) AS cuenta,
+       CAST(COALESCE(MAX(CASE WHEN orden = 12 THEN saldo END), 0) + CASE
+            WHEN MIN(seq) % 32 = 17 THEN 1.00 ELSE 0.00 END AS {M}) AS saldo_fin_deudor,
+       CAST(0.00 AS {M}) AS saldo_fin_acreedor
+FROM mayor_meses WHERE seq % 5 <> 0 OR orden < 12 GROUP BY doc_id, cuenta"""
+
 # ---------------------------------------------------------------- bank statement (C)
 RELATIONS["est_flow"] = f"""
 SELECT user_id % 8 AS doc_id, user_id, event_id, user_id * {EVENT_SPAN} + event_id AS seq,
@@ -411,6 +430,11 @@ def closure(names: list[str]) -> list[str]:
     return done
 
 
+# Typed tables that a corpus keeps stored: they are read several times per query.
+STORED = {"auxiliar", "est_movs", "mayor_meses", "words", "tsv"}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Corpus:
     """The relations over one data folder, built lazily as DataFrames."""
 
@@ -424,6 +448,11 @@ class Corpus:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in RELATIONS and name not in TABLES):
             raise AttributeError(name)
+        if name in STORED:
+            key = (self.spark.sparkContext.applicationId, self.folder, name)
+            if key not in _stored:
+                _stored[key] = stage(self._build(name))
+            return _stored[key]
         if name not in self._built:
             self._built[name] = self._build(name)
         return self._built[name]

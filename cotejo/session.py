@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_fallback: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", app: str = "cotejo") -> SparkSession:
@@ -25,10 +28,28 @@ def local_session(cores: str = "8", app: str = "cotejo") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for written stage tables.
+    """The shared folder for stage tables.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests)
-    is a fresh local folder used.
+    is one fresh local folder per session used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback[app]
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    Ordered scans read their input several times. A stage table cuts the lineage, so
+    upstream work is done once, later reads prune columns, and a lost executor re-reads
+    files instead of recomputing the chain.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,12 @@
 """Compare registered queries with their checking SQL: python tools/check.py [sf] [name-part ...]"""
 
+import functools
 import math
 import sys
 import time
 from decimal import Decimal
+
+print = functools.partial(print, flush=True)
 from pathlib import Path
 
 import duckdb
