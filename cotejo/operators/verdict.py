@@ -165,10 +165,10 @@ def enforce_contract(results: DataFrame) -> DataFrame:
     return results.withColumn("regla", checked)
 
 
-def coverage(results: DataFrame) -> DataFrame:
+def coverage(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document, how many rules and over how many cases."""
     e = F.col("estado")
-    agg = results.groupBy("doc_id").agg(
+    agg = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("reglas"),
         F.count_if(e == CUADRA).alias("cuadran"),
         F.count_if(e == FALLA).alias("fallan"),

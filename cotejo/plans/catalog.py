@@ -1,3 +1,4 @@
 """Importing this module registers every named query."""
 
-from cotejo.plans import queries_rules  # noqa: F401
+from cotejo.plans import queries_rules  # noqa: F401,I001
+from cotejo.plans import queries_products  # noqa: F401

@@ -391,7 +391,7 @@ view("cat_parts", """SELECT c.doc_id, c.seq, c.cuenta, k.m, k.hi, string_split(c
 query("A2_levels_and_parents", """
 SELECT doc_id, seq, cuenta, CAST(CASE WHEN m THEN greatest(nv, 1) ELSE len(s) END AS BIGINT) AS nivel,
   CASE WHEN m THEN CASE WHEN nv <= 1 THEN '' ELSE
-         rpad(left(left(cuenta, hi - 3), ancho), hi - 3, '0') || lpad(CAST(nv - 1 AS STRING), 3, '0') END
+         rpad(left(left(cuenta, hi - 3), ancho), CAST(hi - 3 AS INT), '0') || lpad(CAST(nv - 1 AS STRING), 3, '0') END
        WHEN len(s) <= 1 THEN '' WHEN len(s) = len(p) THEN array_to_string(p[1:len(s) - 1], '-')
        ELSE array_to_string(p[1:len(s) - 1], '-') || '-' ||
             regexp_replace(array_to_string(p[len(s):], '-'), '[^-]', '0', 'g') END AS cuenta_padre

@@ -159,8 +159,8 @@ SELECT nationkey, regionkey, CAST(SUM(inicial) AS {M}) AS inicial,
 FROM bal_leaf WHERE nationkey <> 13 GROUP BY nationkey, regionkey"""
 
 _RRR = "CAST(100 + regionkey AS STRING)"
-_NN = _pad("nationkey", 2)
-_CC = _pad("custkey", 6)
+_NN = _pad("nationkey + 1", 2)
+_CC = _pad("custkey + 1", 6)
 
 RELATIONS["bal_rows"] = f"""
 SELECT {_RRR} || '-' || {_NN} || '-' || {_CC} AS cuenta, 3 AS nivel,
@@ -404,6 +404,212 @@ SELECT doc_id, page, (linea + 1) * 8 + n AS pos, texto AS text,
        CAST(8.0 AS DOUBLE) AS size, linea <= 0 AS bold, 0 AS run
 FROM w_texts"""
 
+# ------------------------------------------------------------- formats and templates (T)
+RELATIONS["lecturas"] = """
+SELECT DISTINCT o_custkey % 16 AS doc_id, 't' || CAST(o_custkey % 4 AS STRING) AS tenant_id,
+       'f' || CAST((o_custkey % 16) % 6 AS STRING) AS huella, 'polizas' AS tipo,
+       'pdf_text' AS estrategia, 'diario' AS forma,
+       CASE WHEN (o_custkey % 16) % 3 = 0 THEN 'vocabulario' ELSE 'aritmetica' END AS verificado_por,
+       (o_custkey % 16) % 3 <> 0 AS orientacion_verificada,
+       CAST((o_custkey % 16) % 3 AS BIGINT) * 7 AS filas_afectadas,
+       3 + CAST(o_custkey % 2 AS INT) AS col_debe, 4 + CAST(o_custkey % 2 AS INT) AS col_haber
+FROM orders"""
+
+RELATIONS["plantillas"] = """
+SELECT tenant_id, huella, MIN(tipo) AS tipo, 'pdf_chars' AS estrategia, MIN(forma) AS forma,
+       MIN(verificado_por) AS verificado_por, CAST(MIN(filas_afectadas) AS BIGINT) AS filas_afectadas,
+       MIN(col_debe) + 2 AS col_debe, MIN(col_haber) + 2 AS col_haber,
+       huella = 'f0' AS pendiente, '' AS confirmada_por, '' AS confirmada_en
+FROM lecturas WHERE huella IN ('f0', 'f2', 'f4') GROUP BY tenant_id, huella"""
+
+# ------------------------------------------------- printed cells, labels and dates (F)
+# One amount in every notation, with the number it stands for.
+RELATIONS["montos"] = f"""
+SELECT o_orderkey AS k, CAST(o_totalprice AS {M}) AS v, o_orderkey % 10 AS forma,
+       CASE o_orderkey % 10
+         WHEN 0 THEN {_money_text('o_totalprice')}
+         WHEN 1 THEN '-' || {_money_text('o_totalprice')}
+         WHEN 2 THEN '$' || {_money_text('o_totalprice')}
+         WHEN 3 THEN '$ ' || {_money_text('o_totalprice')}
+         WHEN 4 THEN '(' || {_money_text('o_totalprice')} || ')'
+         WHEN 5 THEN {_money_text('o_totalprice')} || '-'
+         WHEN 6 THEN '  '
+         WHEN 7 THEN 'Totales'
+         WHEN 8 THEN '-$' || {_money_text('o_totalprice')} || ' '
+         ELSE '.' || CAST(10 + o_orderkey % 89 AS STRING) END AS texto
+FROM orders"""
+
+# Cells of every shape a table column can hold.
+RELATIONS["celdas_txt"] = f"""
+SELECT o_orderkey AS k, CASE o_orderkey % 18
+         WHEN 0 THEN {_dmy('o_orderdate')}
+         WHEN 1 THEN {_money_text('o_totalprice')}
+         WHEN 2 THEN '$' || {_money_text('o_totalprice')}
+         WHEN 3 THEN {_money_text('o_totalprice')} || '-'
+         WHEN 4 THEN CAST(o_orderkey AS STRING)
+         WHEN 5 THEN CAST(o_orderkey * 1000003 + 1000000000 AS STRING)
+         WHEN 6 THEN '101-' || {_pad('o_orderkey % 100', 2)}
+         WHEN 7 THEN CAST(o_orderkey % 1000 AS STRING) || '.' || {_pad('o_orderkey % 100', 2)}
+         WHEN 8 THEN '101.01.' || {_pad('o_orderkey % 100', 2)}
+         WHEN 9 THEN '012180' || {_pad('o_orderkey', 12)}
+         WHEN 10 THEN 'ABC' || {_pad('o_orderkey % 1000000', 6)} || 'XY1'
+         WHEN 11 THEN '0000abcd-00EF-' || {_pad('o_orderkey', 4)}
+         WHEN 12 THEN CAST(o_orderkey % 99 AS STRING) || '%'
+         WHEN 13 THEN {_pad('o_orderkey', 4)} || '-' || {_pad('o_custkey', 6)}
+         WHEN 14 THEN o_orderpriority
+         WHEN 15 THEN ' ' || {_money_text('o_totalprice')} || ' '
+         WHEN 16 THEN substr({_money_text('o_totalprice')}, 1, length({_money_text('o_totalprice')}) - 1)
+         ELSE '-' || CAST(CAST(o_totalprice AS {M}) AS STRING) END AS texto
+FROM orders"""
+
+_MMM = "upper(substr(CASE month(o_orderdate) " + " ".join(
+    f"WHEN {i} THEN '{n}'" for i, n in enumerate(_MONTHS, 1)) + " END, 1, 3))"
+RELATIONS["fechas"] = f"""
+SELECT o_orderkey AS k, o_orderkey % 7 AS forma, day(o_orderdate) AS d, month(o_orderdate) AS m,
+       year(o_orderdate) AS a, CASE o_orderkey % 7
+         WHEN 0 THEN CAST(day(o_orderdate) AS STRING)
+         WHEN 1 THEN CAST(day(o_orderdate) AS STRING) || '-' || {_MMM} || '-' || substr(CAST(year(o_orderdate) AS STRING), 3, 2)
+         WHEN 2 THEN CAST(day(o_orderdate) AS STRING) || '/' || {_MMM} || './' || CAST(year(o_orderdate) AS STRING)
+         WHEN 3 THEN CAST(day(o_orderdate) AS STRING) || ' ' || lower({_MMM})
+         WHEN 4 THEN {_MMM} || '-' || CAST(day(o_orderdate) AS STRING)
+         WHEN 5 THEN CAST(day(o_orderdate) AS STRING) || '-XYZ-20'
+         ELSE 'PAGO ' || {_MMM} END AS texto,
+       '01 ' || {_MMM} || ' ' || CAST(year(o_orderdate) AS STRING) AS ini,
+       CASE WHEN o_orderkey % 3 = 0 THEN '05 DIC 2099' ELSE '28 ' || {_MMM} || ' ' || CAST(year(o_orderdate) AS STRING) END AS fin,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS STRING) ELSE '' END AS anio
+FROM orders"""
+
+# Headers as documents print them.
+RELATIONS["rotulos"] = """
+SELECT c_custkey AS k, CASE c_custkey % 16
+         WHEN 0 THEN 'Saldo Inicial Deudor' WHEN 1 THEN 'SALDO FINAL ACREEDOR' WHEN 2 THEN 'No. Cuenta'
+         WHEN 3 THEN 'Descripción de la operación' WHEN 4 THEN 'F E C H A' WHEN 5 THEN 'Debe'
+         WHEN 6 THEN 'DEL MES *** * CREDITOS' WHEN 7 THEN 'Saldo final del periodo anterior'
+         WHEN 8 THEN 'Depósitos / Abonos (+)' WHEN 9 THEN 'SaldoInicial' WHEN 10 THEN 'Retiros'
+         WHEN 11 THEN 'Saldo al corte' WHEN 12 THEN 'Nombre de la cuenta' WHEN 13 THEN 'Naturaleza'
+         WHEN 14 THEN 'Referencia' ELSE c_mktsegment END AS etiqueta
+FROM customer"""
+
+# ----------------------------------------------------------------- vocabularies (V)
+def _values(rows: list[tuple]) -> str:
+    cells = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {cells})"
+
+
+# Roles of a trial balance with their synonyms, in claiming order.
+_CTA = ("no cuenta", "num cuenta", "numero de cuenta", "numero cuenta", "cuenta contable", "codigo", "cuenta")
+_NOM = ("nombre", "descripcion", "nombre de la cuenta", "concepto", "cuenta")
+_NAT = ("naturaleza", "nat")
+TRIAL_FORMS = {
+    "deudor_acreedor": (
+        ("cuenta", _CTA, True), ("naturaleza", _NAT, False), ("nombre", _NOM, True),
+        ("saldo_ini_deudor", ("saldo inicial deudor", "saldo anterior deudor"), True),
+        ("saldo_ini_acreedor", ("saldo inicial acreedor", "saldo anterior acreedor"), True),
+        ("debe", ("debe", "cargos"), True), ("haber", ("haber", "abonos", "creditos"), True),
+        ("saldo_fin_deudor", ("saldo final deudor", "saldo actual deudor"), True),
+        ("saldo_fin_acreedor", ("saldo final acreedor", "saldo actual acreedor"), True)),
+    "saldo_con_signo": (
+        ("cuenta", _CTA, True), ("naturaleza", _NAT, False), ("nombre", _NOM, True),
+        ("saldo_inicial", ("saldo anterior", "saldo inicial", "saldo previo"), True),
+        ("debe", ("cargos", "debe"), True), ("haber", ("creditos", "abonos", "haber"), True),
+        ("saldo_mes", ("saldo mes", "saldo del mes", "movimiento"), False),
+        ("saldo_final", ("saldo actual", "saldo final"), True)),
+}
+# Subledger fields, synonyms, required, expected cell shape.
+SUBLEDGER_FIELDS = (
+    ("fecha", ("fecha", "folio fecha", "numerofecha"), True, "fecha"),
+    ("folio", ("folio", "numero", "num", "no", "numerofecha", "folio fecha"), False, "entero"),
+    ("tipo_movimiento", ("tipo", "tipo de movimiento"), False, "texto"),
+    ("documento", ("documento", "referencia"), False, "texto"),
+    ("tercero", ("tercero", "beneficiario"), False, "texto"),
+    ("concepto", ("concepto", "concepto del movimiento", "descripcion"), False, "texto"),
+    ("debe", ("debe", "cargos", "cargo"), True, "monto"),
+    ("haber", ("haber", "abonos", "abono"), True, "monto"),
+    ("saldo", ("saldo", "saldos", "saldo final"), True, "monto"))
+# Statement table header, in priority order.
+STATEMENT_FIELDS = (
+    ("saldo", ("saldo",)), ("deposito", ("deposito", "abono")), ("retiro", ("retiro", "cargo")),
+    ("fecha", ("fecha", "dia")), ("referencia", ("referencia", "folio", "docto")),
+    ("descripcion", ("descripcion", "concepto", "establecimiento")))
+# Accounts header of a statement, in priority order.
+ACCOUNT_FIELDS = (
+    ("saldo_inicial", ("saldo anterior", "mes anterior", "saldo inicial")),
+    ("saldo_corte", ("saldo al corte", "mes actual", "saldo actual", "saldo final")),
+    ("clabe", ("clabe",)),
+    ("num_cuenta", ("no de cuenta", "numero de cuenta", "num de cuenta", "cuenta")),
+    ("producto", ("producto", "instrumento")))
+# How banks name the four balances, written tight, matched at the label end.
+BALANCE_FIELDS = (
+    ("saldo_inicial", ("saldoinicial", "saldoanterior", "balanceinicial", "saldoinicialdelperiodo",
+                       "saldoinicialdel", "saldodeliquidacioninicial", "saldodeoperacioninicial",
+                       "saldofinaldelperiodoanterior")),
+    ("saldo_corte", ("saldoalcorte", "saldofinal", "saldoactual", "saldofinaldel",
+                     "saldofinaldelacuenta", "saldototal")),
+    ("depositos", ("depositos", "deposito", "depsitos", "abonos", "abono", "totalabonos",
+                   "totaldedepositos", "depositosabonos")),
+    ("retiros", ("retiros", "retiro", "cargos", "cargo", "totalcargos", "totalderetiros",
+                 "retiroscargos")))
+
+RELATIONS["vocab_balanza"] = _values(
+    [(form, i, campo, int(req), s) for form, fields in TRIAL_FORMS.items()
+     for i, (campo, syn, req) in enumerate(fields) for s in syn]) + " AS v(forma, orden, campo, obligatorio, sinonimo)"
+RELATIONS["vocab_auxiliar"] = _values(
+    [(i, campo, int(req), forma, s) for i, (campo, syn, req, forma) in enumerate(SUBLEDGER_FIELDS)
+     for s in syn]) + " AS v(orden, campo, obligatorio, forma, sinonimo)"
+RELATIONS["vocab_tabla"] = _values(
+    [(i, campo, s) for i, (campo, syn) in enumerate(STATEMENT_FIELDS) for s in syn]) + " AS v(prioridad, campo, sinonimo)"
+RELATIONS["vocab_cuentas"] = _values(
+    [(i, campo, s) for i, (campo, syn) in enumerate(ACCOUNT_FIELDS) for s in syn]) + " AS v(prioridad, campo, sinonimo)"
+RELATIONS["vocab_saldos"] = _values(
+    [(campo, s) for campo, syn in BALANCE_FIELDS for s in syn]) + " AS v(campo, sinonimo)"
+
+# ------------------------------------------------------ damaged words (WD, WG, CH, X)
+RELATIONS["words_dup"] = """
+SELECT doc_id, page, pos * 4 + c AS pos, text, x0 + 0.03 * (c - 1) AS x0, x1 + 0.03 * (c - 1) AS x1,
+       top, bottom, size, bold, run
+FROM (SELECT *, {each_copy} AS c FROM words) w"""
+
+_EMMM = _MMM.replace("o_orderdate", "ts")
+_GLUE = (f"{_pad('day(ts)', 2)} || '-' || {_EMMM} || '-' || CASE WHEN floor(event_id / 50) % 5 = 4 AND event_id % 2 = 0 "
+         "THEN CAST(year(ts) AS STRING) ELSE substr(CAST(year(ts) AS STRING), 3, 2) END")
+RELATIONS["words_glued"] = f"""
+SELECT doc_id, page, pos, text, CAST(26.0 AS DOUBLE) AS x0,
+       CAST(26.0 + 3.11 * length(text) AS DOUBLE) AS x1, CAST(10.0 * (pos % 50) AS DOUBLE) AS top,
+       CAST(10.0 * (pos % 50) + 8 AS DOUBLE) AS bottom, CAST(8.0 AS DOUBLE) AS size, FALSE AS bold, 0 AS run
+FROM (SELECT user_id % 8 AS doc_id, CAST(floor(event_id / 50) AS BIGINT) AS page, event_id AS pos,
+       CASE event_id % 4 WHEN 0 THEN {_GLUE} || 'DEP.EFECTIVO' WHEN 1 THEN {_GLUE} || {_pad('event_id', 8)}
+         WHEN 2 THEN CASE WHEN user_id % 2 = 1 THEN {_GLUE} ELSE 'PAGO' END ELSE event_type END AS text
+      FROM events) g"""
+
+# Glyphs of whole texts: a page holds 1,000 of them, a run restarts every 37.
+RELATIONS["chars"] = """
+SELECT doc_id, CAST(floor((i - 1) / 1000) AS BIGINT) AS page, CAST(i AS BIGINT) AS pos, substr(text, CAST(i AS INT), 1) AS ch,
+       CAST(3.0 * ((i - 1) % 37) + CASE WHEN i % 11 = 0 THEN 1.5 ELSE 0.0 END AS DOUBLE) AS x0,
+       CAST(3.0 * ((i - 1) % 37) + 3.0 AS DOUBLE) AS x1,
+       CAST(10.0 * floor((i - 1) / 37) AS DOUBLE) AS top, CAST(10.0 * floor((i - 1) / 37) + 8.0 AS DOUBLE) AS bottom
+FROM (SELECT doc_id, text, {each_char} AS i FROM documents) c"""
+
+# Second reading of every page: boxes in pixels at 300 dpi.
+RELATIONS["tsv"] = """
+SELECT doc_id, page, pos, CAST(floor(x0 * 300 / 72) AS BIGINT) AS izquierda, CAST(floor(top * 300 / 72) AS BIGINT) AS arriba,
+       CAST(floor((x1 - x0) * 300 / 72) AS BIGINT) AS ancho, CAST(floor((bottom - top) * 300 / 72) AS BIGINT) AS alto,
+       100 - pos % 70 AS confianza,
+       CASE WHEN pos % 13 = 0 AND text LIKE '%.__' THEN substr(text, 1, length(text) - 1)
+            WHEN pos % 29 = 0 THEN '   ' ELSE text END AS texto
+FROM words"""
+RELATIONS["reread"] = """
+SELECT doc_id, page, pos, trim(texto) AS text, izquierda / CAST(300.0 / 72 AS DOUBLE) AS x0,
+       (izquierda + ancho) / CAST(300.0 / 72 AS DOUBLE) AS x1, arriba / CAST(300.0 / 72 AS DOUBLE) AS top,
+       (arriba + alto) / CAST(300.0 / 72 AS DOUBLE) AS bottom
+FROM tsv WHERE trim(texto) <> '' AND confianza >= 40"""
+# Words of which some came without a glyph map, some glued, some on top of another.
+RELATIONS["words_cid"] = """
+SELECT doc_id, page, pos, CASE WHEN doc_id % 8 = 7 OR pos % 197 = 0 THEN '(cid:12)(cid:7)'
+       WHEN doc_id % 8 = 3 AND pos % 53 = 5 THEN 'SERDAN-228,200.69' WHEN doc_id % 8 = 4 AND pos % 59 = 6 THEN
+       '1,185.22-227,015.47' ELSE text END AS text,
+       x0 - CASE WHEN doc_id % 8 = 5 AND pos % 8 = 5 THEN 60 ELSE 0 END AS x0, x1, top, bottom
+FROM words"""
+
 # -------------------------------------------------------------------- job log (J)
 RELATIONS["trabajos"] = """
 SELECT event_id AS id, 't' || CAST(user_id % 5 AS STRING) AS tenant,
@@ -413,6 +619,21 @@ SELECT event_id AS id, 't' || CAST(user_id % 5 AS STRING) AS tenant,
 FROM events"""
 
 
+# How each engine spells the row generators.
+_SPARK = {"{each_month}": "explode(sequence(1, 12))",
+          "{each_copy}": "explode(sequence(1, CAST(1 + doc_id % 3 AS INT)))",
+          "{each_char}": "explode(sequence(1, length(text)))"}
+_ANSI = {"{each_month}": "unnest(generate_series(1, 12))",
+         "{each_copy}": "unnest(generate_series(1, 1 + doc_id % 3))",
+         "{each_char}": "unnest(generate_series(1, length(text)))"}
+
+
+def _for_engine(text: str, spelling: dict[str, str]) -> str:
+    for token, words in spelling.items():
+        text = text.replace(token, words)
+    return text
+
+
 def closure(names: list[str]) -> list[str]:
     """The relations ``names`` need, dependencies first."""
     done: list[str] = []
@@ -471,7 +692,7 @@ class Corpus:
                                running={"_acum": F.col("deposito") - F.col("retiro")})
             return out.withColumn(
                 "cierto", (F.lit(2000).cast(M) + F.col("_acum")).cast(M)).drop("_acum")
-        text = RELATIONS[name].replace("{each_month}", "explode(sequence(1, 12))")
+        text = _for_engine(RELATIONS[name], _SPARK)
         deps = {d: getattr(self, d) for d in set(re.findall(r"[a-z_0-9]+", text))
                 if d != name and (d in RELATIONS or d in TABLES)
                 and re.search(rf"\b(FROM|JOIN)\s+{d}\b", text)}
@@ -483,6 +704,4 @@ class Corpus:
 
 def oracle_ctes(names: list[str]) -> str:
     """``name AS (...)`` items for the checking engine."""
-    return ",\n".join(
-        f"{n} AS ({RELATIONS[n]})".replace("{each_month}", "unnest(generate_series(1, 12))")
-        for n in closure(names))
+    return ",\n".join(f"{n} AS ({_for_engine(RELATIONS[n], _ANSI)})" for n in closure(names))
