@@ -110,22 +110,21 @@ def cell_shape(c: Column) -> Column:
             .when(s.rlike(RE_INTEGER_CELL), "entero").otherwise("texto"))
 
 
+def _lookup(key: Column, table: dict, default: Column) -> Column:
+    """A literal map, so the key is computed once however many entries there are."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+
+
 def month_number(c: Column) -> Column:
     """F8: month name to 1..12, 0 if it is not one."""
-    n = normalize(c)
-    out = F.lit(0)
-    for i, m in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when(n == m, i).otherwise(out)
-    return out
+    return _lookup(normalize(c), {m: i for i, m in enumerate(MONTHS, 1)}, F.lit(0))
 
 
 def month_code(c: Column) -> Column:
     """F8: abbreviation to '01'..'12', '' if unknown."""
-    n = F.substring(normalize(c), 1, 3)
-    out = F.lit("")
-    for i, m in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when(n == m[:3], f"{i:02d}").otherwise(out)
-    return out
+    return _lookup(F.substring(normalize(c), 1, 3),
+                   {m[:3]: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}, F.lit(""))
 
 
 def statement_date(c: Column, start: Column, end: Column, year: Column) -> Column:
@@ -300,8 +299,7 @@ def mask(c: Column, mode: str, salt: str = "sal", kept: Sequence[str] = KEPT_WOR
 def leaks(masked: Column) -> Column:
     """A masked token that still holds a digit other than 9."""
     s = F.trim(masked)
-    named = s.startswith("RFC") | s.startswith("UUID-") | s.startswith("CLB")
-    return s.rlike("[0-8]") & ~s.rlike(RE_KEPT_ACCOUNT) & ~named
+    return s.rlike("[0-8]") & ~s.rlike(rf"^(RFC|UUID-|CLB)|{RE_KEPT_ACCOUNT}")
 
 
 def reason_template(c: Column) -> Column:

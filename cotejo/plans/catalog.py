@@ -2,3 +2,4 @@
 
 from cotejo.plans import queries_rules  # noqa: F401,I001
 from cotejo.plans import queries_products  # noqa: F401
+from cotejo.plans import queries_text  # noqa: F401

@@ -598,9 +598,9 @@ SELECT doc_id, page, pos, CAST(floor(x0 * 300 / 72) AS BIGINT) AS izquierda, CAS
             WHEN pos % 29 = 0 THEN '   ' ELSE text END AS texto
 FROM words"""
 RELATIONS["reread"] = """
-SELECT doc_id, page, pos, trim(texto) AS text, izquierda / CAST(300.0 / 72 AS DOUBLE) AS x0,
-       (izquierda + ancho) / CAST(300.0 / 72 AS DOUBLE) AS x1, arriba / CAST(300.0 / 72 AS DOUBLE) AS top,
-       (arriba + alto) / CAST(300.0 / 72 AS DOUBLE) AS bottom
+SELECT doc_id, page, pos, trim(texto) AS text, CAST(izquierda * 0.24 AS DOUBLE) AS x0,
+       CAST((izquierda + ancho) * 0.24 AS DOUBLE) AS x1, CAST(arriba * 0.24 AS DOUBLE) AS top,
+       CAST((arriba + alto) * 0.24 AS DOUBLE) AS bottom
 FROM tsv WHERE trim(texto) <> '' AND confianza >= 40"""
 # Words of which some came without a glyph map, some glued, some on top of another.
 RELATIONS["words_cid"] = """

@@ -29,6 +29,6 @@ for name in RELATIONS:
         b = sorted(tuple(norm(v) for v in r) for r in cur.fetchall())
         print("ok  " if a == b else "DIFF", name, len(a), len(b))
         if a != b:
-            print([x for x in a if x not in set(b)][:2], [x for x in b if x not in set(a)][:2])
+            print(sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2])
     except Exception as e:  # noqa: BLE001
         print("ERR ", name, str(e)[:600])
