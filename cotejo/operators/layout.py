@@ -188,10 +188,14 @@ def header_lines(lined: DataFrame, regions: DataFrame) -> DataFrame:
     head = head.withColumn("_ok", (c("k") == c("nh")) | F.coalesce(tight, F.lit(False)))
     head = head.withColumn("_all", F.min(c("_ok").cast("int")).over(back)).filter("_all = 1")
     block = head.select(*LINE, F.lit(False).alias("solo_grupo"))
-    first = head.groupBy(*PAGE).agg(F.min("line").alias("_f"), F.min_by("ltop", "line").alias("_ft"),
-                                    F.max("lim").alias("lim"))
-    above = t.filter(c("dentro").isNotNull() | F.lit(True)).join(first, PAGE).filter(
-        (c("line") == c("_f") - 1) & (c("_ft") - c("ltop") <= c("lim")))
+    # The line above only serves for grouping; its limit comes from every line below the block.
+    ends = head.groupBy(*PAGE).agg(F.min("line").alias("_f"), F.max("line").alias("_e"),
+                                   F.min_by("ltop", "line").alias("_ft"))
+    below = t.join(ends, PAGE).filter(c("line") > c("_e"))
+    below = below.withColumn("_p", F.lead("ltop").over(w) - c("ltop"))
+    lim2 = below.groupBy(*PAGE).agg(F.when(F.count("_p") >= 2, F.percentile("_p", 0.5) * PITCH).alias("lim2"))
+    above = t.join(ends, PAGE).join(lim2, PAGE).filter(
+        (c("line") == c("_f") - 1) & (c("_ft") - c("ltop") <= c("lim2")))
     return block.unionByName(above.select(*LINE, F.lit(True).alias("solo_grupo")))
 
 

@@ -24,11 +24,13 @@ def role_candidates(columns: DataFrame, vocab: DataFrame) -> DataFrame:
                     F.split("campo", "/")[1].alias("campo")).join(F.broadcast(roles), ["forma", "campo"])
 
 
-def missing_roles(docs: DataFrame, cands: DataFrame, vocab: DataFrame) -> DataFrame:
-    """M4: the required roles without candidate, of the form that lacks fewest."""
-    need = vocab.filter("obligatorio = 1").select("forma", "orden", "campo").distinct()
-    forms = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("forma", "orden", "campo"), r)])
-                      for r in need.sort("forma", "orden").collect()])  # the fixed vocabulary
+def missing_roles(docs: DataFrame, cands: DataFrame, required: list[tuple[str, int, str]]) -> DataFrame:
+    """M4: the required roles without candidate, of the form that lacks fewest.
+
+    ``required`` is the fixed list of (form, order, role).
+    """
+    forms = F.array(*[F.struct(F.lit(a).alias("forma"), F.lit(b).alias("orden"), F.lit(r).alias("campo"))
+                      for a, b, r in required])
     every = docs.select("doc_id").distinct().select("doc_id", F.explode(forms).alias("r")).select("doc_id", "r.*")
     gone = every.join(cands.select("doc_id", "forma", "campo").distinct(), ["doc_id", "forma", "campo"], "left_anti")
     g = gone.groupBy("doc_id", "forma").agg(

@@ -25,7 +25,7 @@ def oracle(body: str) -> str:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for n in re.findall(r"[a-z_0-9]+", text):
+        for n in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text):
             if n in VIEWS and n not in order:
                 visit(VIEWS[n])
                 if n not in order:
