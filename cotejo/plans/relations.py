@@ -610,6 +610,142 @@ SELECT doc_id, page, pos, CASE WHEN doc_id % 8 = 7 OR pos % 197 = 0 THEN '(cid:1
        x0 - CASE WHEN doc_id % 8 = 5 AND pos % 8 = 5 THEN 60 ELSE 0 END AS x0, x1, top, bottom
 FROM words"""
 
+# ------------------------------------------------------- printed documents (R)
+def _signed_text(x: str) -> str:
+    return f"(CASE WHEN {x} < 0 THEN '-' || {_money_text('-(' + x + ')')} ELSE {_money_text(x)} END)"
+
+
+def _left(src: str, cols: str, text: str, x: float, pos: int, line: str, run: int = 1, where: str = "") -> str:
+    return (f"SELECT {cols}, {line} AS line, {pos} AS pos, {text} AS text, CAST({x} AS DOUBLE) AS x0, "
+            f"CAST({x} + 3.11 * length({text}) AS DOUBLE) AS x1, {run} AS run FROM {src}" + (f" WHERE {where}" if where else ""))
+
+
+def _right(src: str, cols: str, text: str, edge: float, pos: int, line: str, where: str = "") -> str:
+    return (f"SELECT {cols}, {line} AS line, {pos} AS pos, {text} AS text, CAST({edge} - 3.11 * length({text}) AS DOUBLE) AS x0, "
+            f"CAST({edge} AS DOUBLE) AS x1, 2 AS run FROM {src}" + (f" WHERE {where}" if where else ""))
+
+
+_U = " UNION ALL "
+# Journals: one page per entry; even documents label their blocks, odd ones open them by name.
+RELATIONS["pj_movs"] = """
+SELECT doc_id, poliza_id + 1 AS page, cuenta, nombre_cuenta, debe, haber, row_number() OVER (
+       PARTITION BY doc_id, poliza_id ORDER BY orden, cuenta, debe, haber) AS r FROM movimientos"""
+RELATIONS["pj_heads"] = "SELECT *, poliza_id + 1 AS page FROM polizas"
+RELATIONS["pj_cfdi"] = "SELECT *, seq + 1 AS page FROM cfdi WHERE doc_id % 2 = 0"
+_c = "doc_id, page"
+_even, _odd = "doc_id % 2 = 0", "doc_id % 2 = 1"
+_ml = "10 + 2 * r + CASE WHEN r % 5 = 0 THEN 1 ELSE 0 END"
+RELATIONS["pj_words"] = _U.join([
+    _left("pj_heads", _c, "'Tipo'", 20, 0, "0", 1, _even), _left("pj_heads", _c, "'de'", 45, 1, "0", 1, _even),
+    _left("pj_heads", _c, "'poliza:'", 60, 2, "0", 1, _even), _left("pj_heads", _c, "tipo", 130, 3, "0", 1, _even),
+    _left("pj_heads", _c, "'Fecha'", 20, 0, "1", 1, _even), _left("pj_heads", _c, "fecha", 130, 1, "1", 1, _even),
+    _left("pj_heads", _c, "'Descripción'", 20, 0, "2", 1, _even), _left("pj_heads", _c, "'FACT.'", 130, 1, "2", 1, _even),
+    _left("pj_heads", _c, "'FOLIO:'", 160, 2, "2", 1, _even), _left("pj_heads", _c, "folio", 200, 3, "2", 1, _even),
+    _left("pj_heads", _c, "tipo", 10, 0, "0", 1, _odd), _left("pj_heads", _c, "'cliente'", 60, 1, "0", 1, _odd),
+    _left("pj_heads", _c, "fecha", 200, 2, "0", 2, _odd),
+    _left("pj_movs", _c, "cuenta", 20, 0, "10 + 2 * r"), _left("pj_movs", _c, "nombre_cuenta", 60, 1, "10 + 2 * r"),
+    _left("pj_movs", _c, "'largo'", 60, 0, "11 + 2 * r", 1, "r % 5 = 0"),
+    _right("pj_movs", _c, _money_text("debe"), 400, 2, _ml, "debe <> 0"),
+    _right("pj_movs", _c, _money_text("haber"), 500, 3, _ml, "haber <> 0"),
+    _left("pj_heads", _c, "'Totales'", 20, 0, "1000000", 1, "completa AND total_debe IS NOT NULL"),
+    _right("pj_heads", _c, _money_text("total_debe"), 400, 1, "1000000", "completa AND total_debe IS NOT NULL"),
+    _right("pj_heads", _c, _money_text("total_haber"), 500, 2, "1000000", "completa AND total_debe IS NOT NULL"),
+    _left("pj_cfdi", _c, "'CFDI'", 20, 0, "1000001"), _left("pj_cfdi", _c, "fecha", 20, 0, "1000002"),
+    _left("pj_cfdi", _c, "CASE WHEN uuid = '' THEN 'Diario' ELSE documento END", 80, 1, "1000002"),
+    _left("pj_cfdi", _c, "uuid", 150, 2, "1000002", 1, "uuid <> ''"), _left("pj_cfdi", _c, "rfc", 300, 3, "1000002", 1, "uuid <> ''"),
+    _left("pj_cfdi", _c, "CASE WHEN uuid = '' THEN '(Manual)' ELSE tipo END", 400, 4, "1000002"),
+    _left("pj_cfdi", _c, "'ABCD-12'", 150, 0, "1000003", 1, "uuid <> '' AND seq % 4 < 2")])
+
+# General ledgers: one page per account.
+RELATIONS["pm_heads"] = "SELECT *, CAST(cuenta AS BIGINT) - 999999 AS page FROM mayor_base"
+RELATIONS["pm_months"] = "SELECT *, CAST(cuenta AS BIGINT) - 999999 AS page, orden + 1 AS ln FROM mayor_meses"
+RELATIONS["pm_words"] = _U.join([
+    _left("pm_heads", _c, "cuenta", 20, 0, "0"), _left("pm_heads", _c, "'BANCOS'", 90, 1, "0"),
+    _left("pm_heads", _c, "'Inicial'", 20, 0, "1", 1, "saldo_inicial IS NOT NULL"),
+    _right("pm_heads", _c, _money_text("saldo_inicial"), 120, 1, "1", "saldo_inicial IS NOT NULL"),
+    _left("pm_heads", _c, "'Acumulados'", 430, 2, "1", 1, "saldo_inicial IS NOT NULL"),
+    _left("pm_months", _c, "periodo", 20, 0, "ln"),
+    _right("pm_months", _c, _signed_text("cargos"), 201, 1, "ln"), _right("pm_months", _c, _signed_text("abonos"), 280, 2, "ln"),
+    _right("pm_months", _c, _signed_text("saldo"), 359, 3, "ln", "saldo IS NOT NULL"),
+    _right("pm_months", _c, _signed_text("acum_cargos"), 440, 4, "ln", "acum_cargos IS NOT NULL"),
+    _right("pm_months", _c, _signed_text("acum_abonos"), 520, 5, "ln", "acum_abonos IS NOT NULL")])
+
+# Subledgers: one page per account run; odd accounts open by label, even ones by a row.
+RELATIONS["pa_rows"] = f"""
+SELECT *, CAST(floor(seq / {EVENT_SPAN}) AS BIGINT) + 1 AS page,
+       CASE WHEN es_subtotal THEN {EVENT_SPAN - 100} ELSE CAST(folio AS BIGINT) * 4 + 10 END AS ln FROM auxiliar"""
+RELATIONS["pa_runs"] = "SELECT DISTINCT doc_id, page, cuenta, CAST(cuenta AS BIGINT) % 2 AS tipo FROM pa_rows"
+
+
+def _role(text: str, role: str) -> str:
+    return f"SELECT *, {role} AS rol FROM ({text}) q"
+
+
+_mv = "NOT es_subtotal"
+RELATIONS["pa_words"] = _U.join([
+    _role(_left("pa_runs", _c, "'Cuenta:'", 20, 0, "0", 1, "tipo = 1"), "''"),
+    _role(_left("pa_runs", _c, "cuenta || '~7CUENTA'", 70, 1, "0", 1, "tipo = 1"), "''"),
+    _role(_left("pa_runs", _c, "'larga'", 150, 2, "0", 1, "tipo = 1"), "''"),
+    _role(_left("pa_runs", _c, "'Saldo'", 20, 0, "1", 1, "tipo = 1"), "''"),
+    _role(_left("pa_runs", _c, "'Inicial:'", 50, 1, "1", 1, "tipo = 1"), "''"),
+    _role(_right("pa_runs", _c, "'1,000.00'", 500, 2, "1", "tipo = 1"), "'saldo'"),
+    _role(_left("pa_runs", _c, "cuenta", 20, 0, "0", 1, "tipo = 0"), "''"),
+    _role(_left("pa_runs", _c, "'BANORTE'", 70, 1, "0", 1, "tipo = 0"), "''"),
+    _role(_right("pa_runs", _c, "'1,000.00'", 500, 2, "0", "tipo = 0"), "'saldo'"),
+    _role(_left("pa_rows", _c, "folio", 20, 0, "ln", 1, _mv), "'folio'"),
+    _role(_left("pa_rows", _c, "fecha", 100, 1, "ln", 1, _mv), "'fecha'"),
+    _role(_left("pa_rows", _c, "documento", 200, 2, "ln", 1, _mv), "'documento'"),
+    _role(_left("pa_rows", _c, "concepto", 300, 3, "ln", 1, _mv), "'concepto'"),
+    _role(_left("pa_rows", _c, "'sigue'", 300, 0, "ln + 1", 1, "NOT es_subtotal AND ln % 28 < 4"), "'concepto'"),
+    _role(_left("pa_rows", _c, "'Total'", 20, 0, "ln", 1, "es_subtotal"), "''"),
+    _role(_right("pa_rows", _c, _signed_text("debe"), 400, 4, "ln"), "'debe'"),
+    _role(_right("pa_rows", _c, _signed_text("haber"), 450, 5, "ln"), "'haber'"),
+    _role(_right("pa_rows", _c, _signed_text("saldo"), 500, 6, "ln", "saldo IS NOT NULL"), "'saldo'")])
+
+# Trial balance cells: header repeated on every page, every ninth name goes on below.
+RELATIONS["pb_rows"] = """
+SELECT *, CAST(floor(seq / 1000000000000) AS BIGINT) AS page, (seq % 1000000000000) * 2 + 2 AS ln FROM balanza"""
+RELATIONS["pb_cells"] = _U.join(
+    ["SELECT DISTINCT doc_id, page, CAST(0 AS BIGINT) AS line, 0 AS idx, 'Cuenta' AS texto FROM pb_rows",
+     "SELECT doc_id, page, ln, 0, cuenta FROM pb_rows",
+     "SELECT doc_id, page, ln, 1, CASE WHEN es_acumulativa THEN nombre || ' Acum' ELSE nombre END FROM pb_rows",
+     "SELECT doc_id, page, ln + 1, 1, 'continuado' FROM pb_rows WHERE ln % 18 = 2"]
+    + [f"SELECT doc_id, page, ln, {i}, {_signed_text(m)} FROM pb_rows" for i, m in enumerate(
+        ("saldo_ini_deudor", "saldo_ini_acreedor", "debe", "haber", "saldo_fin_deudor", "saldo_fin_acreedor"), 2)]
+    + ["SELECT doc_id, 999999, CAST(1 AS BIGINT), 1, '734 Cuentas Totales:' FROM totales",
+       f"SELECT doc_id, 999999, CAST(1 AS BIGINT), 4, {_signed_text('debe')} FROM totales",
+       f"SELECT doc_id, 999999, CAST(1 AS BIGINT), 5, {_signed_text('haber')} FROM totales"])
+
+# Bank statements: identity, accounts table, then one page per account.
+RELATIONS["pe_acc"] = """
+SELECT doc_id, CAST(2 AS BIGINT) AS page, seq + 10 AS ln, seq + 10 AS own, CASE WHEN num_cuenta = '' THEN '' ELSE '5500' || num_cuenta END AS num,
+       'N' || CAST(seq AS STRING) AS nombre, saldo_inicial, saldo_corte FROM est_cuentas"""
+RELATIONS["pe_sec"] = "SELECT doc_id, own AS page, nombre FROM pe_acc"
+RELATIONS["pe_movs"] = f"""
+SELECT doc_id, CAST(floor(seq / {EVENT_SPAN}) AS BIGINT) + 10 AS page, (seq % {EVENT_SPAN}) * 4 + 10 AS ln, dia, descripcion, referencia,
+       deposito, retiro, saldo, seq FROM est_movs"""
+RELATIONS["pe_docs"] = "SELECT doc_id, CAST(1 AS BIGINT) AS page FROM est_meta"
+_I = [("0", ["'BANCA'", "'UNO,'", "'Institución'", "'de'", "'Banca'"]), ("1", ["'RFC:'", "'AAA010101AAA'"]),
+      ("2", ["'PERIODO'", "'DEL'", "'01'", "'ENE'", "'2024'", "'AL'", "'31'", "'ENE'", "'2024'"]),
+      ("3", ["'Moneda:'", "'NACIONAL'"]), ("4", ["'CUENTA'", "'CONECTA'", "'00112233-4'"]), ("5", ["'CLABE'", "'012180001234567890'"])]
+RELATIONS["pe_words"] = _U.join(
+    [_left("pe_docs", _c, w, 20 + 45 * i, i, ln) for ln, ws in _I for i, w in enumerate(ws)]
+    + [_left("pe_docs", _c, "'AV.'", 30, 9, "0", 2), _left("pe_docs", _c, "'REFORMA'", 70, 10, "0", 2)]
+    + [_left("pe_docs", "doc_id, CAST(2 AS BIGINT) AS page", w, x, i, "1") for i, (w, x) in enumerate(
+        [("'Producto'", 20), ("'Cuenta'", 150), ("'Saldo'", 245), ("'anterior'", 263), ("'Saldo'", 345), ("'al'", 363), ("'corte'", 372)])]
+    + [_left("pe_acc", _c, "'ENLACE'", 20, 0, "ln"), _left("pe_acc", _c, "nombre", 50, 1, "ln"), _left("pe_acc", _c, "num", 150, 2, "ln", 1, "num <> ''"),
+       _right("pe_acc", _c, _signed_text("saldo_inicial"), 290, 3, "ln"), _right("pe_acc", _c, _signed_text("saldo_corte"), 388, 4, "ln"),
+       _left("pe_docs", "doc_id, CAST(2 AS BIGINT) AS page", "'TOTAL'", 20, 0, "4000000000"),
+       _right("est_meta", "doc_id, CAST(2 AS BIGINT) AS page", _signed_text("total_saldo_inicial"), 290, 1, "4000000000", "total_saldo_inicial IS NOT NULL"),
+       _right("est_meta", "doc_id, CAST(2 AS BIGINT) AS page", _signed_text("total_saldo_corte"), 388, 2, "4000000000", "total_saldo_corte IS NOT NULL"),
+       _left("pe_sec", _c, "'ENLACE'", 20, 0, "0"), _left("pe_sec", _c, "nombre", 50, 1, "0")]
+    + [_left("pe_sec", _c, w, x, i, "1") for i, (w, x) in enumerate(
+        [("'Fecha'", 20), ("'Descripción'", 80), ("'Referencia'", 250), ("'Retiros'", 358), ("'Depósitos'", 422), ("'Saldo'", 504)])]
+    + [_left("pe_movs", _c, "dia || '-ENE'", 20, 0, "ln"), _left("pe_movs", _c, "descripcion", 80, 1, "ln"), _left("pe_movs", _c, "referencia", 245, 2, "ln"),
+       _left("pe_movs", _c, "'sigue'", 80, 0, "ln + 1", 1, "ln % 24 = 10"), _left("pe_movs", _c, "'pie'", 80, 0, "ln + 3", 1, "ln % 124 = 10"),
+       _right("pe_movs", _c, _signed_text("retiro"), 380, 3, "ln", "retiro <> 0"), _right("pe_movs", _c, _signed_text("deposito"), 450, 4, "ln", "deposito <> 0"),
+       _left("pe_movs", _c, "'-$'", 480, 5, "ln", 1, "saldo < 0"), _right("pe_movs", _c, _money_text("abs(saldo)"), 520, 6, "ln", "saldo IS NOT NULL")])
+
 # -------------------------------------------------------------------- job log (J)
 RELATIONS["trabajos"] = """
 SELECT event_id AS id, 't' || CAST(user_id % 5 AS STRING) AS tenant,
@@ -652,7 +788,8 @@ def closure(names: list[str]) -> list[str]:
 
 
 # Typed tables that a corpus keeps stored: they are read several times per query.
-STORED = {"auxiliar", "est_movs", "mayor_meses", "words", "tsv"}
+STORED = {"auxiliar", "est_movs", "mayor_meses", "words", "tsv", "pj_words", "pm_words", "pa_words",
+          "pb_cells", "pe_words"}
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
