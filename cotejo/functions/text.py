@@ -13,7 +13,6 @@ RE_NUMERIC = r"^[\d.,\-$()%/:]+$"
 RE_ACCOUNT_CELL = r"^\d{3,}(-\d+)*$"
 RE_DATE_CELL = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$"
 RE_DOTTED = r"^\d{1,6}(\.\d{1,6})+$"
-RE_DECIMAL = r"^(\d+(\.\d+)?|\.\d+)$"
 RE_INTEGER_CELL = r"^\d{1,8}$"
 RE_REREAD = r"^-?\d{1,3}(,\d{3})*\.\d{2}$"
 RE_LOOKS_AMOUNT = r"^-?[\d,]+\.\d{1,3}$"
@@ -51,24 +50,23 @@ ACCENTED, PLAIN = _accent_table()
 
 def parse_money(c: Column, strict: bool = False) -> Column:
     """text to DECIMAL(28,8). An empty cell is zero; anything else that is not an
-    amount is null, or fails the job when ``strict``."""
+    amount is null, or fails the job when ``strict``.
+
+    Parentheses, a leading or a trailing sign negate; each pattern is applied once so that
+    the expression stays inside one generated method.
+    """
     s = F.trim(c)
-    paren = s.startswith("(") & s.endswith(")")
-    inner = F.when(paren, F.substring(s, 2, 1_000_000)).otherwise(s)
-    inner = F.when(paren, F.regexp_replace(inner, r"\)$", "")).otherwise(inner)
-    body = F.trim(F.translate(inner, "$, ", ""))
-    lead, trail = body.startswith("-"), body.endswith("-")
-    digits = F.when(lead, F.regexp_replace(body, "^-", "")).when(
-        trail, F.regexp_replace(body, "-$", "")).otherwise(body)
-    ok = digits.rlike(RE_DECIMAL)
-    value = digits.try_cast("decimal(28,8)")
-    value = F.when(paren | lead | trail, -value).otherwise(value)
-    zero = F.lit(0).cast("decimal(28,8)")
-    bad = F.lit(None).cast("decimal(28,8)")
+    body = F.translate(F.regexp_replace(s, r"^\((.*)\)$", "$1"), "$, ", "")
+    digits = F.regexp_replace(body, "^-(.*)$|^(.*)-$", "$1$2")
+    sign = F.when(s.rlike(r"^\(.*\)$") | body.rlike("^-|-$"), "-").otherwise("")
+    kind = "decimal(28,8)"
+    # '' reads as zero: a prefixed 0 changes no number and completes '.50' and ''.
+    value = F.concat(sign, F.lit("0"), digits).try_cast(kind)
+    bad = F.lit(None).cast(kind)
     if strict:
-        bad = F.raise_error(F.concat(F.lit("not an amount: "), c)).cast("decimal(28,8)")
-    return (F.when(c.isNull(), F.lit(None).cast("decimal(28,8)"))
-            .when((s == "") | (digits == ""), zero).when(ok, value).otherwise(bad))
+        bad = F.raise_error(F.concat(F.lit("not an amount: "), c)).cast(kind)
+    return F.when(c.isNull(), F.lit(None).cast(kind)).when(
+        digits.rlike(r"^(\d+(\.\d+)?|\.\d+)?$"), value).otherwise(bad)
 
 
 def loses_scale(c: Column) -> Column:
@@ -302,6 +300,17 @@ def leaks(masked: Column) -> Column:
     return s.rlike("[0-8]") & ~s.rlike(rf"^(RFC|UUID-|CLB)|{RE_KEPT_ACCOUNT}")
 
 
+def audit_leaks(df: DataFrame, text: str, mode: str = "values", salt: str = "sal") -> DataFrame:
+    """D13 over a table of tokens: mask and keep what still shows a digit.
+
+    The masked text is exploded from a one-element array, so it is computed once and not
+    repeated inside the filter.
+    """
+    keep = [k for k in df.columns if k != text]
+    masked = df.select(*keep, F.explode(F.array(mask(F.col(text), mode, salt))).alias("m"))
+    return masked.filter(leaks(F.col("m")))
+
+
 def reason_template(c: Column) -> Column:
     """digits to N, a trailing list to an ellipsis."""
     plain = F.regexp_replace(c, r"\d[\d,\.]*", "N")

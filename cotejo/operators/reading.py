@@ -308,8 +308,9 @@ def debit_credit(am: Column) -> tuple[Column, Column]:
     zero = F.lit(0).cast(MONEY)
     left = F.abs(last["x1"] - c("izq")) <= F.abs(last["x1"] - c("der"))
     two = size >= 2
-    return (F.when(two, money_of(prev["text"])).when(left, money_of(last["text"])).otherwise(zero),
-            F.when(two, money_of(last["text"])).when(left, zero).otherwise(money_of(last["text"])))
+    debit = F.when(two, prev["text"]).when(left, last["text"])
+    credit = F.when(two | ~left, last["text"])
+    return F.coalesce(money_of(debit), zero), F.coalesce(money_of(credit), zero)
 
 
 def journal_moves(blocks: DataFrame) -> DataFrame:

@@ -45,13 +45,17 @@ def regions(t):
     return ly.table_region(lined(t), cands(t))
 
 
+@stored("heads")
+def heads_of(t):
+    return ly.header_lines(lined(t), regions(t))
+
+
 @stored("columns")
 def columns(t):
     """Labelled columns of every page, measured inside its region."""
     inside = ly.within_region(lined(t), regions(t))
     cols = ly.text_and_amounts(ly.candidates(inside))
-    heads = ly.header_lines(lined(t), regions(t))
-    return ly.assign_headers(ly.header_words(lined(t), heads), cols)
+    return ly.assign_headers(ly.header_words(lined(t), heads_of(t)), cols)
 
 
 def sample(t, n=3):
@@ -166,7 +170,7 @@ view("hd_t", """SELECT l.doc_id, l.page, l.line, l.ltop, k, nh, k = nh OR COALES
 view("hd", """SELECT doc_id, page, line, ltop FROM hd_t a WHERE NOT EXISTS (SELECT 1 FROM hd_t b WHERE b.doc_id = a.doc_id AND b.page = a.page
   AND b.line >= a.line AND NOT b.ok)""")
 query("L11_header_lines", "SELECT doc_id, page, line, FALSE AS solo_grupo FROM hd")(
-    lambda t: ly.header_lines(lined(t), regions(t)))
+    lambda t: heads_of(t))
 # Group labels: an invented banner above two labels of the header line, on some pages.
 view("hw_src", """SELECT doc_id, page, line, pos, text, x0, x1, top, ltop FROM lin
   UNION ALL SELECT doc_id, page, line - 1, 7, 'Acumulados', 320.0, 405.0, top - 9, ltop - 9 FROM lin WHERE text = 'Debe' AND page % 2 = 1""")
@@ -183,7 +187,7 @@ def _bannered(t):
 query("L12_grouped_headers", """
 SELECT w.doc_id, w.page, w.line, w.pos, CASE WHEN page % 2 = 1 AND text IN ('Debe', 'Haber') THEN 'Acumulados ' || text ELSE text END AS text
 FROM hw_src w WHERE text <> 'Acumulados' AND EXISTS (SELECT 1 FROM hd h WHERE h.doc_id = w.doc_id AND h.page = w.page AND h.line = w.line)""")(
-    lambda t: ly.header_words(_bannered(t), ly.header_lines(lined(t), regions(t))).select("doc_id", "page", "line", "pos", "text"))
+    lambda t: ly.header_words(_bannered(t), heads_of(t)).select("doc_id", "page", "line", "pos", "text"))
 view("cols0", union_sql("ci"))
 view("asg", """SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, page, line, pos ORDER BY d, w, idx) AS rn FROM (SELECT l.doc_id, l.page, l.line, l.pos, l.top, l.x0, l.text, k.idx,
   k.x_max - k.x_min AS w, CASE WHEN (l.x0 + l.x1) / 2 BETWEEN k.x_min - 6 AND k.x_max + 6 THEN 0.0 ELSE least(abs((l.x0 + l.x1) / 2 - k.x_min), abs((l.x0 + l.x1) / 2 - k.x_max)) END AS d

@@ -35,7 +35,7 @@ query("R10_R11_R13_journal_moves", f"""
 SELECT m.doc_id, {_PID} AS poliza_id, r AS orden, cuenta, CASE WHEN r % 5 = 0 THEN nombre_cuenta || ' largo' ELSE nombre_cuenta END AS nombre_cuenta,
   debe, haber, page AS pagina FROM pj_movs m JOIN pj_num p ON p.doc_id = m.doc_id AND p.poliza_id = m.page - 1""")(
     lambda t: rd.journal_moves(blocks(t)).drop("seq").withColumn("pagina", c("pagina").cast("bigint")))
-query("R12_journal_anchors", "SELECT DISTINCT doc_id, 400.0 AS izq, 500.0 AS der FROM polizas")(
+query("R12_journal_anchors", "SELECT DISTINCT doc_id, CAST(400 AS DOUBLE) AS izq, CAST(500 AS DOUBLE) AS der FROM polizas")(
     lambda t: rd.amount_anchors(blocks(t)).select("doc_id", F.round("izq", 3).alias("izq"), F.round("der", 3).alias("der")))
 query("R14_journal_cfdi", f"""
 SELECT c.doc_id, {_PID} AS poliza_id, c.fecha, documento, CASE WHEN uuid = '' THEN '' WHEN c.seq % 4 < 2 THEN uuid || 'ABCD-12' ELSE uuid END AS uuid,

@@ -206,7 +206,7 @@ SELECT c_custkey, 'CLI' || upper(left(sha256('sal|' || upper(c_name)), 8)) AS se
 query("D13_mask_leaks", r"""
 SELECT k, m FROM celda_masks WHERE regexp_matches(trim(m), '[0-8]') AND NOT regexp_full_match(trim(m), '\d{3}(-\d{1,6})*')
   AND NOT (m LIKE 'RFC%' OR m LIKE 'UUID-%' OR m LIKE 'CLB%')""")(
-    lambda t: t.celdas_txt.select("k", tx.mask(c("texto"), "values").alias("m")).filter(tx.leaks(c("m"))))
+    lambda t: tx.audit_leaks(t.celdas_txt.select("k", "texto"), "texto"))
 query("D13_unmasked_documents", r"""
 SELECT doc_id, COUNT(*) AS fugas FROM doc_tokens WHERE regexp_matches(trim(tok), '[0-8]')
   AND NOT regexp_full_match(trim(tok), '\d{3}(-\d{1,6})*') AND NOT regexp_matches(trim(tok), '^(RFC|UUID-|CLB)') GROUP BY doc_id""")(
