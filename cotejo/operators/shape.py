@@ -47,7 +47,7 @@ def top_discrepancies(disc: DataFrame, keys: Sequence[str] = ("doc_id",), k: int
     ``row_number <= k`` becomes a group limit before the shuffle.
     """
     f = F.col
-    w = Window.partitionBy(*keys).orderBy("n_regla", "indice", "fila", "subregla")
+    w = Window.partitionBy(*keys).orderBy("n_regla", "indice", "fila", "subregla", "esperado", "obtenido")
     top = disc.withColumn("lugar", F.row_number().over(w)).filter(f("lugar") <= k)
     total = disc.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_discrepancias"))
     numeric = f("esperado").isNotNull()

@@ -137,7 +137,7 @@ SELECT tipo, doc_id, lugar, fila, subregla AS regla, esperado IS NOT NULL AS num
   CASE WHEN esperado IS NULL THEN '' ELSE format('{:,.2f}', CAST(esperado AS DOUBLE)) END AS esperado,
   CASE WHEN esperado IS NULL THEN '' ELSE format('{:,.2f}', CAST(obtenido AS DOUBLE)) END AS obtenido,
   total AS total_discrepancias FROM (SELECT *, COUNT(*) OVER (PARTITION BY tipo, doc_id) AS total,
-  ROW_NUMBER() OVER (PARTITION BY tipo, doc_id ORDER BY n_regla, indice, fila, subregla) AS lugar
+  ROW_NUMBER() OVER (PARTITION BY tipo, doc_id ORDER BY n_regla, indice, fila, subregla, esperado NULLS FIRST, obtenido NULLS FIRST) AS lugar
   FROM zd) WHERE lugar <= 50""")(
     lambda t: sh.top_discrepancies(everything(t, "discrepancies"), ("tipo", "doc_id")))
 query("O5_rule_records", f"""

@@ -154,8 +154,8 @@ LEFT JOIN (SELECT o_custkey,
    FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"""
 
 RELATIONS["bal_nation"] = f"""
-SELECT nationkey, regionkey, CAST(SUM(inicial) AS {M}) AS inicial,
-       CAST(SUM(debe) AS {M}) AS debe, CAST(SUM(haber) AS {M}) AS haber
+SELECT nationkey, regionkey, CAST(SUM(inicial) AS {M}) AS inicial, CAST(SUM(debe) AS {M}) AS debe,
+       CAST(SUM(haber) + CASE WHEN nationkey = 17 THEN 5.00 ELSE 0.00 END AS {M}) AS haber
 FROM bal_leaf WHERE nationkey <> 13 GROUP BY nationkey, regionkey"""
 
 _RRR = "CAST(100 + regionkey AS STRING)"
@@ -582,12 +582,14 @@ FROM (SELECT user_id % 8 AS doc_id, CAST(floor(event_id / 50) AS BIGINT) AS page
       FROM events) g"""
 
 # Glyphs of whole texts: a page holds 1,000 of them, a run restarts every 37.
+RELATIONS["glyphs"] = """
+SELECT doc_id, i, substr(text, CAST(i AS INT), 1) AS ch FROM (SELECT doc_id, text, {each_char} AS i FROM documents) c"""
 RELATIONS["chars"] = """
-SELECT doc_id, CAST(floor((i - 1) / 1000) AS BIGINT) AS page, CAST(i AS BIGINT) AS pos, substr(text, CAST(i AS INT), 1) AS ch,
+SELECT doc_id, CAST(floor((i - 1) / 1000) AS BIGINT) AS page, CAST(i AS BIGINT) AS pos, ch,
        CAST(3.0 * ((i - 1) % 37) + CASE WHEN i % 11 = 0 THEN 1.5 ELSE 0.0 END AS DOUBLE) AS x0,
        CAST(3.0 * ((i - 1) % 37) + 3.0 AS DOUBLE) AS x1,
        CAST(10.0 * floor((i - 1) / 37) AS DOUBLE) AS top, CAST(10.0 * floor((i - 1) / 37) + 8.0 AS DOUBLE) AS bottom
-FROM (SELECT doc_id, text, {each_char} AS i FROM documents) c"""
+FROM glyphs"""
 
 # Second reading of every page: boxes in pixels at 300 dpi.
 RELATIONS["tsv"] = """
@@ -757,8 +759,7 @@ FROM events"""
 
 # How each engine spells the row generators.
 _SPARK = {"{each_month}": "explode(sequence(1, 12))",
-          "{each_copy}": "explode(sequence(1, CAST(1 + doc_id % 3 AS INT)))",
-          "{each_char}": "explode(sequence(1, length(text)))"}
+          "{each_copy}": "explode(sequence(1, CAST(1 + doc_id % 3 AS INT)))"}
 _ANSI = {"{each_month}": "unnest(generate_series(1, 12))",
          "{each_copy}": "unnest(generate_series(1, 1 + doc_id % 3))",
          "{each_char}": "unnest(generate_series(1, length(text)))"}
@@ -829,6 +830,10 @@ class Corpus:
                                running={"_acum": F.col("deposito") - F.col("retiro")})
             return out.withColumn(
                 "cierto", (F.lit(2000).cast(M) + F.col("_acum")).cast(M)).drop("_acum")
+        if name == "glyphs":  # one pass over each text; substr per position would be quadratic
+            return self.documents.select(
+                "doc_id", F.posexplode(F.split("text", "")).alias("p", "ch")).select(
+                "doc_id", (F.col("p") + 1).alias("i"), "ch")
         text = _for_engine(RELATIONS[name], _SPARK)
         deps = {d: getattr(self, d) for d in set(re.findall(r"[a-z_0-9]+", text))
                 if d != name and (d in RELATIONS or d in TABLES)
