@@ -277,20 +277,29 @@ def pseudonym(c: Column, prefix: str, n: int, salt: str) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, n)))
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÜÑ"
+_SHAPE_FROM = "0123456789" + _UPPER + _UPPER.lower()
+_SHAPE_TO = "9" * 10 + "X" * len(_UPPER) + "x" * len(_UPPER)
+
+
 def mask(c: Column, mode: str, salt: str = "sal", kept: Sequence[str] = KEPT_WORDS) -> Column:
-    """keep the shape, hide the value. Modes: none, values, all."""
+    """keep the shape, hide the value. Modes: none, values, all.
+
+    One translation hides letters and digits (for a numeric token that is digits to 9). Plain
+    words, the bulk of any text, are told apart first and skip the identifier patterns.
+    """
     if mode == "none":
         return c
     s = F.trim(c)
-    hidden = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        c, "[0-9]", "9"), "[A-ZÁÉÍÓÚÜÑ]", "X"), "[a-záéíóúüñ]", "x")
-    out = (F.when(s.rlike(_MASK_RFC), pseudonym(s, "RFC", 9, salt))
-           .when(s.rlike(_MASK_UUID), pseudonym(s, "UUID-", 12, salt))
-           .when(s.rlike(_MASK_CLABE), pseudonym(s, "CLB", 14, salt))
-           .when(s.rlike(RE_NUMERIC), F.regexp_replace(c, "[0-9]", "9")).otherwise(hidden))
+    hidden = F.translate(c, _SHAPE_FROM, _SHAPE_TO)
+    ident = (F.when(s.rlike(_MASK_RFC), pseudonym(s, "RFC", 9, salt))
+             .when(s.rlike(_MASK_UUID), pseudonym(s, "UUID-", 12, salt))
+             .when(s.rlike(_MASK_CLABE), pseudonym(s, "CLB", 14, salt)))
+    if mode == "values":
+        ident = F.when(s.rlike(RE_KEPT_ACCOUNT), c).otherwise(ident)
+    out = F.coalesce(F.when(s.rlike("[0-9-]"), ident), hidden)
     if mode == "values":
-        word = F.btrim(F.lower(s), F.lit(".:,()"))
-        out = F.when(word.isin(*kept) | s.rlike(RE_KEPT_ACCOUNT), c).otherwise(out)
+        out = F.when(F.btrim(F.lower(s), F.lit(".:,()")).isin(*kept), c).otherwise(out)
     return F.when(s == "", c).otherwise(out)
 
 

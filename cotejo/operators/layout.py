@@ -29,7 +29,7 @@ def ordered_text(order: list[str], text: str = "text", sep: str = " ") -> Column
 
 # --- L1, L2 -----------------------------------------------------------------------------
 def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
-    """L1: words plus line number and line box, by vertical overlap.
+    """L1: words plus line number, line box and ``abre_linea`` (first of its line).
 
     A word opens a line when its centre is below everything seen so far on the page. This
     differs from a three-line look-back only when a tall word keeps an older line open.
@@ -40,7 +40,9 @@ def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
     j = words.withColumn("_o", F.when(opens, 1).otherwise(0))
     j = j.withColumn("line", (F.sum("_o").over(w) - 1).cast("bigint")).drop("_o")
     box = Window.partitionBy(*LINE)
-    return j.withColumn("ltop", F.min("top").over(box)).withColumn("lbottom", F.max("bottom").over(box))
+    first = F.min(F.struct("x0", "pos")).over(box)
+    return j.withColumn("ltop", F.min("top").over(box)).withColumn("lbottom", F.max("bottom").over(box)).withColumn(
+        "abre_linea", first["pos"] == c("pos"))
 
 
 def clusters(df: DataFrame, keys: list[str], value: str, tol: float, name: str = "grupo") -> DataFrame:
@@ -54,8 +56,7 @@ def clusters(df: DataFrame, keys: list[str], value: str, tol: float, name: str =
 # --- L3-L8: columns -----------------------------------------------------------------------
 def account_zone(lined: DataFrame, tol: float = TOL) -> DataFrame:
     """L3: where the lines of a page open, if at least five open at the same place."""
-    first = lined.groupBy(*LINE).agg(F.min_by(F.struct("x0", "x1"), F.struct("x0", "pos")).alias("w"))
-    first = clusters(first.select(*PAGE, "w.*"), PAGE, "x0", tol)
+    first = clusters(lined.filter("abre_linea").select(*PAGE, "x0", "x1"), PAGE, "x0", tol)
     best = first.groupBy(*PAGE, "grupo").agg(
         F.count(F.lit(1)).alias("n"), F.min("x0").alias("lo"), F.max("x0").alias("hi"))
     best = best.filter(c("n") >= MIN_ZONE).groupBy(*PAGE).agg(
@@ -73,9 +74,11 @@ def candidates(lined: DataFrame, tol: float = TOL, support: int = MIN_SUPPORT) -
     j = j.select(*PAGE, "x0", "x1", F.when(amount, "right").otherwise("left").alias("align"))
     j = j.withColumn("edge", F.when(c("align") == "right", c("x1")).otherwise(c("x0")))
     key = [*PAGE, "align"]
+    # Aligned words share their edge, so counting edges first leaves a few rows per page.
+    j = j.groupBy(*key, "edge").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     g = clusters(j, key, "edge", tol)
     peaks = g.groupBy(*key, "grupo").agg(
-        F.count(F.lit(1)).alias("support"), F.round(F.avg("edge"), 6).alias("anchor")
+        F.sum("n").alias("support"), F.round(F.sum(c("edge") * c("n")) / F.sum("n"), 6).alias("anchor")
     ).filter(c("support") >= support)
     m = peaks.join(j, key).filter(F.abs(c("edge") - c("anchor")) <= tol * 2)
     found = m.groupBy(*key, "grupo", "support", "anchor").agg(

@@ -32,14 +32,14 @@ _COPY = ("text", "_kx", "_kt")
 def deduplicate(words: DataFrame) -> DataFrame:
     """K1: one copy of each repeated token, its first appearance.
 
-    Only the smallest position of a key is needed, so it is an aggregate (combined before
-    the shuffle) and not a ranking.
+    One shuffle by page and one sort: a token is kept when the one sorted before it differs.
     """
     keyed = words.withColumn("_kx", _tenth("x0")).withColumn("_kt", _tenth("top"))
-    rest = [c for c in words.columns if c not in (*PAGE, "text", "pos")]
-    g = keyed.groupBy(*PAGE, *_COPY).agg(
-        F.min("pos").alias("pos"), F.min_by(F.struct(*rest), "pos").alias("_w"))
-    return g.select(*[F.col(f"_w.{c}").alias(c) if c in rest else F.col(c) for c in words.columns])
+    w = Window.partitionBy(*PAGE).orderBy(*_COPY, "pos")
+    same = F.lit(True)
+    for k in _COPY:
+        same = same & (F.lag(k).over(w) == F.col(k))
+    return keyed.withColumn("_same", F.coalesce(same, F.lit(False))).filter(~F.col("_same")).select(*words.columns)
 
 
 def repetition(words: DataFrame) -> DataFrame:
