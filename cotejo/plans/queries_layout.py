@@ -241,8 +241,11 @@ SELECT doc_id, idx, CASE WHEN nt = 1 OR pv IS NULL THEN '-Infinity' ELSE CAST(ro
 view("lab_g", """SELECT *, SUM(CASE WHEN d > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY x0, pos) AS g FROM
   (SELECT *, x0 - LAG(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0, pos) AS d FROM lin)""")
 view("lab", """SELECT doc_id, page, line, CAST(g AS BIGINT) AS n_etiqueta, string_agg(text, ' ' ORDER BY x0, pos) AS etiqueta, MIN(x0) AS x_min, MAX(x1) AS x_max FROM lab_g GROUP BY ALL""")
-query("L20_labels", "SELECT * FROM lab WHERE line < 5")(
-    lambda t: ly.labels(lined(t).filter("line < 5")))
+query("L20_labels", """SELECT doc_id, page, COUNT(*) AS n, MIN(etiqueta) AS menor, MAX(etiqueta) AS mayor, CAST(round(SUM(x_min + x_max), 3) AS DOUBLE) AS x
+FROM lab GROUP BY doc_id, page""")(
+    lambda t: ly.labels(lined(t)).groupBy("doc_id", "page").agg(
+        F.count(F.lit(1)).alias("n"), F.min("etiqueta").alias("menor"), F.max("etiqueta").alias("mayor"),
+        F.round(F.sum(c("x_min") + c("x_max")), 3).alias("x")))
 # Statement headers: the printed header speaks bank vocabulary on even documents.
 _SWAP = {"Cuenta": "Fecha", "Nombre": "Concepto", "Debe": "Retiro", "Haber": "Deposito", "Inicial": "Liquidacion", "Final": "Operacion"}
 view("ban", "SELECT doc_id, page, line, pos, x0, x1, top, bottom, ltop, lbottom, CASE WHEN doc_id % 2 = 0 THEN CASE text " + " ".join(

@@ -43,8 +43,9 @@ SELECT c.doc_id, {_PID} AS poliza_id, c.fecha, documento, CASE WHEN uuid = '' TH
 FROM cfdi c JOIN pj_num p ON p.doc_id = c.doc_id AND p.poliza_id = c.seq WHERE c.doc_id % 2 = 0""")(
     lambda t: rd.journal_cfdi(blocks(t)).drop("seq"))
 query("R15_main_run", """
-SELECT doc_id, poliza_id + 1 AS page, tipo || ' cliente' AS texto FROM polizas WHERE doc_id % 2 = 1""")(
-    lambda t: rd.pack_lines(t.pj_words).filter("line = 0 AND doc_id % 2 = 1").select(
+SELECT doc_id, poliza_id + 1 AS page, CASE WHEN doc_id % 2 = 1 THEN tipo || ' cliente' ELSE 'Tipo de poliza: ' || tipo END AS texto
+FROM polizas""")(
+    lambda t: rd.pack_lines(t.pj_words).filter("line = 0").select(
         "doc_id", "page", rd.main_run_text(F.lit(125.0)).alias("texto")))
 
 # ------------------------------------------------------------------- general ledgers
@@ -250,7 +251,6 @@ WHERE NOT (deposito = 0 AND retiro = 0 AND descripcion = 'SALDO ANTERIOR')""")(
 query("R28_without_openings", """
 SELECT doc_id, seq FROM est_movs WHERE NOT (deposito = 0 AND retiro = 0 AND descripcion = 'SALDO ANTERIOR')""")(
     lambda t: bk.without_openings(t.est_movs).select("doc_id", "seq"))
-view("r29_movs", "SELECT * FROM est_movs WHERE doc_id < 3")
 query("R29_report_kind", """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'sin_movimientos' ELSE 'no_identificado' END AS clave FROM est_cuentas WHERE doc_id >= 3 GROUP BY doc_id""")(
     lambda t: bk.report_kind(

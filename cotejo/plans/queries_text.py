@@ -346,11 +346,12 @@ p AS (SELECT doc_id, page, run, gr, string_agg(ch, '' ORDER BY pos) AS text, MIN
 SELECT doc_id, page, COUNT(*) AS n, CAST(SUM(pos) AS BIGINT) AS pos, CAST(round(SUM(x0), 3) AS DOUBLE) AS x0, MIN(md5(text)) AS menor, MAX(md5(text)) AS mayor FROM p GROUP BY ALL""")(
     lambda t: page_digest(tk.glyph_words(t.chars).withColumn("text", F.md5("text"))))
 query("K7_split_amounts", r"""
-u AS (SELECT k, forma, CASE k % 4 WHEN 0 THEN 'SERDAN-' || texto WHEN 1 THEN texto || '-1,234.50' WHEN 2 THEN texto || 'X' ELSE texto END AS g, texto FROM montos WHERE forma = 0)
-SELECT k, CAST(0 AS BIGINT) AS parte, CASE k % 4 WHEN 0 THEN 'SERDAN' WHEN 1 THEN texto ELSE g END AS text FROM u
-UNION ALL SELECT k, 1, CASE k % 4 WHEN 0 THEN '-' || texto ELSE '-1,234.50' END FROM u WHERE k % 4 < 2""")(
-    lambda t: tk.split_amounts(t.montos.filter("forma = 0").select("k", F.when(c("k") % 4 == 0, F.concat(F.lit("SERDAN-"), "texto")).when(
-        c("k") % 4 == 1, F.concat("texto", F.lit("-1,234.50"))).when(c("k") % 4 == 2, F.concat("texto", F.lit("X"))).otherwise(c("texto")).alias("text")))
+u AS (SELECT k, format('{:,.2f}', CAST(v AS DOUBLE)) AS a FROM montos)
+SELECT k, CAST(0 AS BIGINT) AS parte, CASE k % 4 WHEN 0 THEN 'SERDAN' WHEN 2 THEN a || 'X' ELSE a END AS text FROM u
+UNION ALL SELECT k, 1, CASE k % 4 WHEN 0 THEN '-' || a ELSE '-1,234.50' END FROM u WHERE k % 4 < 2""")(
+    lambda t: tk.split_amounts(t.montos.withColumn("a", F.format_number("v", 2)).select(
+        "k", F.when(c("k") % 4 == 0, F.concat(F.lit("SERDAN-"), "a")).when(c("k") % 4 == 1, F.concat("a", F.lit("-1,234.50")))
+        .when(c("k") % 4 == 2, F.concat("a", F.lit("X"))).otherwise(c("a")).alias("text")))
     .select("k", c("parte").cast("bigint").alias("parte"), "text"))
 query("K8_cid_fraction", "SELECT doc_id, AVG(CASE WHEN strpos(text, '(cid:') > 0 THEN 1.0 ELSE 0.0 END) AS fraccion FROM words_cid GROUP BY doc_id")(
     lambda t: tk.cid_fraction(t.words_cid))
