@@ -37,3 +37,37 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+
+
+class Memory:
+    """A bounded memory of results by word, kept by a worker process from task to task.
+
+    Two generations: when the young one is full it becomes the old one, and words found in the
+    old one move back, so frequent words stay.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words without a result, once the remembered ones are in ``young``."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        lost = []
+        for w in words.difference(self.young):
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                lost.append(w)
+        return lost
+
+
+def kept(key: tuple, make):
+    """What this worker process keeps under ``key``; made by the first task that asks."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import open_fs, shared_folder, whole_text
+from cotejo.llm.common import Memory, kept, open_fs, shared_folder, whole_text
 from cotejo.session import stage
 
 MAGIC = b"PFORIDS1"
 BLOCK = 4096
 LADDER = (0.80, 0.90, 0.95, 0.99, 1.0)
-HEAD = struct.Struct("<IHBH")
-TRAILER = struct.Struct("<QIQ8s")
+HEAD = "<IHBH"
+TRAILER = "<QIQ8s"
 SHARD_SCHEMA = "path string, first_doc long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -83,14 +83,14 @@ def encode_blocks(ids: np.ndarray, ladder: tuple[float, ...] = LADDER) -> list[b
         packed = pack(delta[mine] & mask, int(w)) if w else np.zeros((len(mine), 0), np.uint8)
         for k, r in enumerate(mine):
             odd = np.flatnonzero(delta[r] > mask)
-            out[r] = (HEAD.pack(int(low[r]), n - 1, int(w), len(odd)) + packed[k].tobytes()
+            out[r] = (struct.pack(HEAD, int(low[r]), n - 1, int(w), len(odd)) + packed[k].tobytes()
                       + odd.astype("<u2").tobytes() + delta[r, odd].astype("<u4").tobytes())
     return out
 
 
 def decode_block(data: bytes) -> np.ndarray:
-    low, last, width, odd = HEAD.unpack_from(data)
-    n, at = last + 1, HEAD.size
+    low, last, width, odd = struct.unpack_from(HEAD, data)
+    n, at = last + 1, struct.calcsize(HEAD)
     size = (n * width + 7) // 8
     values = unpack(data[at:at + size], n, width) if width else np.zeros(n, np.uint32)
     if odd:
@@ -147,20 +147,20 @@ class ShardWriter:
                        + np.array([d or 0 for d in ids], "<i8").tobytes()
                        + np.array([d is None for d in ids], "u1").tobytes()
                        + np.array([n for _, n in self.docs], "<u8").tobytes())
-        self.out.write(TRAILER.pack(self.at, len(self.starts), len(self.docs), MAGIC))
-        return self.at + 8 * len(self.starts) + 17 * len(self.docs) + TRAILER.size
+        self.out.write(struct.pack(TRAILER, self.at, len(self.starts), len(self.docs), MAGIC))
+        return self.at + 8 * len(self.starts) + 17 * len(self.docs) + struct.calcsize(TRAILER)
 
 
 class ShardReader:
     """Reads a shard by seeking: the index first, then one block at a time."""
 
     def __init__(self, source, size: int):
-        source.seek(size - TRAILER.size)
-        self.end, blocks, docs, magic = TRAILER.unpack(source.read(TRAILER.size))
+        source.seek(size - struct.calcsize(TRAILER))
+        self.end, blocks, docs, magic = struct.unpack(TRAILER, source.read(struct.calcsize(TRAILER)))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         source.seek(self.end)
-        foot = source.read(size - TRAILER.size - self.end)
+        foot = source.read(size - struct.calcsize(TRAILER) - self.end)
         self.source = source
         self.starts = np.frombuffer(foot, "<u8", blocks)
         self.ids = np.frombuffer(foot, "<i8", docs, 8 * blocks)
@@ -192,9 +192,9 @@ class ShardReader:
 
 # --- encoding -----------------------------------------------------------------------------
 
-#: A single space between two characters that are not white space always starts a new
-#: pre-token of the byte-level pattern, so texts split there encode piece by piece.
-SPLIT = re.compile(r"(?<=\S) (?=\S)")
+#: The byte-level pattern never joins a character other than white space to a space after it,
+#: so a text may be cut before any space that stands alone, or that a word follows.
+SPLIT = re.compile(r" (?=\S)")
 
 
 class PieceEncoder:
@@ -203,36 +203,33 @@ class PieceEncoder:
     Texts that contain the string of an added token go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(limit)  # by word, for the word after a space
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = []
+        cut: list[list[str]] = []
         for t in texts:
             if any(a in t for a in self.added):
-                cut.append(None)
+                cut.append([t])
             else:
-                head, *rest = SPLIT.split(t)
-                cut.append([head, *(" " + w for w in rest)])
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in cut if ws for w in ws if w not in known})
+                cut.append(SPLIT.split(t) if "  " in t else t.split(" "))
+        heads = self._ids([ws[0] for ws in cut])
+        new = self.known.missing(set().union(*(ws[1:] for ws in cut)))
         for k in range(0, len(new), 4096):
-            known.update(zip(new[k:k + 4096], self._ids(new[k:k + 4096]), strict=True))
-        look = known.__getitem__
-        return [np.frombuffer(self._ids([t])[0] if ws is None else b"".join(map(look, ws)), "<u4")
-                for t, ws in zip(texts, cut, strict=True)]
+            part = new[k:k + 4096]
+            self.known.young.update(zip(part, self._ids([" " + w for w in part]), strict=True))
+        look = self.known.young.__getitem__
+        return [np.frombuffer(b"".join([head, *map(look, ws[1:])]), "<u4")
+                for head, ws in zip(heads, cut, strict=True)]
 
 
 def small_batches(batch: pa.RecordBatch, names: list[str], most: int = 256):
@@ -262,7 +259,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = Non
                 if writer is None:
                     fs, base = open_fs(folder)
                     name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfor"
-                    encoder, out = PieceEncoder(tokenizer), fs.open_output_stream(f"{base}/{name}")
+                    encoder = kept(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))
+                    out = fs.open_output_stream(f"{base}/{name}")
                     writer, first = ShardWriter(out, block, ladder), ids[0]
                 for doc, found in zip(ids, encoder.batch(texts), strict=True):
                     writer.add(doc, np.concatenate([found, end]))
