@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 from cotejo.llm.common import table
 
@@ -30,3 +30,30 @@ def op1_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return read_token_shards(write_token_shards(table(spark, folder, "documents"), path))
+
+
+@query("op2_bag_minhash")
+def op2_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.bag_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, folder, "documents"))
+
+
+@query("op3_ordinal_quality")
+def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.ordinal_quality import score_quality, train_quality
+
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, folder, "labels")))
+    return scored.withColumn("selected", F.col("tail_probability") >= 0.5)
+
+
+@query("op5_toxicity_mil")
+def op5_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.toxicity_mil import score_toxicity, train_toxicity
+
+    docs = table(spark, folder, "documents")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, folder, "labels")))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted",
+                         "sentences", "worst_start", "worst_end", "worst_score")
