@@ -308,5 +308,6 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
         columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = placed.select("path", "base").repartition(F.col("path"))
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few, their files are not
+    spread = placed.select("path", "base").repartition(tasks, "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
