@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import whole_text
+from cotejo.llm.common import Memory, kept, whole_text
 from cotejo.llm.sampling import fit_in_one_task, labelled_sample
 from cotejo.llm.toxicity_mil import sigmoid
 
@@ -141,30 +141,46 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     return fit_in_one_task(features, lambda t: fit_ordinal(t, dim))
 
 
+class Scorer:
+    """Expected grades and tail probabilities under a model; keeps word scores up to a bound."""
+
+    def __init__(self, model: bytes, at_least: float | None = None, dim: int = DIM):
+        self.grades, self.theta, self.weights = unpack_model(model)
+        self.features, self.worth = Features(dim), Memory(300_000)
+        known = len(self.grades) > 0
+        self.cut = int(np.searchsorted(self.grades, self.grades[-1] if at_least is None else at_least)) if known else 0
+
+    def score(self, text: str) -> tuple[float, float]:
+        if not len(self.grades):
+            return 0.0, 1.0
+        words, own = self.features.text(text)
+        for w in self.worth.missing(set(words)):
+            self.worth.young[w] = float(self.weights[self.features.word(w)].mean())
+        s = sum(map(self.worth.young.__getitem__, words)) / max(1, len(words)) + 0.25 * float(self.weights[own].sum())
+        above = np.concatenate([[1.0], sigmoid(s - self.theta), [0.0]])
+        return float((above[:-1] - above[1:]) @ self.grades), float(above[min(self.cut, len(self.grades))])
+
+
 def score_quality(docs: DataFrame, model: bytes, at_least: float | None = None, dim: int = DIM) -> DataFrame:
     """Per document the expected grade and P(grade >= ``at_least``); the highest grade by default."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, theta, weights = unpack_model(model)
-        features, worth = Features(dim), {}
-        cut = int(np.searchsorted(grades, grades[-1] if at_least is None else at_least)) if len(grades) else 0
+        scorer = kept(("quality", hash(model), at_least), lambda: Scorer(model, at_least, dim))
         for b in batches:
-            expected, tail = [], []
-            for text in b.column("text"):
-                if not len(grades):
-                    expected.append(0.0)
-                    tail.append(1.0)
-                    continue
-                words, own = features.text(text.as_py())
-                if len(worth) > 400_000:
-                    worth.clear()
-                for w in set(words).difference(worth):
-                    worth[w] = float(weights[features.word(w)].mean())
-                s = sum(map(worth.__getitem__, words)) / max(1, len(words)) + 0.25 * float(weights[own].sum())
-                above = np.concatenate([[1.0], sigmoid(s - theta), [0.0]])
-                expected.append(float((above[:-1] - above[1:]) @ grades))
-                tail.append(float(above[min(cut, len(grades))]))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "expected_grade": pa.array(expected, pa.float64()),
-                                              "tail_probability": pa.array(tail, pa.float64())})
+            found = [scorer.score(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"),
+                                              "expected_grade": pa.array([x[0] for x in found], pa.float64()),
+                                              "tail_probability": pa.array([x[1] for x in found], pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     return rows.mapInArrow(score, "doc_id long, expected_grade double, tail_probability double")
+
+
+def select_quality(docs: DataFrame, model: bytes, at_least: float | None = None, probability: float = 0.5,
+                   dim: int = DIM) -> DataFrame:
+    """The documents that reach the grade with at least this probability, all columns kept."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = kept(("quality", hash(model), at_least), lambda: Scorer(model, at_least, dim))
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t.as_py() or "")[1] >= probability for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -57,3 +57,19 @@ def op5_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted",
                          "sentences", "worst_start", "worst_end", "worst_score")
+
+
+@query("op8_unigram_pieces")
+def op8_unigram_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from cotejo.llm.unigram_pieces import piece_digests
+
+    return piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_templates")
+def op10_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.templates import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import whole_text
+from cotejo.llm.common import kept, whole_text
 from cotejo.llm.sampling import fit_in_one_task, labelled_sample
 
 DIM = 1 << 18
@@ -89,8 +89,8 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-15)).sum()))
 
 
-def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 12, rate: float = 0.25, batch: int = 128,
-                 decay: float = 1e-5, least: int = 5, seed: int = 7) -> bytes:
+def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 10, rate: float = 2.0, batch: int = 64,
+                 decay: float = 1e-5, least: int = 8, seed: int = 7) -> bytes:
     """Weights and bias by Adagrad on the noisy-or likelihood of the document labels.
 
     Features of fewer than ``least`` documents keep weight 0: they could only learn by heart.
@@ -107,7 +107,8 @@ def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 12, rate: float
     words, number = [w[o] for w, o in zip(words, often, strict=True)], [n[o] for n, o in zip(number, often, strict=True)]
     seen, seen_bias = np.full(dim, 1e-2), 1e-2
     rng = np.random.default_rng(seed)
-    for epoch in range(epochs):
+    batch = max(16, min(batch, len(label) // 100))
+    for _ in range(epochs):
         order = rng.permutation(len(label))
         for k in range(0, len(order), batch):
             part = order[k:k + batch]
@@ -122,10 +123,10 @@ def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 12, rate: float
             toxic = -np.expm1(clean)
             pull = np.where(y > 0, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0)
             slope = p * pull[doc]
-            used, back = np.unique(word, return_inverse=True)
-            grad = np.bincount(back, slope[sent], len(used)) / len(part) + decay * weights[used]
-            seen[used] += grad * grad
-            weights[used] -= rate * grad / np.sqrt(seen[used])
+            grad = np.bincount(word, slope[sent], dim) / len(part)
+            grad += decay * weights * (grad != 0)
+            seen += grad * grad
+            weights -= rate * grad / np.sqrt(seen)
             g = slope.sum() / len(part)
             seen_bias += g * g
             bias -= 0.1 * rate * g / np.sqrt(seen_bias)
@@ -161,29 +162,40 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     return fit_in_one_task(features, lambda t: fit_noisy_or(t, dim))
 
 
+class Scorer:
+    """Scores texts under a model; keeps the summed weights of words it has seen, up to a bound."""
+
+    def __init__(self, model: bytes, dim: int = DIM):
+        values = np.frombuffer(model, "<f4").astype(np.float64)
+        self.bias, self.weights = (values[0], values[1:]) if len(values) else (-1e3, np.zeros(dim))
+        self.words, self.worth = Words(dim), np.zeros(0)
+
+    def sentences(self, text: str) -> np.ndarray:
+        if self.words.full():
+            self.worth = np.zeros(0)
+        number, ids, n = self.words.parse(text)
+        if len(self.worth) < len(self.words.words):
+            new = self.words.words[len(self.worth):]
+            self.worth = np.concatenate([self.worth, [self.weights[self.words.features(w)].sum() for w in new]])
+        return sentence_scores(self.worth, self.bias, number, ids, n)
+
+
 def score_toxicity(docs: DataFrame, model: bytes, dim: int = DIM) -> DataFrame:
-    """Per document: score, 0/1 prediction, its worst sentence as a span of characters and that score."""
+    """Per document: score, 0/1 prediction, its worst sentence as a span of characters and that score.
+
+    The span is given for documents predicted toxic.
+    """
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = np.frombuffer(model, "<f4").astype(np.float64)
-        bias, weights = (values[0], values[1:]) if len(values) else (-1e3, np.zeros(dim))
-        words, worth = Words(dim), np.zeros(0)
+        scorer = kept(("toxicity", hash(model)), lambda: Scorer(model, dim))
         for b in batches:
             out = []
             for text in b.column("text"):
                 text = text.as_py()
-                if words.full():
-                    worth = np.zeros(0)
-                number, ids, n = words.parse(text)
-                if len(worth) < len(words.words):
-                    more = [weights[words.features(w)].sum() for w in words.words[len(worth):]]
-                    worth = np.concatenate([worth, more])
-                p = sentence_scores(worth, bias, number, ids, n)
+                p = scorer.sentences(text)
                 total, worst = noisy_or(p), int(p.argmax())
-                start = end = 0
-                if total >= 0.5:
-                    start, end = span_of(text, worst)
-                out.append((total, int(total >= 0.5), n, start, end, float(p[worst])))
-            columns = list(zip(*out, strict=True))
+                start, end = span_of(text, worst) if total >= 0.5 else (0, 0)
+                out.append((total, int(total >= 0.5), len(p), start, end, float(p[worst])))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
@@ -194,6 +206,16 @@ def score_toxicity(docs: DataFrame, model: bytes, dim: int = DIM) -> DataFrame:
                                   "worst_start long, worst_end long, worst_score double")
 
 
+def without_toxic(docs: DataFrame, model: bytes, below: float = 0.5, dim: int = DIM) -> DataFrame:
+    """The documents that score less than ``below``, all columns kept."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = kept(("toxicity", hash(model)), lambda: Scorer(model, dim))
+        for b in batches:
+            yield b.filter(pa.array([noisy_or(scorer.sentences(t.as_py() or "")) < below for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def span_of(text: str, number: int) -> tuple[int, int]:
     """Where the sentence with words of this number stands."""
     seen = -1
