@@ -73,3 +73,24 @@ def op10_templates(spark: SparkSession, folder: str) -> DataFrame:
     from cotejo.llm.templates import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_imatch")
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.imatch import compared_fingerprints
+
+    return compared_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM m""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.warc import page_records, read_warc, write_warc
+
+    return page_records(read_warc(write_warc(table(spark, folder, "pages"))))
