@@ -94,3 +94,10 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     from cotejo.llm.warc import page_records, read_warc, write_warc
 
     return page_records(read_warc(write_warc(table(spark, folder, "pages"))))
+
+
+@query("op7_wrapper")
+def op7_wrapper(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.wrapper import extract_pages
+
+    return extract_pages(table(spark, folder, "pages"))
