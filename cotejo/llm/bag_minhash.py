@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm.common import whole_text
@@ -206,33 +206,84 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots))
 
 
-def _labelled(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component."""
-    with_comp = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    kept = stage(with_comp)
-    mixed = kept.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                       F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    return stage(kept.join(mixed, "bucket"))
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (bucket, node, comp) of the buckets that hold more than one component; stored."""
+    now = stage(members.select("bucket", "node").join(comps, "node", "left")
+                .select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return stage(now.join(mixed.select("bucket"), "bucket"))
 
 
-def _leader_pairs(members: DataFrame) -> DataFrame:
-    """Each member with a leader of its bucket, chosen by a hash that differs between buckets."""
-    dice = F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "comp")
-    leaders = members.groupBy("bucket").agg(F.min(dice).alias("l"))
-    met = members.join(leaders, "bucket").where("comp <> l.comp")
+def _units(members: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members' bags: their sizes, and their units that a second bag holds too.
+
+    The second occurrence of a shingle in a bag is a unit of its own, and so on, so that bags
+    become sets. Both are stored: (node, size) and (node, unit, holders).
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            units = []
+            for text in batch.column("text"):
+                items, counts = shingler.bag(text.as_py())
+                nth = np.arange(counts.sum(), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
+                units.append(mix(np.repeat(items, counts) + nth * _GOLD).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(units, pa.list_(pa.int64()))], ["node", "units"])
+
+    bags = stage(texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(cut, "node long, units array<long>"))
+    each = bags.select("node", F.explode("units").alias("unit"))
+    held = each.groupBy("unit").agg(F.count("*").alias("holders")).where("holders > 1")
+    return bags.select("node", F.size("units").alias("size")), stage(each.join(held, "unit"))
+
+
+def _can_link(members: DataFrame, sizes: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(node, size, shared, needed) of the nodes that can be alike to some node of their buckets; stored.
+
+    A pair at the threshold t shares t / (1 + t) of the sum of its sizes, and no node is below
+    the smallest of its buckets nor below t times its partner.
+    """
+    least = members.join(sizes, "node").groupBy("bucket").agg(F.min("size").alias("least"))
+    mates = members.join(least, "bucket").groupBy("node").agg(F.min("least").alias("least"))
+    shared = common.groupBy("node").agg(F.count("*").alias("shared"))
+    partner = F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + partner) - 1e-6)
+    return stage(mates.join(sizes, "node").join(shared, "node").withColumn("needed", needed)
+                 .where("shared >= needed").select("node", "size", "shared", "needed"))
+
+
+def _leader_pairs(members: DataFrame, able: DataFrame) -> DataFrame:
+    """Each member with the member of its bucket that has the least text of its own."""
+    rated = members.join(able, "node").withColumn("own", 1 - F.col("shared") / F.col("size"))
+    leaders = rated.groupBy("bucket").agg(F.min(F.struct("own", "node", "comp")).alias("l"))
+    met = rated.join(leaders, "bucket").where("comp <> l.comp")
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
+def _prefix_pairs(members: DataFrame, able: DataFrame, common: DataFrame) -> DataFrame:
+    """Pairs of different components that can still be alike.
+
+    Two bags that share ``needed`` units share one among the ``size - needed + 1`` rarest of
+    either, so only these meet. Units that no other bag holds are the rarest and meet nothing.
+    """
+    nodes = members.select("node", "comp").distinct().join(able, "node")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "unit"))
+    rarest = common.join(nodes, "node").withColumn("rank", rank + F.col("size") - F.col("shared")) \
+        .where(F.col("rank") <= F.col("size") - F.col("needed") + 1).select("unit", "node", "comp")
+    rarest = stage(rarest)
+    both = rarest.alias("x").join(rarest.alias("y"), F.expr("x.unit = y.unit AND x.comp < y.comp"))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH,
-                           bands: int = BANDS, rows: int = ROWS, heavy: int = 64) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` and the number of rows in the class.
+                           bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: ``doc_id`` and ``class_id``.
 
     Classes are the connected components of the links between texts that share a band and
-    whose bags are at least ``threshold`` alike. No group is expanded into all its pairs while
-    it is one component: a bucket's members first meet its smallest node, then one leader per
-    bucket; only buckets that still mix components compare the members of different ones.
-    There, a bucket of more than ``heavy`` members is split by every further band that two of
-    them share.
+    whose bags are at least ``threshold`` alike. No group is expanded into all its pairs: the
+    members of a bucket first meet its smallest node. In buckets that still mix components,
+    nodes with too much text of their own to be alike to any mate are done; the others meet
+    the member with the least text of its own, and what then is still apart meets by the rarest
+    units of its bags, which misses no pair.
     """
     nodes = signed(docs, width, bands, rows)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -244,22 +295,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
 
     star = stage(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     edges = verified(star, texts, threshold, width)
-    members = _labelled(shared.select("bucket", "node"), components(edges))
-    if not members.isEmpty():
-        tried = star
-        led = stage(_leader_pairs(members).join(tried, ["a", "b"], "left_anti"))
-        found = verified(led, texts, threshold, width)
-        edges, tried = edges.union(found), tried.union(led)
-        members = _labelled(members.select("bucket", "node"), components(edges))
-        many = members.where(F.col("n") > heavy).join(nodes.select("node", "bands"), "node") \
-            .select("node", "comp", "bucket", F.explode("bands").alias("other")).where("other <> bucket") \
-            .select("node", "comp", F.xxhash64("bucket", "other").alias("bucket"))
-        few = members.where(F.col("n") <= heavy).select("node", "comp", "bucket").union(many)
-        x, y = few.alias("x"), few.alias("y")
-        rest = x.join(y, F.expr("x.bucket = y.bucket AND x.comp < y.comp")).select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        edges = edges.union(verified(stage(rest.join(tried, ["a", "b"], "left_anti")), texts, threshold, width))
     final = components(edges)
+    members = _mixed(shared, final)
+    if not members.isEmpty():
+        sizes, common = _units(members, texts, width)
+        able = _can_link(members, sizes, common, threshold)
+        members = _mixed(members.join(able, "node", "left_semi"), final)
+        led = stage(_leader_pairs(members, able).join(star, ["a", "b"], "left_anti"))
+        edges = edges.union(verified(led, texts, threshold, width))
+        final = components(edges)
+        members = _mixed(members, final)
+        rest = _prefix_pairs(members, able, common).join(star.union(led), ["a", "b"], "left_anti")
+        edges = edges.union(verified(stage(rest), texts, threshold, width))
+        final = components(edges)
     named = nodes.select("node", "key", "rep").join(final, "node", "left") \
         .withColumn("comp", F.coalesce("comp", "node"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
