@@ -101,3 +101,11 @@ def op7_wrapper(spark: SparkSession, folder: str) -> DataFrame:
     from cotejo.llm.wrapper import extract_pages
 
     return extract_pages(table(spark, folder, "pages"))
+
+
+@query("op6_pseudo_lm")
+def op6_pseudo_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from cotejo.llm.pseudo_lm import score_pseudo_lm, train_pseudo_lm
+
+    docs = table(spark, folder, "documents")
+    return score_pseudo_lm(docs, train_pseudo_lm(docs))
