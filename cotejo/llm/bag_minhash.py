@@ -325,10 +325,10 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
     kept = stage(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct())
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 AND doc_id IS NOT NULL")
     repeated = stage(repeated.select(F.col("doc_id").alias("_again")))
-    mine = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    once = mine.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    again = mine.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    mine = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    once = mine.join(repeated, mine["doc_id"] == repeated["_again"], "left_anti")
+    again = mine.join(repeated, mine["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
     named = docs.where("doc_id IS NOT NULL").select(F.md5(whole_text("text").cast("binary")).alias("_key"))
     unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"]) \
-        .join(named, F.md5(whole_text("text").cast("binary")) == F.col("_key"), "left_anti")
+        .join(named, F.md5(whole_text("text").cast("binary")) == named["_key"], "left_anti")
     return once.unionByName(again).unionByName(unnamed)

@@ -171,8 +171,9 @@ def train_round(docs: DataFrame, tables: Tables, start: np.ndarray, part: int, r
             for k in range(0, len(texts), 64):
                 context, bucket, _ = places([tokens.ids(t) for t in texts[k:k + 64]], tables)
                 target = tables.of_class[bucket]
-                for j in range(0, len(bucket), STEP):
-                    net.train(context[j:j + STEP], target[j:j + STEP])
+                step = max(128, min(STEP, len(bucket) // 8))
+                for j in range(0, len(bucket), step):
+                    net.train(context[j:j + step], target[j:j + step])
                 n += len(bucket)
         if n:
             yield weighted(net.flat().astype(np.float64) * n, n)

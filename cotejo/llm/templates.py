@@ -211,4 +211,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents into which no item leaked, all columns kept. Rows without an id stay."""
     leaked = stage(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")

@@ -89,11 +89,12 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-15)).sum()))
 
 
-def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 10, rate: float = 2.0, batch: int = 64,
+def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 12, rate: float = 0.5, batch: int = 64,
                  decay: float = 1e-5, least: int = 8, seed: int = 7) -> bytes:
     """Weights and bias by Adagrad on the noisy-or likelihood of the document labels.
 
-    Features of fewer than ``least`` documents keep weight 0: they could only learn by heart.
+    A feature counts by its inverse document frequency, so that what is everywhere moves little;
+    one of fewer than ``least`` documents keeps weight 0, as it could only learn by heart.
     """
     label = table["label"].to_numpy().astype(np.float64)
     words = [np.asarray(x.values.to_numpy(), np.int64) for x in table["words"]]
@@ -103,6 +104,7 @@ def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 10, rate: float
     frequency = np.zeros(dim, np.int64)
     for w in words:
         frequency[np.unique(w)] += 1
+    value = np.log((1.0 + len(label)) / (1.0 + frequency))
     often = [frequency[w] >= least for w in words]
     words, number = [w[o] for w, o in zip(words, often, strict=True)], [n[o] for n, o in zip(number, often, strict=True)]
     seen, seen_bias = np.full(dim, 1e-2), 1e-2
@@ -116,21 +118,21 @@ def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 10, rate: float
             word = np.concatenate([words[i] for i in part])
             sent = np.concatenate([number[i] + starts[j] for j, i in enumerate(part)])
             doc = np.repeat(np.arange(len(part)), count[part])
-            z = bias + np.bincount(sent, weights[word], starts[-1])
+            z = bias + np.bincount(sent, (weights * value)[word], starts[-1])
             p = sigmoid(z)
             clean = np.bincount(doc, -np.logaddexp(0, z), len(part))  # log(1 - score)
             y = label[part]
             toxic = -np.expm1(clean)
             pull = np.where(y > 0, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0)
             slope = p * pull[doc]
-            grad = np.bincount(word, slope[sent], dim) / len(part)
+            grad = value * np.bincount(word, slope[sent], dim) / len(part)
             grad += decay * weights * (grad != 0)
             seen += grad * grad
             weights -= rate * grad / np.sqrt(seen)
             g = slope.sum() / len(part)
             seen_bias += g * g
             bias -= 0.1 * rate * g / np.sqrt(seen_bias)
-    return np.concatenate([[bias], weights]).astype("<f4").tobytes()
+    return np.concatenate([[bias], weights * value]).astype("<f4").tobytes()
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE,
