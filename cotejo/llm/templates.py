@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from cotejo.session import stage
 
 WINDOW, LEAST = 8, 4
 FILTER_WORDS = 1 << 17  # of 64 bits
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]|[%$€£¥°]")
+TOKEN = re.compile(r"[^\W\d]\w*|\d+(?:[.,]\d+)*|[.!?\n%$€£¥°]")
 WORD, CAPITAL, NUMBER, UNIT, SYMBOL, BREAK = range(6)
 #: Words that name a unit when a number stands before them.
 UNITS = frozenset("""
@@ -46,45 +48,66 @@ degree degrees celsius fahrenheit kelvin percent dollar dollars cent cents euro
 PLACEHOLDER = {k: xxhash.xxh64_intdigest(f"<{k}>") for k in (CAPITAL, NUMBER, UNIT)}
 
 
+@dataclass
+class Templates:
+    """Template tokens of several texts: hash, kind, place in ``raw``, number of the text; sizes by text."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    raw: list[str]
+    at: np.ndarray
+    text: np.ndarray
+    sizes: np.ndarray
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows that lie inside one text."""
+        found = windows(self.hashes, width)
+        inside = np.flatnonzero(self.text[:len(found)] == self.text[width - 1:]) if len(found) else np.zeros(0, np.int64)
+        return inside, found[inside]
+
+
 class Canonical:
     """Templates of texts; remembers token hashes up to a bound."""
 
     def __init__(self, limit: int = 300_000):
         self.known = Memory(limit)
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Token hashes, kinds, the raw tokens, and where each template token starts in them."""
-        raw = TOKEN.findall(text)
+    def templates(self, texts: list[str]) -> Templates:
+        """The templates of several texts, one after the other."""
+        each = [TOKEN.findall(t) for t in texts]
+        for raw in each:
+            raw.append("\n")  # the next text starts a sentence
+        raw = list(chain.from_iterable(each))
         for t in self.known.missing(set(raw)):
             self.known.young[t] = self._token(t)
-        look = self.known.young.__getitem__
-        both = np.fromiter((x for t in raw for x in look(t)), np.uint64, 2 * len(raw)).reshape(-1, 2)
-        h, kind = both[:, 0].copy(), both[:, 1].astype(np.int8)
-        before = np.concatenate([[BREAK], kind[:-1]]).astype(np.int8)[:len(kind)]
-        after = np.concatenate([kind[1:], [BREAK]]).astype(np.int8)[:len(kind)]
-        first = before == BREAK
-        unit = ((kind == UNIT) & (before == NUMBER)) | ((kind == SYMBOL) & ((before == NUMBER) | (after == NUMBER)))
-        name = (kind == CAPITAL) & ~first
+        both = np.fromiter(map(self.known.young.__getitem__, raw), np.uint64, len(raw))
+        h, kind = both >> np.uint64(3), (both & np.uint64(7)).astype(np.int8)
+        before = np.concatenate([[BREAK], kind[:-1]]).astype(np.int8)
+        after = np.concatenate([kind[1:], [BREAK]]).astype(np.int8)
         number = kind == NUMBER
+        unit = ((kind == UNIT) & (before == NUMBER)) | ((kind == SYMBOL) & ((before == NUMBER) | (after == NUMBER)))
+        name = (kind == CAPITAL) & (before != BREAK)
         keep = (kind != BREAK) & ((kind != SYMBOL) | unit)
-        keep &= ~(name & np.concatenate([[False], name[:-1]])[:len(name)])
+        keep[1:] &= ~(name[1:] & name[:-1])
         final = np.where(name, CAPITAL, np.where(number, NUMBER, np.where(unit, UNIT, WORD)))
         for k, value in PLACEHOLDER.items():
             h[final == k] = value
         at = np.flatnonzero(keep)
-        return h[at], final[at], raw, at
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in each])[at]
+        return Templates(h[at], final[at], raw, at, text, np.bincount(text, minlength=len(texts)))
 
     @staticmethod
-    def _token(t: str) -> tuple[int, int]:
+    def _token(t: str) -> int:
+        """Hash of the word in lower case, 61 bits, and its kind in three more."""
         if t[0] in ".!?\n":
-            return 0, BREAK
+            return BREAK
         if t[0].isdigit():
-            return 0, NUMBER
+            return NUMBER
         if not (t[0].isalnum() or t[0] == "_"):
-            return 0, SYMBOL
+            return SYMBOL
         low = t.lower()
         kind = UNIT if low in UNITS else CAPITAL if t[0].isupper() else WORD
-        return xxhash.xxh64_intdigest(low), kind
+        return xxhash.xxh64_intdigest(low) >> 3 << 3 | kind
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -123,22 +146,25 @@ def template_windows(rows: DataFrame, widths: list[int] | None, window: int, lea
         canonical = kept(("templates",), Canonical)
         bits = np.frombuffer(wanted, "<u8") if wanted is not None else None
         for batch in batches:
-            out: list[tuple] = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                h, kinds, raw, at = canonical.template(text.as_py())
-                n = len(h)
-                for width in ([min(window, n)] if widths is None else widths):
-                    if width < least or n < width:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                ids, t = part.column("id").to_pylist(), canonical.templates(part.column("text").to_pylist())
+                first = np.cumsum(t.sizes) - t.sizes
+                out: list[tuple] = []
+                for width in (widths if widths is not None else range(least, window + 1)):
+                    if width < least:
                         continue
-                    found = windows(h, width)
-                    some = range(len(found)) if bits is None else np.flatnonzero(passes(bits, found)).tolist()
-                    for p in some:
-                        out.append((i, n, width, p, int(found[p].view(np.int64)), slots(kinds, raw, at, p, width)))
-                if len(out) >= 20_000:
+                    starts, found = t.windows(width)
+                    if bits is not None:
+                        wanted_here = passes(bits, found)
+                    else:  # items: their own width only
+                        size = t.sizes[t.text[starts]]
+                        wanted_here = size >= width if width == window else size == width
+                    for p, h in zip(starts[wanted_here].tolist(), found[wanted_here].view(np.int64).tolist(), strict=True):
+                        d = int(t.text[p])
+                        out.append((ids[d], int(t.sizes[d]), width, p - int(first[d]), h, slots(t.kinds, t.raw, t.at, p, width)))
+                if out:
                     yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
