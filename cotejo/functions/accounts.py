@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 18          # digits of the canonical key
-MAX_LEVELS = 9      # fixed bound of catalogue depth
+MAX_LEVELS = 9      # of a catalogue with level markers
 RE_ACCOUNT = r"^[0-9]{3,}(-[0-9]{1,6})*$"
 
 
@@ -123,7 +123,7 @@ def parent_of(c: Column, anchos: Column, ini: Column, fin: Column) -> Column:
 
 
 def ancestors_of(c: Column, anchos: Column, ini: Column, fin: Column) -> Column:
-    """All ancestors, nearest first: A2 folded over the bounded depth of a catalogue."""
+    """All ancestors, nearest first: A2 folded over the depth of the account."""
     start = F.struct(c.alias("at"), F.array().cast("array<string>").alias("path"))
 
     def step(acc, _):
@@ -132,5 +132,7 @@ def ancestors_of(c: Column, anchos: Column, ini: Column, fin: Column) -> Column:
                         F.when(up == "", acc["path"]).otherwise(F.array_append(acc["path"], up))
                         .alias("path"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LEVELS)), start, step,
+    # a dashed account has fewer ancestors than segments, a level marker counts to nine
+    depth = F.greatest(F.size(F.split(c, "-")), F.lit(MAX_LEVELS))
+    return F.aggregate(F.sequence(F.lit(1), depth), start, step,
                        lambda acc: acc["path"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ def parse_money(c: Column, strict: bool = False) -> Column:
     Parentheses, a leading or a trailing sign negate; each pattern is applied once so that
     the expression stays inside one generated method.
     """
-    s = F.trim(c)
+    s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")  # tabs and hard spaces too
     body = F.translate(F.regexp_replace(s, r"^\((.*)\)$", "$1"), "$, ", "")
     digits = F.regexp_replace(body, "^-(.*)$|^(.*)-$", "$1$2")
     sign = F.when(s.rlike(r"^\(.*\)$") | body.rlike("^-|-$"), "-").otherwise("")
@@ -221,31 +221,34 @@ def starts_with_label(label: Column, options: Sequence[str]) -> Column:
 # --- vocabulary joins (F20-F22): the synonym tables are fixed and small ----------------
 def vocabulary_scores(labels: DataFrame, vocab: DataFrame, label: str = "etiqueta") -> DataFrame:
     """3 for the exact synonym, 2 when it is contained as whole words."""
-    keyed = labels.withColumn("_n", normalize(F.col(label)))
     pad = F.concat(F.lit(" "), F.col("_n"), F.lit(" "))
     hit = F.instr(pad, F.concat(F.lit(" "), F.col("sinonimo"), F.lit(" "))) > 0
-    j = keyed.join(F.broadcast(vocab), hit)
-    keys = [c for c in labels.columns]
-    return j.groupBy(*keys, "campo").agg(
-        F.max(F.when(F.col("_n") == F.col("sinonimo"), 3).otherwise(2)).alias("puntaje"))
+    points = F.max(F.when(F.col("_n") == F.col("sinonimo"), 3).otherwise(2)).alias("puntaje")
+    return _by_spelling(labels, normalize(F.col(label)), lambda seen: seen.join(vocab, hit)
+                        .groupBy("_n", "campo").agg(points))
+
+
+def _by_spelling(labels: DataFrame, spelling: Column, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answer the distinct spellings ``_n``, which are few, and join back by equality."""
+    keyed = labels.withColumn("_n", spelling)
+    found = answer(keyed.select("_n").distinct())
+    extra = [c for c in found.columns if c != "_n"]
+    return keyed.join(found, "_n").select(*labels.columns, *extra).distinct()
 
 
 def field_by_priority(labels: DataFrame, vocab: DataFrame, label: str = "etiqueta") -> DataFrame:
     """the first field in priority order whose synonym occurs in the label, also tight."""
-    keyed = labels.withColumn("_n", normalize(F.col(label))).withColumn(
-        "_t", F.replace("_n", F.lit(" "), F.lit("")))
     tight = F.replace("sinonimo", F.lit(" "), F.lit(""))
-    hit = F.col("_n").contains(F.col("sinonimo")) | F.col("_t").contains(tight)
-    j = keyed.join(F.broadcast(vocab), hit)
-    return j.groupBy(*labels.columns).agg(F.min_by("campo", "prioridad").alias("campo"))
+    hit = F.col("_n").contains(F.col("sinonimo")) | F.replace("_n", F.lit(" "), F.lit("")).contains(tight)
+    return _by_spelling(labels, normalize(F.col(label)), lambda seen: seen.join(vocab, hit)
+                        .groupBy("_n").agg(F.min_by("campo", "prioridad").alias("campo")))
 
 
 def balance_field(labels: DataFrame, vocab: DataFrame, label: str = "etiqueta") -> DataFrame:
     """the balance named by the END of the label, longest synonym first."""
-    keyed = labels.withColumn("_k", tight_key(F.col(label)))
-    j = keyed.join(F.broadcast(vocab), F.col("_k").endswith(F.col("sinonimo")))
-    return j.groupBy(*labels.columns).agg(
-        F.max_by("campo", F.length("sinonimo")).alias("campo"))
+    hit = F.col("_n").endswith(F.col("sinonimo"))
+    return _by_spelling(labels, tight_key(F.col(label)), lambda seen: seen.join(vocab, hit)
+                        .groupBy("_n").agg(F.max_by("campo", F.length("sinonimo")).alias("campo")))
 
 
 # --- masking (F23, F24) ----------------------------------------------------------------

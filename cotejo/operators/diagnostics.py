@@ -229,9 +229,9 @@ def reasons(results: DataFrame, template: Column) -> DataFrame:
 def label_pages(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """(document, label, page) where a label occurs; ``arranca`` asks for the line start.
 
-    ``labels`` is a fixed handful of rows, so the theta join is broadcast by size.
+    ``labels`` is a handful of rows; Spark knows their size and chooses how to join.
     """
     f = F.col
     hit = F.when(f("arranca"), f("texto").startswith(f("etiqueta"))).otherwise(
         f("texto").contains(f("etiqueta")))
-    return lines.join(F.broadcast(labels), hit).select("doc_id", "etiqueta", "page").distinct()
+    return lines.join(labels, hit).select("doc_id", "etiqueta", "page").distinct()

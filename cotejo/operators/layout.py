@@ -387,7 +387,7 @@ def header_like(lined: DataFrame, vocab: DataFrame, kind: str = "auxiliar") -> D
     t = F.trim("text")
     free = lined.groupBy(*LINE).agg(F.bool_or(t.rlike(AMOUNT_DIALECTS[kind])).alias("m")).filter(~c("m"))
     tok = lined.select(*LINE, F.explode(F.split(normalize(c("text")), " ")).alias("sinonimo"))
-    named = tok.join(F.broadcast(vocab.select("campo", "sinonimo")), "sinonimo").groupBy(*LINE).agg(
+    named = tok.join(vocab.select("campo", "sinonimo"), "sinonimo").groupBy(*LINE).agg(
         F.count_distinct("campo").alias("k")).filter("k >= 2")
     return free.select(*LINE).join(named.select(*LINE), LINE, "left_semi")
 

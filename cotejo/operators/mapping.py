@@ -21,7 +21,7 @@ def role_candidates(columns: DataFrame, vocab: DataFrame) -> DataFrame:
     forms = vocab.select("forma", "campo", "sinonimo").withColumn("campo", F.concat_ws("/", "forma", "campo"))
     s = vocabulary_scores(columns.select(*keep), forms.select("campo", "sinonimo"), "header")
     return s.select("doc_id", "idx", "puntaje", F.split("campo", "/")[0].alias("forma"),
-                    F.split("campo", "/")[1].alias("campo")).join(F.broadcast(roles), ["forma", "campo"])
+                    F.split("campo", "/")[1].alias("campo")).join(roles, ["forma", "campo"])
 
 
 def missing_roles(docs: DataFrame, cands: DataFrame, required: list[tuple[str, int, str]]) -> DataFrame:
@@ -41,11 +41,10 @@ def missing_roles(docs: DataFrame, cands: DataFrame, required: list[tuple[str, i
         "doc_id", c("m.n").cast("bigint").alias("n"), "m.forma", "m.faltan")
 
 
-def propose(cands: DataFrame, roles: list[tuple[str, bool]], form: str, k: int = 40) -> DataFrame:
-    """M3: all assignments of distinct columns to roles, best score first, at most ``k``.
+def propose(cands: DataFrame, roles: list[tuple[str, bool]], form: str, k: int | None = None) -> DataFrame:
+    """M3: all assignments of distinct columns to roles, best score first; the best ``k`` if given.
 
-    Role by role, a small join per document that excludes used columns. ``k`` is the feature:
-    only the best ``k`` are ever verified. Keeping the best partial assignments per step would
+    Role by role, a small join per document that excludes used columns. Keeping the best partial assignments per step would
     change results, so all are kept and the cut is made once at the end.
     """
     own = cands.filter(c("forma") == form)
@@ -60,7 +59,7 @@ def propose(cands: DataFrame, roles: list[tuple[str, bool]], form: str, k: int =
         part = took if required else took.unionByName(part)
     w = Window.partitionBy("doc_id").orderBy(c("puntos").desc(), "mapeo")
     return (part.withColumn("mapeo", F.array_join("asigna", ","))
-            .withColumn("rango", F.row_number().over(w)).filter(c("rango") <= k)
+            .withColumn("rango", F.row_number().over(w)).filter(F.lit(True) if k is None else c("rango") <= k)
             .select("doc_id", F.lit(form).alias("forma"), "mapeo", "puntos", "rango"))
 
 

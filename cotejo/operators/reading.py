@@ -56,6 +56,11 @@ def texts(w: Column | str = "w") -> Column:
     return F.transform(w, lambda k: k["text"])
 
 
+def rest_from(w: Column | str, start: int) -> Column:
+    """All elements from the ``start``-th (from one) on."""
+    return F.slice(w, start, F.greatest(F.size(w), F.lit(0)))
+
+
 def joined(w: Column) -> Column:
     return F.array_join(F.transform(w, lambda k: k["text"]), " ")
 
@@ -166,7 +171,7 @@ def subledger_classes(lines: DataFrame) -> DataFrame:
     l = ordered_scan(l, ["doc_id"], "seq", before={"_ev": F.when(c("_named"), F.struct(
         F.lit(True).alias("espera"), F.substring_index(second, "~", 1).alias("cuenta"),
         F.trim(F.concat_ws(" ", F.when(second.contains("~"), F.regexp_replace(second, "^[^~]*~", "")),
-                           joined(F.slice("w", 3, 1000)))).alias("nombre"))).when(c("_open"), F.struct(
+                           joined(rest_from("w", 3)))).alias("nombre"))).when(c("_open"), F.struct(
             F.lit(False).alias("espera"), F.lit("").alias("cuenta"), F.lit("").alias("nombre")))})
     last = F.get(amounts("auxiliar"), F.size(amounts("auxiliar")) - 1)["text"]
     zero = F.lit(0).cast(MONEY)
@@ -178,7 +183,7 @@ def subledger_classes(lines: DataFrame) -> DataFrame:
         c("_ev.cuenta").alias("cuenta"), c("_ev.nombre").alias("nombre"),
         F.when(n > 0, money_of(last)).otherwise(zero).alias("inicial"))
     ).when(c("clase") == "seccion_en_fila", F.struct(
-        w0["text"].alias("cuenta"), F.trim(joined(not_amounts("auxiliar", F.slice("w", 2, 1000)))).alias("nombre"),
+        w0["text"].alias("cuenta"), F.trim(joined(not_amounts("auxiliar", rest_from("w", 2)))).alias("nombre"),
         F.when(n > 0, money_of(F.get(amounts("auxiliar"), F.lit(0))["text"])).otherwise(zero).alias("inicial")))
     return l.withColumn("clase", kind).withColumn("seccion", section).drop("_named", "_open", "_ev")
 
@@ -265,7 +270,7 @@ def journal_entries(blocks: DataFrame, account_width: float = 25.0) -> DataFrame
     vals = value_words()
     joined_vals = joined(vals)
     tipo = F.coalesce(F.get(vals, F.lit(0))["text"], F.lit(""))
-    nat = F.trim(joined(F.filter(F.slice(vals, 2, 1000), lambda k: ~k["text"].isin("(", ")"))))
+    nat = F.trim(joined(F.filter(rest_from(vals, 2), lambda k: ~k["text"].isin("(", ")"))))
     date = F.when(c("campo") == "fecha", F.get(vals, F.lit(0))["text"]).when(
         c("abre_nombre"), F.get(F.filter(texts(), lambda t: t.rlike(RE_DATE_CELL)), F.lit(0)))
     desc = F.when(c("campo") == "descripcion", joined_vals).when(
@@ -353,7 +358,7 @@ def journal_cfdi(blocks: DataFrame) -> DataFrame:
                                  lambda k: k["t"]), "").alias("_t"))
     pick = lambda pat: F.coalesce(F.get(F.filter(texts(), lambda x: x.rlike(pat)), F.lit(0)), F.lit(""))
     r = z.filter("_row").withColumn("_u", pick(RE_UUID_HEAD)).withColumn("_r", pick(RE_RFC_ANY))
-    rest = F.filter(F.slice(texts(), 2, 1000), lambda x: (x != c("_u")) & (x != c("_r")))
+    rest = F.filter(rest_from(texts(), 2), lambda x: (x != c("_u")) & (x != c("_r")))
     r = r.withColumn("_rest", rest).join(tails, ["doc_id", "_of"], "left")
     n = F.size("_rest")
     return r.select(
@@ -383,7 +388,7 @@ def ledger_heads(ll: DataFrame) -> DataFrame:
     first = ll.filter(opening).groupBy("doc_id", c("cta.id").alias("seq")).agg(
         F.min_by(value, "seq").alias("saldo_inicial"))
     own = ll.filter("abre").select("doc_id", "seq", c("cta.cuenta").alias("cuenta"),
-                                   F.trim(joined(F.slice("w", 2, 1000))).alias("nombre_cuenta"),
+                                   F.trim(joined(rest_from("w", 2))).alias("nombre_cuenta"),
                                    c("page").alias("pagina_inicio"))
     return own.join(first, ["doc_id", "seq"], "left")
 

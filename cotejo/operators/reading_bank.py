@@ -165,18 +165,17 @@ def resolve_accounts(rows: DataFrame, ident: DataFrame, balances: DataFrame) ->
 def section_lines(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Lines that open with a product name; the longest name wins, its first account counts.
 
-    A name is a prefix of the tight line key, so both sides meet on the first characters and
-    the full prefix test runs on those pairs only.
+    A name is a prefix of the tight line key, so a line offers one key for each length that a
+    name of its document has, and both sides meet by equality.
     """
     acc = accounts.filter("producto <> ''").withColumn("_k", tight_key(c("producto"))).groupBy("doc_id", "_k").agg(
         F.min_by("num_cuenta", "seq").alias("num_cuenta"))
-    acc = acc.withColumn("_len", F.length("_k")).withColumn("_h", F.left("_k", F.lit(4)))
-    l = lines.select("doc_id", "seq", tight_key(joined(c("w"))).alias("_t")).withColumn("_h", F.left("_t", F.lit(4)))
-    short = acc.filter("_len < 4").select("doc_id", "_k", "num_cuenta", "_len")
-    hit = l.join(acc.filter("_len >= 4"), ["doc_id", "_h"]).filter(c("_t").startswith(c("_k")))
-    hit = hit.select("doc_id", "seq", "num_cuenta", "_len").unionByName(
-        l.join(short, "doc_id").filter(c("_t").startswith(c("_k"))).select("doc_id", "seq", "num_cuenta", "_len"))
-    return hit.groupBy("doc_id", "seq").agg(F.max_by("num_cuenta", "_len").alias("seccion"))
+    lengths = acc.groupBy("doc_id").agg(F.collect_set(F.length("_k")).alias("_lens"))
+    l = lines.select("doc_id", "seq", tight_key(joined(c("w"))).alias("_t")).join(lengths, "doc_id")
+    fits = F.filter("_lens", lambda n: n <= F.length("_t"))
+    keys = l.select("doc_id", "seq", F.explode(F.transform(fits, lambda n: F.left("_t", n))).alias("_k"))
+    hit = keys.join(acc, ["doc_id", "_k"])
+    return hit.groupBy("doc_id", "seq").agg(F.max_by("num_cuenta", F.length("_k")).alias("seccion"))
 
 
 def move_cells(lines: DataFrame, columns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions.accounts import canonical, canonical_without_marker, infer_schemes
@@ -16,10 +16,13 @@ def natures(heads: DataFrame, months: DataFrame) -> DataFrame:
     """Majority over the months in month order; no opening means no nature."""
     f = F.col
     tol = F.lit(TOLERANCE).cast(MONEY)
-    m = months.withColumn("_o", F.shiftleft(f("orden").cast("bigint"), 50) + f("seq"))
-    m = ordered_scan(m, KEY, "_o", lag={"_ps": f("saldo"), "_has": F.lit(True)})
-    m = m.join(heads.select(*KEY, "saldo_inicial"), KEY)
-    prev = F.when(f("_has").isNull(), f("saldo_inicial")).otherwise(f("_ps"))
+    m = ordered_scan(months, [*KEY, "orden"], "seq", lag={"_ps": f("saldo"), "_has": F.lit(True)})
+    # the first row of a month follows the last row of the month before; months per account are few
+    ends = months.groupBy(*KEY, "orden").agg(F.max_by(F.struct("saldo"), "seq").alias("_end"))
+    ends = ends.select(*KEY, "orden", F.lag("_end").over(Window.partitionBy(*KEY).orderBy("orden")).alias("_before"))
+    m = m.join(ends, [*KEY, "orden"]).join(heads.select(*KEY, "saldo_inicial"), KEY)
+    prev = (F.when(f("_has").isNotNull(), f("_ps")).when(f("_before").isNotNull(), f("_before.saldo"))
+            .otherwise(f("saldo_inicial")))
     net = f("cargos") - f("abonos")
     votes = f("saldo").isNotNull() & prev.isNotNull() & (net != 0)
     v = m.groupBy(*KEY).agg(

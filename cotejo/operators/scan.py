@@ -49,6 +49,9 @@ def ordered_scan(
     ins = {f"_i_{n}": c for m in (lag, running, latest, before) for n, c in m.items()}
     span = F.shiftright(F.col(order), levels[0])
     base = df.select("*", *[c.alias(n) for n, c in ins.items()], span.alias("_span"))
+    # An input already hashed on ``keys`` would satisfy the window and keep a hot key in one
+    # task, so the rows are dealt out by span first.
+    base = base.repartition(*keys, "_span")
 
     inner = Window.partitionBy(*keys, "_span").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -181,10 +181,11 @@ def default_signals() -> dict[str, Column]:
     }
 
 
-def signals(words: DataFrame, n: int = 2, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Every signal of the sample in one aggregate; ``extra`` adds named ones."""
+def signals(words: DataFrame, n: int | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Every signal in one aggregate, over all pages or the first ``n`` of each document;
+    ``extra`` adds named ones (U2)."""
     every = {**default_signals(), **(extra or {})}
-    return _overlap(first_pages(words, n)).groupBy("doc_id").agg(
+    return _overlap(words if n is None else first_pages(words, n)).groupBy("doc_id").agg(
         *[c.alias(k) for k, c in every.items()])
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cotejo.functions.accounts import number_shape
 from cotejo.operators import layout as ly
 from cotejo.operators import mapping as mp
-from cotejo.operators import tokens as tk
 
 from cotejo.plans.queries_text import norm_sql
 from cotejo.plans.registry import query, view
@@ -58,13 +57,13 @@ def columns(t):
     return ly.assign_headers(ly.header_words(lined(t), heads_of(t)), cols)
 
 
-def sample(t, n=3):
-    return tk.first_pages(lined(t), n).select("doc_id", "page").distinct()
+def pages_of(t):
+    return lined(t).select("doc_id", "page").distinct()
 
 
 @stored("layout")
 def layout(t):
-    return ly.document_layout(columns(t), sample(t))
+    return ly.document_layout(columns(t), pages_of(t))
 
 
 @stored("celdas")
@@ -195,7 +194,7 @@ view("asg", """SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, page, line, pos
 view("cols", """SELECT k.*, COALESCE(header, '') AS header FROM cols0 k LEFT JOIN (SELECT doc_id, page, idx, string_agg(text, ' ' ORDER BY top, x0) AS header
   FROM asg WHERE rn = 1 AND d < 40 GROUP BY ALL) a ON a.doc_id = k.doc_id AND a.page = k.page AND a.idx = k.idx""")
 query("L13_assign_headers", "SELECT * FROM cols")(lambda t: columns(t).withColumn("idx", c("idx").cast("bigint")))
-view("smp", "SELECT doc_id, page FROM (SELECT doc_id, page, DENSE_RANK() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM words) WHERE r <= 3 GROUP BY ALL")
+view("smp", "SELECT DISTINCT doc_id, page FROM words")
 view("lay_n", "SELECT c.doc_id, c.page, COUNT(*) AS k FROM cols c JOIN smp s ON s.doc_id = c.doc_id AND s.page = c.page GROUP BY ALL")
 view("lay_b", "SELECT doc_id, arg_min(page, page - k * 1e9) AS b, MAX(k) AS k FROM lay_n GROUP BY doc_id")
 view("lay", """SELECT c.doc_id, c.idx, MAX(align) FILTER (WHERE c.page = b.b) AS align, MIN(x_min) AS x_min, MAX(x_max) AS x_max, CAST(SUM(support) AS BIGINT) AS support,
@@ -302,7 +301,7 @@ h AS (SELECT * FROM (SELECT l.doc_id, l.line, l.page, l.ltop, l.text, l.x0, k.id
 g AS (SELECT doc_id, page, line, ltop, idx, string_agg(text, ' ' ORDER BY x0) AS tx FROM h GROUP BY ALL),
 n AS (SELECT doc_id, idx, string_agg(tx, ' ' ORDER BY ltop, tx) AS nuevo FROM g GROUP BY ALL)
 SELECT l.doc_id, l.idx, COALESCE(nuevo, header) AS header FROM lay l LEFT JOIN n ON n.doc_id = l.doc_id AND n.idx = l.idx""")(
-    lambda t: ly.relabel(layout(t), tk.first_pages(lined(t), 3), ly.header_like(tk.first_pages(lined(t), 3), t.vocab_auxiliar)).select(
+    lambda t: ly.relabel(layout(t), lined(t), ly.header_like(lined(t), t.vocab_auxiliar)).select(
         "doc_id", c("idx").cast("bigint").alias("idx"), "header"))
 
 # -------------------------------------------------------------------------- mapping
@@ -348,11 +347,11 @@ view("m3", f"""SELECT doc_id, 'saldo_con_signo' AS forma, mapeo, CAST(puntos AS
   (SELECT r0.doc_id, concat_ws(',', {', '.join(_txt)}) AS mapeo, {' + '.join(_pts)} AS puntos FROM {' '.join(_join)})""")
 
 
-def proposals(t, k=40):
-    return mp.propose(role_candidates(t), _ROLES, "saldo_con_signo", k)
+def proposals(t):
+    return mp.propose(role_candidates(t), _ROLES, "saldo_con_signo")
 
 
-query("M3_proposals", "SELECT doc_id, forma, mapeo, puntos, rango FROM m3 WHERE rango <= 40")(
+query("M3_proposals", "SELECT doc_id, forma, mapeo, puntos, rango FROM m3")(
     lambda t: proposals(t).withColumn("puntos", c("puntos").cast("bigint")))
 query("M11_best_by_vocabulary", "SELECT doc_id, forma, mapeo, puntos, rango FROM m3 WHERE rango = 1")(
     lambda t: mp.best_by_vocabulary(proposals(t)).withColumn("puntos", c("puntos").cast("bigint")))
@@ -363,8 +362,8 @@ g AS (SELECT d.doc_id, n.forma, COUNT(*) FILTER (WHERE m.doc_id IS NULL) AS n, C
   FROM (SELECT DISTINCT doc_id FROM mcols) d CROSS JOIN n LEFT JOIN (SELECT DISTINCT doc_id, forma, campo FROM mcand) m ON m.doc_id = d.doc_id AND m.forma = n.forma AND m.campo = n.campo GROUP BY ALL)
 SELECT doc_id, n, forma, faltan FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n, forma) = 1""")(
     lambda t: mp.missing_roles(map_columns(t), role_candidates(t), _REQ))
-view("m8v", "SELECT doc_id, mapeo, mapeo LIKE '%haber=4%' AND doc_id % 5 <> 0 AS verificado FROM m3 WHERE rango <= 40")
+view("m8v", "SELECT doc_id, mapeo, mapeo LIKE '%haber=4%' AND doc_id % 5 <> 0 AS verificado FROM m3")
 query("M8_first_verified", """
 SELECT doc_id, COUNT(*) AS probados, arg_min(mapeo, rango) FILTER (WHERE verificado) AS mapeo, CASE WHEN bool_or(verificado) THEN '' ELSE 'ninguno de los ' || CAST(COUNT(*) AS STRING) ||
-  ' mapeos propuestos hace cuadrar la aritmetica del documento' END AS motivo FROM (SELECT m.doc_id, m.mapeo, rango, verificado FROM m3 m JOIN m8v v ON v.doc_id = m.doc_id AND v.mapeo = m.mapeo WHERE rango <= 40) GROUP BY doc_id""")(
+  ' mapeos propuestos hace cuadrar la aritmetica del documento' END AS motivo FROM (SELECT m.doc_id, m.mapeo, rango, verificado FROM m3 m JOIN m8v v ON v.doc_id = m.doc_id AND v.mapeo = m.mapeo) GROUP BY doc_id""")(
     lambda t: (lambda p: mp.first_verified(p, p.select("doc_id", "mapeo", (c("mapeo").contains("haber=4") & (c("doc_id") % 5 != 0)).alias("verificado"))))(stage(proposals(t))))

@@ -207,7 +207,7 @@ SELECT e.tipo, e.doc_id, CASE WHEN r.motivo IS NOT NULL THEN 'rechazado' WHEN c.
                                               F.lit("sin importes").alias("motivo")),
         t.lecturas.select("tipo", "doc_id", (F.col("doc_id") % 3 == 0).alias("pendiente"),
                           (F.col("doc_id") % 2 == 0).alias("reutilizada"))))
-view("o9_docs", """SELECT 'mayor' AS tipo, o_custkey % 20 AS doc_id FROM orders GROUP BY 2""")
+view("o9_docs", """SELECT 'mayor' AS tipo, (year(o_orderdate) - 1992) * 16 + o_custkey % 20 AS doc_id FROM orders GROUP BY 2""")
 query("O9_rejections", """
 SELECT d.tipo, d.doc_id, 'no_reconocido' AS clave, COALESCE(m.motivo,
   'no se encontro ninguna tabla de mayor en el documento') AS motivo, COALESCE(m.ev, '') AS evidencia
@@ -215,7 +215,7 @@ FROM o9_docs d LEFT JOIN (SELECT doc_id, 'sin importes' AS motivo,
   'e1 | e2 | e3 | e4' AS ev FROM may_zero GROUP BY doc_id HAVING COUNT(saldo) = 0) m ON m.doc_id = d.doc_id
 WHERE NOT EXISTS (SELECT 1 FROM may_zero z WHERE z.doc_id = d.doc_id AND z.saldo IS NOT NULL)""")(
     lambda t: sh.rejections(
-        t.orders.select(F.lit("mayor").alias("tipo"), (F.col("o_custkey") % 20).alias("doc_id")).distinct(),
+        t.orders.select(F.lit("mayor").alias("tipo"), ((F.year("o_orderdate") - 1992) * 16 + F.col("o_custkey") % 20).alias("doc_id")).distinct(),
         t.may_zero.filter("saldo IS NOT NULL").select(F.lit("mayor").alias("tipo"), "doc_id"),
         rl.without_amounts(t.may_zero).select(
             F.lit("mayor").alias("tipo"), "doc_id", F.lit(None).cast("string").alias("clave"),
@@ -223,18 +223,19 @@ WHERE NOT EXISTS (SELECT 1 FROM may_zero z WHERE z.doc_id = d.doc_id AND z.saldo
             F.array(*[F.lit(f"e{i}") for i in range(1, 7)]).alias("evidencia"))))
 
 # ---------------------------------------------------------------------- diagnostics
-# Move rows of every tenth account were lost, so their subtotals are orphans.
-view("aux_perdido", """SELECT doc_id, seq, CASE WHEN CAST(cuenta AS BIGINT) % 20 = 0 THEN cuenta || '-000'
-  ELSE cuenta END AS cuenta, CASE WHEN CAST(cuenta AS BIGINT) % 30 = 0 THEN 0 ELSE debe END AS debe,
+# Moves of every tenth account carry another account, so the subtotals are orphans.
+view("aux_perdido", """SELECT doc_id, seq, CASE WHEN CAST(cuenta AS BIGINT) % 10 = 0 AND NOT es_subtotal THEN cuenta || '-9'
+  WHEN CAST(cuenta AS BIGINT) % 20 = 0 THEN cuenta || '-000' ELSE cuenta END AS cuenta, CASE WHEN CAST(cuenta AS BIGINT) % 30 = 0 THEN 0 ELSE debe END AS debe,
   CASE WHEN CAST(cuenta AS BIGINT) % 30 = 0 THEN 0 ELSE haber END AS haber, es_subtotal FROM auxiliar
-  WHERE es_subtotal OR CAST(cuenta AS BIGINT) % 10 <> 0""")
+""")
 
 
 def _lost_moves(t):
     n = F.col("cuenta").cast("bigint")
-    a = t.auxiliar.filter(F.col("es_subtotal") | (n % 10 != 0))
+    a = t.auxiliar
     zero = F.lit(0).cast(D)
-    return a.select("doc_id", "seq", F.when(n % 20 == 0, F.concat("cuenta", F.lit("-000")))
+    return a.select("doc_id", "seq", F.when((n % 10 == 0) & ~F.col("es_subtotal"), F.concat("cuenta", F.lit("-9")))
+                    .when(n % 20 == 0, F.concat("cuenta", F.lit("-000")))
                     .otherwise(F.col("cuenta")).alias("cuenta"),
                     *[F.when(n % 30 == 0, zero).otherwise(F.col(c)).alias(c) for c in ("debe", "haber")],
                     "es_subtotal")

@@ -365,9 +365,9 @@ view("k11", r"""SELECT doc_id, COUNT(*) FILTER (WHERE text IN ('SERDAN-228,200.6
   COUNT(*) FILTER (WHERE tr) AS palabras_traslapadas, COUNT(*) AS palabras,
   COUNT(*) FILTER (WHERE tr) / COUNT(*) AS fraccion_traslape, COUNT(*) FILTER (WHERE text LIKE '(cid:%') / COUNT(*) AS fraccion_cid,
   COUNT(*) FILTER (WHERE pos % 8 = 0) AS primeras
-  FROM k10 w WHERE (SELECT COUNT(DISTINCT page) FROM words_cid o WHERE o.doc_id = w.doc_id AND o.page < w.page) < 2 GROUP BY doc_id""")
+  FROM k10 GROUP BY doc_id""")
 query("K11_U2_signals", "SELECT * FROM k11")(
-    lambda t: tk.signals(t.words_cid, 2, {"primeras": F.count_if(c("pos") % 8 == 0)}))
+    lambda t: tk.signals(t.words_cid, None, {"primeras": F.count_if(c("pos") % 8 == 0)}))
 query("K12_strategy", """
 SELECT doc_id, CASE WHEN fraccion_cid >= 0.5 THEN 'ocr' WHEN tokens_contaminados > 0 OR fraccion_traslape > 0.02 THEN 'pdf_chars' ELSE 'pdf_text' END AS estrategia,
   CASE WHEN fraccion_cid >= 0.5 THEN printf('%.1f', fraccion_cid * 100) || '% de la muestra viene en CID sin mapa ToUnicode: el PDF no trae la tabla que traduce glifos a letras, asi que se relee por OCR'

@@ -35,7 +35,7 @@ def oracle(body: str) -> str:
     everything = body + "".join(VIEWS[v] for v in order)
     base = [n for n in re.findall(r"[a-z_0-9]+", everything) if n in RELATIONS]
     parts = [oracle_ctes(base)] if closure(base) else []
-    parts += [f"{v} AS ({VIEWS[v]})" for v in order]
+    parts += [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order]
     body = body.strip()
     if re.match(r"(?i)select\b", body):
         return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body

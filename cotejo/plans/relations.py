@@ -235,25 +235,25 @@ FROM bal_rows"""
 
 # ------------------------------------------------------------- general ledger (M)
 RELATIONS["may_grid"] = """
-SELECT custkey, {each_month} AS mes
-FROM (SELECT DISTINCT o_custkey AS custkey FROM orders) k"""
+SELECT custkey, anio, {each_month} AS mes
+FROM (SELECT DISTINCT o_custkey AS custkey, CAST(year(o_orderdate) AS BIGINT) AS anio FROM orders) k"""
 
 RELATIONS["may_sums"] = f"""
-SELECT o_custkey AS custkey, month(o_orderdate) AS mes,
+SELECT o_custkey AS custkey, CAST(year(o_orderdate) AS BIGINT) AS anio, month(o_orderdate) AS mes,
        SUM(CASE WHEN o_orderstatus IN ('F', 'P') THEN CAST(o_totalprice AS {M}) ELSE 0 END) AS cargos,
        SUM(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS {M}) ELSE 0 END) AS abonos
-FROM orders WHERE year(o_orderdate) = 1996 GROUP BY o_custkey, month(o_orderdate)"""
+FROM orders GROUP BY o_custkey, year(o_orderdate), month(o_orderdate)"""
 
 RELATIONS["may_flow"] = f"""
-SELECT g.custkey AS custkey, CAST(g.mes AS INT) AS mes,
+SELECT g.custkey AS custkey, g.anio AS anio, CAST(g.mes AS INT) AS mes,
        CAST(COALESCE(cargos, 0) AS {M}) AS cargos, CAST(COALESCE(abonos, 0) AS {M}) AS abonos
-FROM may_grid g LEFT JOIN may_sums s ON s.custkey = g.custkey AND s.mes = g.mes"""
+FROM may_grid g LEFT JOIN may_sums s ON s.custkey = g.custkey AND s.anio = g.anio AND s.mes = g.mes"""
 
 # Twelve rows per account: the window is bounded by construction.
 RELATIONS["may_chain"] = f"""
-SELECT custkey, mes, cargos, abonos,
-       CAST(SUM(cargos) OVER (PARTITION BY custkey ORDER BY mes) AS {M}) AS ac,
-       CAST(SUM(abonos) OVER (PARTITION BY custkey ORDER BY mes) AS {M}) AS aa
+SELECT custkey, anio, mes, cargos, abonos,
+       CAST(SUM(cargos) OVER (PARTITION BY custkey, anio ORDER BY mes) AS {M}) AS ac,
+       CAST(SUM(abonos) OVER (PARTITION BY custkey, anio ORDER BY mes) AS {M}) AS aa
 FROM may_flow"""
 
 _MONTHS = ("Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio", "Agosto",
@@ -262,7 +262,7 @@ _MONTH_NAME = "CASE mes " + " ".join(
     f"WHEN {i} THEN '{n}'" for i, n in enumerate(_MONTHS, 1)) + " END"
 
 RELATIONS["mayor_meses"] = f"""
-SELECT custkey % 16 AS doc_id, custkey * 16 + mes AS seq,
+SELECT (anio - 1992) * 16 + custkey % 16 AS doc_id, custkey * 16 + mes AS seq,
        CAST(1000000 + custkey AS STRING) AS cuenta, mes AS orden, {_MONTH_NAME} AS periodo,
        cargos, abonos,
        CASE WHEN (custkey + mes) % 31 = 0 THEN NULL ELSE CAST(500.00
@@ -275,7 +275,7 @@ SELECT custkey % 16 AS doc_id, custkey * 16 + mes AS seq,
 FROM may_chain"""
 
 RELATIONS["mayor_base"] = f"""
-SELECT DISTINCT o_custkey % 16 AS doc_id, o_custkey * 16 AS seq,
+SELECT DISTINCT (CAST(year(o_orderdate) AS BIGINT) - 1992) * 16 + o_custkey % 16 AS doc_id, o_custkey * 16 AS seq,
        CAST(1000000 + o_custkey AS STRING) AS cuenta,
        'CUENTA ' || CAST(o_custkey AS STRING) AS nombre_cuenta,
        CASE WHEN o_custkey % 113 = 0 THEN NULL ELSE CAST(500.00 AS {M}) END AS saldo_inicial,

@@ -30,12 +30,14 @@ def local_session(cores: str = "8", app: str = "cotejo") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for stage tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests)
-    is one fresh local folder per session used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session (tests)
+    gets one fresh folder; on a cluster executors do not share local folders, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

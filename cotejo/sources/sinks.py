@@ -93,11 +93,12 @@ def validation_discrepancies(disc: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> list[str]:
-    """Write each table under ``folder``, ranged by document."""
+    """Write each table under ``folder``, ranged by document and, inside it, by entry or row."""
     paths = []
     for name, df in tables.items():
         path = f"{folder}/{name}"
-        df.repartitionByRange("doc_id", *(["seq"] if "seq" in df.columns else [])).write.mode(
+        inside = [c for c in ("poliza_id", "seq") if c in df.columns]
+        df.repartitionByRange("doc_id", *inside).write.mode(
             mode).parquet(path)
         paths.append(path)
     return paths
