@@ -31,6 +31,7 @@ from cotejo.session import stage
 
 WIDTH = 5
 BANDS, ROWS = 28, 6  # a pair at 0.8 shares no band once in 4,900
+PROFILE = 256  # hash classes of a bag's profile
 WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -215,29 +216,34 @@ def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _units(members: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Of the members' bags: their sizes, and their units that a second bag holds too.
+    """Of the members' bags: their sizes and profiles, and their units that a second bag holds too.
 
     The second occurrence of a shingle in a bag is a unit of its own, and so on, so that bags
-    become sets. Both are stored: (node, size) and (node, unit, holders).
+    become sets. A profile counts the units in each of ``PROFILE`` hash classes. Both are
+    stored: (node, size, profile) and (node, unit, holders).
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            units = []
+            units, profiles = [], []
             for text in batch.column("text"):
                 items, counts = shingler.bag(text.as_py())
                 nth = np.arange(counts.sum(), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
-                units.append(mix(np.repeat(items, counts) + nth * _GOLD).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(units, pa.list_(pa.int64()))], ["node", "units"])
-
-    bags = stage(texts.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(cut, "node long, units array<long>"))
+                own = mix(np.repeat(items, counts) + nth * _GOLD)
+                units.append(own.view(np.int64))
+                profiles.append(np.bincount((own >> np.uint64(20)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(units, pa.list_(pa.int64())),
+                                              pa.array(profiles, pa.list_(pa.int32()))], ["node", "units", "profile"])
+
+    bags = stage(texts.join(members.select("node").distinct(), "node", "left_semi")
+                 .mapInArrow(cut, "node long, units array<long>, profile array<int>"))
     each = bags.select("node", F.explode("units").alias("unit"))
     held = each.groupBy("unit").agg(F.count("*").alias("holders")).where("holders > 1")
-    return bags.select("node", F.size("units").alias("size")), stage(each.join(held, "unit"))
+    return bags.select("node", F.size("units").alias("size"), "profile"), stage(each.join(held, "unit"))
 
 
 def _can_link(members: DataFrame, sizes: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """(node, size, shared, needed) of the nodes that can be alike to some node of their buckets; stored.
+    """(node, size, profile, shared, needed) of the nodes that can be alike to some node of their buckets; stored.
 
     A pair at the threshold t shares t / (1 + t) of the sum of its sizes, and no node is below
     the smallest of its buckets nor below t times its partner.
@@ -248,7 +254,7 @@ def _can_link(members: DataFrame, sizes: DataFrame, common: DataFrame, threshold
     partner = F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + partner) - 1e-6)
     return stage(mates.join(sizes, "node").join(shared, "node").withColumn("needed", needed)
-                 .where("shared >= needed").select("node", "size", "shared", "needed"))
+                 .where("shared >= needed").select("node", "size", "profile", "shared", "needed"))
 
 
 def _leader_pairs(members: DataFrame, able: DataFrame) -> DataFrame:
@@ -259,18 +265,23 @@ def _leader_pairs(members: DataFrame, able: DataFrame) -> DataFrame:
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def _prefix_pairs(members: DataFrame, able: DataFrame, common: DataFrame) -> DataFrame:
+def _prefix_pairs(members: DataFrame, able: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components that can still be alike.
 
     Two bags that share ``needed`` units share one among the ``size - needed + 1`` rarest of
     either, so only these meet. Units that no other bag holds are the rarest and meet nothing.
+    Two bags differ in at least as many units as their profiles differ by, and a pair at the
+    threshold t differs in (1 - t) / (1 + t) of the sum of its sizes at most, so a pair is
+    made only if its profiles allow it.
     """
     nodes = members.select("node", "comp").distinct().join(able, "node")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "unit"))
     rarest = common.join(nodes, "node").withColumn("rank", rank + F.col("size") - F.col("shared")) \
-        .where(F.col("rank") <= F.col("size") - F.col("needed") + 1).select("unit", "node", "comp")
+        .where(F.col("rank") <= F.col("size") - F.col("needed") + 1).select("unit", "node", "comp", "size", "profile")
     rarest = stage(rarest)
-    both = rarest.alias("x").join(rarest.alias("y"), F.expr("x.unit = y.unit AND x.comp < y.comp"))
+    apart = "aggregate(zip_with(x.profile, y.profile, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
+    most = f"{(1 - threshold) / (1 + threshold)!r}D * (x.size + y.size) + 1e-6D"
+    both = rarest.alias("x").join(rarest.alias("y"), F.expr(f"x.unit = y.unit AND x.comp < y.comp AND {apart} <= {most}"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -305,7 +316,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
         edges = edges.union(verified(led, texts, threshold, width))
         final = components(edges)
         members = _mixed(members, final)
-        rest = _prefix_pairs(members, able, common).join(star.union(led), ["a", "b"], "left_anti")
+        rest = _prefix_pairs(members, able, common, threshold).join(star.union(led), ["a", "b"], "left_anti")
         edges = edges.union(verified(stage(rest), texts, threshold, width))
         final = components(edges)
     named = nodes.select("node", "key", "rep").join(final, "node", "left") \
