@@ -29,11 +29,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int,
 
 
 def fit_in_one_task(features: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:
-    """Fit on the features of a bounded sample in one executor task; the model comes back as bytes."""
+    """Fit on the features of a bounded sample in one executor task; the model comes back as bytes.
+
+    The rows come in any order; ``fit`` puts them in order where the order matters.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             yield pa.RecordBatch.from_pydict({"model": pa.array([fit(table)], pa.binary())})
 
     rows = stage(features).repartition(1).mapInArrow(run, "model binary").collect()

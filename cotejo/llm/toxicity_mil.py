@@ -96,36 +96,52 @@ def fit_noisy_or(table: pa.Table, dim: int = DIM, epochs: int = 12, rate: float
     A feature counts by its inverse document frequency, so that what is everywhere moves little;
     one of fewer than ``least`` documents keeps weight 0, as it could only learn by heart.
     """
-    label = table["label"].to_numpy().astype(np.float64)
-    words = [np.asarray(x.values.to_numpy(), np.int64) for x in table["words"]]
-    number = [np.asarray(x.values.to_numpy(), np.int64) for x in table["number"]]
-    count = table["sentences"].to_numpy()
-    weights, bias = np.zeros(dim), -5.0
+    order = np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy()))
+    label = table["label"].to_numpy()[order].astype(np.float64)
+    count = table["sentences"].to_numpy()[order]
+    source, vocabulary, features = Words(dim), {}, []
+    words: list[np.ndarray] = []  # of each document's (sentence, word) pairs
+    number: list[np.ndarray] = []
     frequency = np.zeros(dim, np.int64)
-    for w in words:
-        frequency[np.unique(w)] += 1
-    value = np.log((1.0 + len(label)) / (1.0 + frequency))
-    often = [frequency[w] >= least for w in words]
-    words, number = [w[o] for w, o in zip(words, often, strict=True)], [n[o] for n, o in zip(number, often, strict=True)]
+    for k in order.tolist():
+        own = []
+        for w in table["words"][k].as_py():
+            if w not in vocabulary:
+                vocabulary[w] = len(features)
+                features.append(source.features(w).astype(np.int32))
+            own.append(vocabulary[w])
+        if own:
+            frequency[np.unique(np.concatenate([features[w] for w in own]))] += 1
+        words.append(np.array(own, np.int32)[table["place"][k].values.to_numpy()])
+        number.append(table["number"][k].values.to_numpy())
+    flat = np.concatenate([*features, np.zeros(0, np.int32)])
+    sizes = np.array([len(f) for f in features], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    weights, bias = np.zeros(dim), -5.0
     seen, seen_bias = np.full(dim, 1e-2), 1e-2
+    value = np.where(frequency >= least, np.log((1.0 + len(label)) / (1.0 + frequency)), 0.0)
     rng = np.random.default_rng(seed)
     batch = max(16, min(batch, len(label) // 100))
     for _ in range(epochs):
-        order = rng.permutation(len(label))
-        for k in range(0, len(order), batch):
-            part = order[k:k + batch]
+        turn = rng.permutation(len(label))
+        for k in range(0, len(turn), batch):
+            part = turn[k:k + batch]
             starts = np.concatenate([[0], np.cumsum(count[part])])
-            word = np.concatenate([words[i] for i in part])
+            used, word = np.unique(np.concatenate([words[i] for i in part]), return_inverse=True)
             sent = np.concatenate([number[i] + starts[j] for j, i in enumerate(part)])
             doc = np.repeat(np.arange(len(part)), count[part])
-            z = bias + np.bincount(sent, (weights * value)[word], starts[-1])
+            size, here = sizes[used], np.cumsum(sizes[used]) - sizes[used]
+            feature = flat[np.repeat(begins[used] - here, size) + np.arange(size.sum())]
+            worth = np.add.reduceat((weights * value)[feature], here) if len(used) else np.zeros(0)
+            z = bias + np.bincount(sent, worth[word], starts[-1])
             p = sigmoid(z)
             clean = np.bincount(doc, -np.logaddexp(0, z), len(part))  # log(1 - score)
             y = label[part]
             toxic = -np.expm1(clean)
             pull = np.where(y > 0, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0)
             slope = p * pull[doc]
-            grad = value * np.bincount(word, slope[sent], dim) / len(part)
+            pulled = np.repeat(np.bincount(word, slope[sent], len(used)), size)
+            grad = value * np.bincount(feature, pulled, dim) / len(part)
             grad += decay * weights * (grad != 0)
             seen += grad * grad
             weights -= rate * grad / np.sqrt(seen)
@@ -139,28 +155,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
                    dim: int = DIM) -> bytes:
     """The model, from labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = Words(dim), {}
+        parser = Words(dim)
         for b in batches:
-            found = []
+            numbers, places, words, sizes = [], [], [], []
             for t in b.column("text"):
-                if words.full():
-                    known.clear()
-                number, used, n = words.parse(t.as_py())
-                each = []
-                for w in used.tolist():
-                    if w not in known:
-                        known[w] = words.features(words.words[w])
-                    each.append(known[w])
-                sizes = [len(x) for x in each]
-                found.append((np.repeat(number, sizes), np.concatenate(each) if each else np.zeros(0, np.int64), n))
+                parser.full()
+                number, used, n = parser.parse(t.as_py())
+                own, place = np.unique(used, return_inverse=True)
+                numbers.append(number.astype(np.int32))
+                places.append(place.astype(np.int32))
+                words.append([parser.words[w] for w in own.tolist()])
+                sizes.append(n)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "label": b.column("label"),
-                "number": pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())),
-                "words": pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
-                "sentences": pa.array([x[2] for x in found], pa.int64())})
+                "number": pa.array(numbers, pa.list_(pa.int32())), "place": pa.array(places, pa.list_(pa.int32())),
+                "words": pa.array(words, pa.list_(pa.string())), "sentences": pa.array(sizes, pa.int64())})
 
     sample = labelled_sample(docs, labels, label, most, F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"))
-    features = sample.mapInArrow(parse, "doc_id long, label int, number array<int>, words array<int>, sentences long")
+    features = sample.mapInArrow(parse, "doc_id long, label int, number array<int>, place array<int>, words array<string>, sentences long")
     return fit_in_one_task(features, lambda t: fit_noisy_or(t, dim))
 
 
