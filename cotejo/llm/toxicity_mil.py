@@ -182,15 +182,18 @@ class Scorer:
     def __init__(self, model: bytes, dim: int = DIM):
         values = np.frombuffer(model, "<f4").astype(np.float64)
         self.bias, self.weights = (values[0], values[1:]) if len(values) else (-1e3, np.zeros(dim))
-        self.words, self.worth = Words(dim), np.zeros(0)
+        self.words, self.worth, self.filled = Words(dim), np.zeros(1024), 0
 
     def sentences(self, text: str) -> np.ndarray:
         if self.words.full():
-            self.worth = np.zeros(0)
+            self.filled = 0
         number, ids, n = self.words.parse(text)
-        if len(self.worth) < len(self.words.words):
-            new = self.words.words[len(self.worth):]
-            self.worth = np.concatenate([self.worth, [self.weights[self.words.features(w)].sum() for w in new]])
+        known = len(self.words.words)
+        if known > len(self.worth):
+            self.worth = np.concatenate([self.worth, np.zeros(known)])
+        for k in range(self.filled, known):
+            self.worth[k] = self.weights[self.words.features(self.words.words[k])].sum()
+        self.filled = known
         return sentence_scores(self.worth, self.bias, number, ids, n)
 
 
