@@ -167,9 +167,9 @@ def ledger_declared_vs_read(heads: DataFrame, months: DataFrame) -> DataFrame:
     j = heads.join(sums, ["doc_id", "cuenta"]).withColumn(
         "cadena", f("saldo_inicial") + sign * (f("c") - f("a")))
     rows = j.select("doc_id", "cuenta", F.expr("""stack(3,
-        'total_cargos', total_cargos, CAST(c AS DECIMAL(18,2)),
-        'total_abonos', total_abonos, CAST(a AS DECIMAL(18,2)),
-        'saldo_final', saldo_final, CAST(cadena AS DECIMAL(18,2))) AS (campo, declarado, leido)"""))
+        'total_cargos', total_cargos, CAST(c AS DECIMAL(38,2)),
+        'total_abonos', total_abonos, CAST(a AS DECIMAL(38,2)),
+        'saldo_final', saldo_final, CAST(cadena AS DECIMAL(38,2))) AS (campo, declarado, leido)"""))
     return rows.filter("declarado <> leido")
 
 
@@ -180,9 +180,9 @@ def bank_declared_vs_read(accounts: DataFrame, moves: DataFrame) -> DataFrame:
         F.max_by("saldo", F.when(F.col("saldo").isNotNull(), F.col("seq"))).alias("ultimo"))
     j = accounts.join(sums, ["doc_id", "num_cuenta"], "left")
     rows = j.select("doc_id", "seq", "num_cuenta", F.expr("""stack(3,
-        'depositos', depositos, CAST(COALESCE(d, 0) AS DECIMAL(18,2)),
-        'retiros', retiros, CAST(COALESCE(r, 0) AS DECIMAL(18,2)),
-        'saldo_corte', saldo_corte, ultimo) AS (campo, declarado, leido)"""))
+        'depositos', depositos, CAST(COALESCE(d, 0) AS DECIMAL(38,2)),
+        'retiros', retiros, CAST(COALESCE(r, 0) AS DECIMAL(38,2)),
+        'saldo_corte', saldo_corte, CAST(ultimo AS DECIMAL(38,2))) AS (campo, declarado, leido)"""))
     return rows.groupBy("doc_id", "campo").agg(
         F.count_if(F.col("declarado") != F.col("leido")).alias("difieren"),
         F.count_if(F.col("declarado").isNull() | F.col("leido").isNull()).alias("sin_cifra"))

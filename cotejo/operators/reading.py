@@ -28,7 +28,7 @@ from cotejo.functions.text import (
     without_marks,
 )
 from cotejo.operators.scan import ordered_scan
-from cotejo.operators.verdict import MONEY
+from cotejo.operators.verdict import AMOUNT
 
 c = F.col
 LINE = ["doc_id", "page", "line"]
@@ -74,7 +74,7 @@ def not_amounts(kind: str, w: Column | str = "w") -> Column:
 
 
 def money_of(t: Column) -> Column:
-    return parse_money(t).cast(MONEY)
+    return parse_money(t).cast(AMOUNT)
 
 
 def label(n: int = 3) -> Column:
@@ -174,7 +174,7 @@ def subledger_classes(lines: DataFrame) -> DataFrame:
                            joined(rest_from("w", 3)))).alias("nombre"))).when(c("_open"), F.struct(
             F.lit(False).alias("espera"), F.lit("").alias("cuenta"), F.lit("").alias("nombre")))})
     last = F.get(amounts("auxiliar"), F.size(amounts("auxiliar")) - 1)["text"]
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(AMOUNT)
     labelled = c("_open") & F.coalesce(c("_ev.espera"), F.lit(False))
     kind = (F.when(c("_named"), "etiqueta").when(labelled, "seccion_etiquetada").when(sub, "subtotal")
             .when(move, "movimiento").when(inrow, "seccion_en_fila")
@@ -207,7 +207,7 @@ def subledger_rows(classed: DataFrame) -> DataFrame:
                                  lambda k: k["t"]), " ").alias(f"_{f}") for f in SUB_TEXTS])
     j = s.filter("_row").join(tails, ["doc_id", "isla"], "left")
     readable = _is_money(c("saldo"))
-    zero_if_blank = lambda f: F.coalesce(money_of(c(f)), F.lit(0).cast(MONEY))
+    zero_if_blank = lambda f: F.coalesce(money_of(c(f)), F.lit(0).cast(AMOUNT))
     return j.select(
         "doc_id", "seq", c("sec.cuenta").alias("cuenta"), c("sec.nombre").alias("nombre_cuenta"),
         c("sec.inicial").alias("saldo_inicial_cuenta"), "folio", "fecha",
@@ -310,7 +310,7 @@ def debit_credit(am: Column) -> tuple[Column, Column]:
     """Two amounts are debit and credit; one goes to the side of the nearer anchor."""
     size = F.size(am)
     last, prev = F.get(am, size - 1), F.get(am, size - 2)
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(AMOUNT)
     left = F.abs(last["x1"] - c("izq")) <= F.abs(last["x1"] - c("der"))
     two = size >= 2
     debit = F.when(two, prev["text"]).when(left, last["text"])
@@ -384,7 +384,7 @@ def ledger_heads(ll: DataFrame) -> DataFrame:
     two = label(2)
     opening = ~c("abre") & (two.startswith("inicial") | two.startswith("saldo inicial"))
     am = amounts("mayor")
-    value = F.when(F.size(am) > 0, money_of(F.get(am, F.lit(0))["text"])).otherwise(F.lit(0).cast(MONEY))
+    value = F.when(F.size(am) > 0, money_of(F.get(am, F.lit(0))["text"])).otherwise(F.lit(0).cast(AMOUNT))
     first = ll.filter(opening).groupBy("doc_id", c("cta.id").alias("seq")).agg(
         F.min_by(value, "seq").alias("saldo_inicial"))
     own = ll.filter("abre").select("doc_id", "seq", c("cta.cuenta").alias("cuenta"),
@@ -410,7 +410,7 @@ def ledger_months(ll: DataFrame, anchors: DataFrame) -> DataFrame:
         own = F.filter("_p", lambda k: k["i"] == i)
         return money_of(F.get(own, F.size(own) - 1)["t"])
 
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(AMOUNT)
     return m.select(
         "doc_id", "seq", c("cta.cuenta").alias("cuenta"), "orden", w0["text"].alias("periodo"),
         F.coalesce(at(0), zero).alias("cargos"), F.coalesce(at(1), zero).alias("abonos"), at(2).alias("saldo"),

@@ -17,7 +17,7 @@ from cotejo.functions.text import (
 from cotejo.operators.layout import edge_limit, widened
 from cotejo.operators.reading import LINE, PAGE_BITS, amounts, joined, money_of, not_amounts, texts
 from cotejo.operators.scan import ordered_scan
-from cotejo.operators.verdict import MONEY
+from cotejo.operators.verdict import AMOUNT
 
 c = F.col
 KIND = "estado_cuenta"
@@ -150,7 +150,7 @@ def resolve_accounts(rows: DataFrame, ident: DataFrame, balances: DataFrame) ->
     blank = lambda x: F.nullif(c(x), F.lit(""))
     many = rows.join(n.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(
         "doc_id", "num_cuenta", "clabe", "producto", F.lit("").alias("moneda"), "saldo_inicial",
-        F.lit(None).cast(MONEY).alias("depositos"), F.lit(None).cast(MONEY).alias("retiros"), "saldo_corte")
+        F.lit(None).cast(AMOUNT).alias("depositos"), F.lit(None).cast(AMOUNT).alias("retiros"), "saldo_corte")
     one = ident.join(n.filter("n > 1").select("doc_id"), "doc_id", "left_anti").alias("i")
     r = rows.select("doc_id", *[c(x).alias(f"r_{x}") for x in ("num_cuenta", "clabe", "producto", "saldo_inicial", "saldo_corte")])
     j = one.join(r, "doc_id", "left").join(balances, "doc_id", "left")
@@ -220,7 +220,7 @@ def move_cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
 def empty_amounts(t: Column, null_when_empty: bool = False) -> Column:
     """An empty deposit or withdrawal is zero; an empty balance stays null."""
     v = money_of(t)
-    return v if null_when_empty else F.coalesce(v, F.lit(0).cast(MONEY))
+    return v if null_when_empty else F.coalesce(v, F.lit(0).cast(AMOUNT))
 
 
 def table_lines(lines: DataFrame, headers: DataFrame, sections: DataFrame, first_account: DataFrame) -> DataFrame:

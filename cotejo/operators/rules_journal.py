@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
-from cotejo.operators.verdict import BAD, EXACT, Rule, compare, money
+from cotejo.operators.verdict import BAD, EXACT, MONEY, Rule, compare, money
 
 KEY = ["doc_id", "poliza_id"]
 
@@ -85,8 +85,8 @@ def invoices_attached(cfdi: DataFrame, entries: DataFrame) -> Rule:
     fila = F.when(F.col("uuid") != "", F.col("uuid")).otherwise(F.col("documento"))
     frame = j.select(
         "doc_id", F.lit(-1).alias("seq"), fila.alias("fila"), F.lit("cfdi").alias("subregla"),
-        F.lit(None).cast("decimal(18,2)").alias("esperado"),
-        F.lit(None).cast("decimal(18,2)").alias("obtenido"),
+        F.lit(None).cast(MONEY).alias("esperado"),
+        F.lit(None).cast(MONEY).alias("obtenido"),
         F.when(F.col("existe"), EXACT).otherwise(BAD).alias("veredicto"))
     return Rule("cfdi", frame, empty=_NO_CFDI)
 
@@ -101,8 +101,8 @@ def invoices_crossed(cfdi: DataFrame, entries: DataFrame) -> Rule:
     frame = j.select(
         "doc_id", F.lit(-1).alias("seq"), F.col("poliza_id").cast("string").alias("fila"),
         F.lit("cfdi_cruzado").alias("subregla"),
-        F.lit(None).cast("decimal(18,2)").alias("esperado"),
-        F.lit(None).cast("decimal(18,2)").alias("obtenido"),
+        F.lit(None).cast(MONEY).alias("esperado"),
+        F.lit(None).cast(MONEY).alias("obtenido"),
         F.when(comparable, F.when(F.col("descripcion").contains(F.col("documento")), EXACT)
                .otherwise(BAD)).alias("veredicto"),
         (F.col("uuid") == "").alias("sin_uuid"))

@@ -13,7 +13,7 @@ from cotejo.functions.accounts import (
     parent_of,
 )
 from cotejo.operators.scan import first_names
-from cotejo.operators.verdict import MONEY, TOLERANCE, Rule, compare, money
+from cotejo.operators.verdict import AMOUNT, MONEY, TOLERANCE, Rule, compare, money
 
 KEY = ["doc_id", "cuenta"]
 # Where the nature of a row came from (fixed values).
@@ -83,7 +83,7 @@ def resolve(raw: DataFrame) -> DataFrame:
     f = F.col
     rows = levels_and_parents(raw).join(natures(raw), KEY)
     credit = f("nat") == "A"
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(AMOUNT)
     rows = summary_accounts(rows)
     return rows.select(
         "doc_id", "seq", "cuenta", "nivel", "cuenta_padre", f("nat").alias("naturaleza"), "nombre",

@@ -17,7 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+AMOUNT = "decimal(18,2)"  # one printed figure
+MONEY = "decimal(38,2)"   # sums and what is computed from them
 TOLERANCE = "0.01"
 
 # Fixed values of the result table.

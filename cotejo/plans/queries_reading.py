@@ -12,7 +12,7 @@ from cotejo.operators import reading as rd
 from cotejo.operators import reading_bank as bk
 from cotejo.operators import tokens as tk
 from cotejo.plans.queries_layout import stored
-from cotejo.plans.queries_rules import D
+from cotejo.plans.relations import M as D
 from cotejo.plans.registry import query, view
 
 c = F.col

@@ -9,7 +9,7 @@ from cotejo.operators.verdict import rule_discrepancies, rule_results
 from cotejo.plans.registry import query, view
 from cotejo.session import stage
 
-D = "DECIMAL(18,2)"
+D = "DECIMAL(38,2)"
 DISC = ["doc_id", "regla", "subregla", "indice", "fila", "esperado", "obtenido"]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cotejo.functions.accounts import ancestors_of
 from cotejo.functions.text import parse_money
 from cotejo.operators.reading_bank import section_lines
+from cotejo.operators.rules_journal import entry_totals
 from cotejo.operators.rules_ledger import natures
 from cotejo.operators.scan import ordered_scan
 from cotejo.session import shared_dir
@@ -76,3 +77,11 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_sums_beyond_one_amount(spark):
+    """Three amounts of 9e15 exceed the type of one amount."""
+    moves = spark.createDataFrame([(1, 1, k, 9 * 10 ** 15) for k in range(3)], "doc_id long, poliza_id long, seq long, v long").select(
+        "doc_id", "poliza_id", "seq", F.col("v").cast("decimal(18,2)").alias("debe"), F.lit(0).cast("decimal(18,2)").alias("haber"))
+    (r,) = entry_totals(moves).collect()
+    assert int(r.leido_debe) == 27 * 10 ** 15

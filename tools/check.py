@@ -2,6 +2,7 @@
 
 import functools
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -36,7 +37,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    spark = local_session(os.environ.get("CHECK_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -72,6 +73,11 @@ def main() -> int:
             print(f"COLS  {name}: {sorted(cols)} / {sorted(exp_cols)}")
             continue
         ix = [exp_cols.index(c) for c in cols]
+        odd = [(c, k, str(cur.description[i][1])) for (c, k), i in zip(df.dtypes, ix)
+               if "decimal" in k.lower() + str(cur.description[i][1]).lower() and k.lower() != str(cur.description[i][1]).lower()]
+        if odd:
+            bad += 1
+            print(f"TYPES {name}: {odd}")
         a = sorted(tuple(norm(v) for v in r) for r in got)
         b = sorted(tuple(norm(r[i]) for i in ix) for r in exp)
         if a == b:
