@@ -155,9 +155,8 @@ def token_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
     summed = _texts(docs).select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(buckets, np.int64)
-    for r in summed.toLocalIterator():  # ``buckets`` rows at most
-        counts[r.bucket] = r.n
+    counts, found = np.zeros(buckets, np.int64), summed.toArrow()  # ``buckets`` rows at most
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
