@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Pages become trees of block elements; a run of siblings alike is one repeating node. Inside
-each task the pages of a host are aligned with a reference page of it by simple tree matching:
+Pages become trees of block elements; a run of siblings alike is one repeating node. Every page
+is aligned with the reference page of its host, one for the whole table, by simple tree matching:
 the largest top-down matching of two ordered trees, found by dynamic programming over the
 children of matched nodes. Every matched pair of nodes says whether the text at that place
 stayed or changed. Summed over all pages of the host, places whose text mostly stays are
@@ -17,7 +17,9 @@ it goes.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -240,20 +242,72 @@ def with_paths(tree: tuple, path: str = "") -> Iterator[tuple[str, tuple]]:
         yield from with_paths(c, here)
 
 
+def packed(tree: tuple) -> bytes:
+    """A tree as one JSON list of (depth, label, digest, characters, link characters) in page order."""
+    out, todo = [], [(0, tree)]
+    while todo:
+        depth, n = todo.pop()
+        out.append((depth, n[0], n[2], n[3], n[4]))
+        todo += [(depth + 1, c) for c in reversed(n[1])]
+    return zlib.compress(json.dumps(out).encode())
+
+
+def unpacked(data: bytes) -> tuple:
+    below: list[tuple] = []  # nodes that wait for their parent, the last one first
+    for depth, sig, text, chars, links in reversed(json.loads(zlib.decompress(data))):
+        children = []
+        while below and below[-1][0] == depth + 1:
+            children.append(below.pop()[1])
+        below.append((depth, (sig, tuple(children), text, chars, links)))
+    return below[0][1]
+
+
+class References:
+    """Reference trees by host, the latest few kept unpacked."""
+
+    def __init__(self, limit: int = 256):
+        self.limit, self.known = limit, {}
+
+    def __getitem__(self, data: bytes) -> tuple:
+        if data not in self.known:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            self.known[data] = unpacked(data)
+        return self.known[data]
+
+
+def reference_pages(pages: DataFrame) -> DataFrame:
+    """One row per host: ``host`` and the ``tree`` of its reference page.
+
+    The reference is the page of the smallest hash among those that are not blank, whatever the
+    layout of the table; copies of it are one page.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [packed(folded(Reader(h.as_py()).root)) for h in batch.column("html")]
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "tree": pa.array(trees, pa.binary())})
+
+    hashed = pages.where(F.trim("html") != "").select("host", "html", F.xxhash64("html").alias("hash"))
+    least = hashed.groupBy(F.col("host").alias("of")).agg(F.min("hash").alias("least"))
+    chosen = hashed.join(least, (F.col("host") == F.col("of")) & (F.col("hash") == F.col("least"))) \
+        .groupBy("host").agg(F.min("html").alias("html"))
+    return chosen.mapInArrow(read, "host string, tree binary")
+
+
 def template_places(pages: DataFrame, constant: float = 0.5, linked: float = 0.8) -> DataFrame:
     """One row per host that has template places: ``host`` and ``places``, an array of paths."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = References()
         for batch in batches:
-            references: dict[str, tuple] = {}
             sums: dict[tuple[str, str], list[int]] = {}
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            for host, html, data in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("tree"), strict=True):
                 tree = folded(Reader(html.as_py()).root)
                 for path, node in with_paths(tree):
                     if node[3]:
                         s = sums.setdefault((host, path), [0, 0, 0, 0])
                         s[2] += node[3]
                         s[3] += node[4]
-                known = references.setdefault(host, tree)
+                known = references[data.as_py()] if data.is_valid else tree
                 if known == tree:
                     continue
                 paths = {id(n): p for p, n in with_paths(tree)}
@@ -268,7 +322,8 @@ def template_places(pages: DataFrame, constant: float = 0.5, linked: float = 0.8
                     **{n: pa.array([v[k] for v in sums.values()], pa.int64())
                        for k, n in enumerate(("aligned", "equal", "chars", "links"))}})
 
-    seen = pages.select("host", "html").mapInArrow(align, "host string, path string, aligned long, equal long, chars long, links long")
+    seen = pages.select("host", "html").join(stage(reference_pages(pages)), "host", "left") \
+        .mapInArrow(align, "host string, path string, aligned long, equal long, chars long, links long")
     total = seen.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("aligned", "equal", "chars", "links")))
     fixed = (F.col("aligned") > 0) & (F.col("equal") >= constant * F.col("aligned"))
     return total.where(fixed | (F.col("links") > linked * F.col("chars"))) \

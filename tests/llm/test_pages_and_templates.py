@@ -90,6 +90,22 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in wrapper.extract_pages(pages(spark, rows)).collect()} == {wrapper.main_text(article(1, "all the same"), {"html>body>div.links"})}
 
 
+def test_one_page_a_batch_is_aligned(spark):
+    rows = [(k, "http://far.example/", f"<h1>T{k}</h1><section>same on all pages</section><p>{words(k, 9)}</p>") for k in range(8)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = wrapper.extract_pages(pages(spark, rows).repartition(8, "page_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert {r.page_id: r.text for r in got} == {k: f"T{k}\n\n{words(k, 9)}" for k in range(8)}
+
+
+def test_trees_come_back():
+    tree = wrapper.folded(wrapper.Reader(article(1, "é text")).root)
+    assert wrapper.unpacked(wrapper.packed(tree)) == tree
+
+
 def test_tree_matching():
     def t(label, *children):
         return (label, tuple(children), label, 1, 0)
