@@ -1,17 +1,19 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Pages become trees of block elements; a run of siblings alike is one repeating node. Every page
-is aligned with the reference page of its host, one for the whole table, by simple tree matching:
-the largest top-down matching of two ordered trees, found by dynamic programming over the
-children of matched nodes. Every matched pair of nodes says whether the text at that place
-stayed or changed. Summed over all pages of the host, places whose text mostly stays are
-template, as are places that are mostly links; places whose text varies are content.
+Pages become trees of block elements; a run of like siblings without blocks inside (paragraphs,
+list items) is one repeating node, like containers stay apart. Every page is aligned with the
+reference page of its host, one for the whole table, by simple tree matching: the largest top-down
+matching of two ordered trees, found by dynamic programming over the children of matched nodes.
+There, a run of like containers counts as one child; inside it equal ones at either end meet,
+the others meet in order. A place is a node of the reference tree, for nodes that met none it is
+the path of labels. Counted over all pages of the host, copies once, a place where most pages have
+one text is template, and a page's text there is left out if it is that text; places that are
+mostly links are left out whatever they say.
 Elements whose role is stated by tag, role or class name (menus, footers, adverts, forms,
 comments ...) are never content, and where a page marks its article, content lies inside it.
 
 Defined results: null reads as the empty page, whose text is empty; pages without a host share
-one; pages equal to the reference count neither way, so copies of one page do not turn it into
-template; a host with one page has no template. Malformed and cut-off markup is read as far as
+one; copies of a page count once, so they do not turn it into template; a host with one page has no template. Malformed and cut-off markup is read as far as
 it goes.
 """
 
@@ -69,10 +71,10 @@ class Node:
 
 
 class Block:
-    __slots__ = ("path", "text", "aside", "inside")
+    __slots__ = ("path", "text", "aside", "inside", "node")
 
-    def __init__(self, path: str, text: str, aside: bool, inside: bool):
-        self.path, self.text, self.aside, self.inside = path, text, aside, inside
+    def __init__(self, path: str, text: str, aside: bool, inside: bool, node: Node):
+        self.path, self.text, self.aside, self.inside, self.node = path, text, aside, inside, node
 
 
 class Reader:
@@ -121,7 +123,7 @@ class Reader:
                 inside = inside or n.marks
                 # a header inside the article heads the article
                 aside = aside or (n.aside and not (n.tag == "header" and inside))
-            self.blocks.append(Block(">".join(n.sig for n in path), text, aside, inside))
+            self.blocks.append(Block(">".join(n.sig for n in path), text, aside, inside, self.node))
             self.node.texts.append(text)
             self.node.chars += len(text)
             self.node.links += min(self.link_chars, len(text))
@@ -189,39 +191,66 @@ class Reader:
             self.link_chars += len(text.strip())
 
 
-def folded(node: Node) -> tuple[str, tuple, str, int, int]:
-    """The node with runs of like siblings as one: label, children, text digest, characters, link characters."""
+def folded(node: Node, home: dict[int, tuple] | None = None) -> tuple[str, tuple, str, int, int]:
+    """The node with runs of like leaves as one: label, children, text digest, characters, link characters.
+
+    ``home`` receives, by identity, what each node below became.
+    """
     children: list[list] = []
     for c in node.children:
-        sig, below, text, chars, links = folded(c)
-        if children and children[-1][0] == sig:
+        sig, below, text, chars, links = folded(c, home)
+        if children and children[-1][0] == sig and not below and not children[-1][1]:
             last = children[-1]
-            last[1] = merged(last[1], below)
             last[2], last[3], last[4] = last[2] + text, last[3] + chars, last[4] + links
+            last[5].append(c)
         else:
-            children.append([sig, below, text, chars, links])
-    done = tuple((s, b, xxhash.xxh64_hexdigest(t) if t else "", c, k) for s, b, t, c, k in children)
+            children.append([sig, below, text, chars, links, [c]])
+    done = tuple((s, b, xxhash.xxh64_hexdigest(t) if t else "", c, k) for s, b, t, c, k, _ in children)
+    if home is not None:
+        for t, c in zip(done, children, strict=True):
+            home.update((id(n), t) for n in c[5])
     return node.sig, done, "\x1f".join(node.texts), node.chars, node.links
 
 
-def merged(a: tuple, b: tuple) -> tuple:
-    """Children of a repeating node: those of either, labels once."""
-    seen = {c[0] for c in a}
-    return a + tuple(c for c in b if c[0] not in seen)
+def runs(children: tuple) -> list[tuple]:
+    """Children by runs of one label."""
+    out: list[list] = []
+    for c in children:
+        if out and out[-1][0][0] == c[0]:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def match_runs(a: list[tuple], b: list[tuple]) -> tuple[int, list[tuple[tuple, tuple]]]:
+    """Two runs of one label: equal members at the ends meet, then the others in order."""
+    least, head, tail = min(len(a), len(b)), 0, 0
+    while head < least and a[head] == b[head]:
+        head += 1
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    both = [*zip(a[:least - tail], b[:least - tail], strict=True), *zip(a[len(a) - tail:], b[len(b) - tail:], strict=True)]
+    size, pairs = 0, []
+    for x, y in both:
+        n, found = match(x, y)
+        size += n
+        pairs += found
+    return size, pairs
 
 
 def match(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tuple]]]:
     """Simple tree matching: size of the largest matching of two ordered trees, and its pairs."""
     if a[0] != b[0]:
         return 0, []
-    x, y = a[1], b[1]
+    x, y = runs(a[1]), runs(b[1])
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     sub: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            if x[i - 1][0] == y[j - 1][0]:
-                sub[i, j] = match(x[i - 1], y[j - 1])
+            if x[i - 1][0][0] == y[j - 1][0][0]:
+                sub[i, j] = match_runs(x[i - 1], y[j - 1])
                 best[i][j] = max(best[i][j], best[i - 1][j - 1] + sub[i, j][0])
     pairs, i, j = [(a, b)], len(x), len(y)
     while i and j:
@@ -263,19 +292,30 @@ def unpacked(data: bytes) -> tuple:
 
 
 class References:
-    """Reference trees by host, the latest few kept unpacked."""
+    """Reference trees and the numbers of their nodes by identity, the latest few kept unpacked."""
 
     def __init__(self, limit: int = 256):
         self.limit, self.known = limit, {}
 
-    def __getitem__(self, data: bytes) -> tuple:
+    def __getitem__(self, data: bytes) -> tuple[tuple, dict[int, int]]:
         if data not in self.known:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            self.known[data] = unpacked(data)
+            tree = unpacked(data)
+            self.known[data] = tree, {id(n): k for k, (_, n) in enumerate(with_paths(tree))}
         return self.known[data]
 
 
+def placed(tree: tuple, reference: tuple[tuple, dict[int, int]] | None) -> Iterator[tuple[str, tuple, tuple | None]]:
+    """Each node's place, the node, and the node of the reference it met."""
+    met: dict[int, tuple] = {}
+    if reference is not None:
+        met = {id(other): mine for mine, other in match(reference[0], tree)[1]}
+    for path, node in with_paths(tree):
+        mine = met.get(id(node))
+        yield path if mine is None else f"#{reference[1][id(mine)]}", node, mine
+
+
 def reference_pages(pages: DataFrame) -> DataFrame:
     """One row per host: ``host`` and the ``tree`` of its reference page.
 
@@ -295,47 +335,62 @@ def reference_pages(pages: DataFrame) -> DataFrame:
 
 
 def template_places(pages: DataFrame, constant: float = 0.5, linked: float = 0.8) -> DataFrame:
-    """One row per host that has template places: ``host`` and ``places``, an array of paths."""
+    """One row per host that has template places: ``host``, its reference ``tree`` and ``places``.
+
+    ``place=digest`` names the constant text of a place, ``@place`` a place that is mostly links.
+    """
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = References()
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[str, str, str, int], list[int]] = {}
             for host, html, data in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("tree"), strict=True):
                 tree = folded(Reader(html.as_py()).root)
-                for path, node in with_paths(tree):
-                    if node[3]:
-                        s = sums.setdefault((host, path), [0, 0, 0, 0])
-                        s[2] += node[3]
-                        s[3] += node[4]
-                known = references[data.as_py()] if data.is_valid else tree
-                if known == tree:
-                    continue
-                paths = {id(n): p for p, n in with_paths(tree)}
-                for mine, other in match(known, tree)[1]:
-                    if (mine[2] or other[2]) and id(other) in paths:
-                        s = sums.setdefault((host, paths[id(other)]), [0, 0, 0, 0])
-                        s[0] += 1
-                        s[1] += mine[2] == other[2]
+                found = [(place, node) for place, node, mine in placed(tree, references[data.as_py()] if data.is_valid else None)
+                         if node[2] or (mine is not None and mine[2])]
+                page = xxhash.xxh64_intdigest("\x1f".join(place + "=" + node[2] for place, node in found)) - (1 << 63)
+                for place, node in found:
+                    s = sums.setdefault((host, place, node[2], page), [0, 0])
+                    s[0] += node[3]
+                    s[1] += node[4]
             if sums:
                 yield pa.RecordBatch.from_pydict({
-                    "host": [h for h, _ in sums], "path": [p for _, p in sums],
-                    **{n: pa.array([v[k] for v in sums.values()], pa.int64())
-                       for k, n in enumerate(("aligned", "equal", "chars", "links"))}})
-
-    seen = pages.select("host", "html").join(stage(reference_pages(pages)), "host", "left") \
-        .mapInArrow(align, "host string, path string, aligned long, equal long, chars long, links long")
-    total = seen.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("aligned", "equal", "chars", "links")))
-    fixed = (F.col("aligned") > 0) & (F.col("equal") >= constant * F.col("aligned"))
-    return total.where(fixed | (F.col("links") > linked * F.col("chars"))) \
-        .groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("places"))
-
-
-def main_text(html: str, places: set[str]) -> str:
-    """The text of the page's varying places, blocks in page order."""
-    blocks = [b for b in Reader(html).blocks if not b.aside]
+                    **{n: [k[i] for k in sums] for i, n in enumerate(("host", "place", "digest"))},
+                    **{n: pa.array(v, pa.int64()) for n, v in (("page", [k[3] for k in sums]), ("chars", [v[0] for v in sums.values()]),
+                                                               ("links", [v[1] for v in sums.values()]))}})
+
+    def both(*more):
+        return [F.sum("chars").alias("chars"), F.sum("links").alias("links"), *more]
+
+    trees = stage(reference_pages(pages))
+    seen = pages.select("host", "html").join(trees, "host", "left") \
+        .mapInArrow(align, "host string, place string, digest string, page long, chars long, links long")
+    texts = seen.groupBy("host", "place", "digest", "page").agg(*both()) \
+        .groupBy("host", "place", "digest").agg(*both(F.count("*").alias("n")))
+    top = F.max(F.when(F.col("digest") != "", F.struct("n", "digest")))
+    total = texts.groupBy("host", "place").agg(*both(F.sum("n").alias("all"), top.alias("top")))
+    # the share among the other pages, so that two pages without a common text have none
+    fixed = (F.col("all") > 1) & (F.col("top.n") - 1 >= constant * (F.col("all") - 1))
+    linking = F.col("links") > linked * F.col("chars")
+    name = F.when(linking, F.concat(F.lit("@"), "place")).otherwise(F.concat("place", F.lit("="), "top.digest"))
+    places = total.where(fixed | linking).groupBy("host").agg(F.array_sort(F.collect_set(name)).alias("places"))
+    return places.join(trees, "host", "left").select("host", "tree", "places")
+
+
+def main_text(html: str, places: set[str], reference: tuple[tuple, dict[int, int]] | None = None) -> str:
+    """The text of the page's varying places, blocks in page order.
+
+    With a reference, ``places`` are those of ``template_places``; without, paths of labels.
+    """
+    reader = Reader(html)
+    blocks = [b for b in reader.blocks if not b.aside]
     marked = [b for b in blocks if b.inside]
-    kept = [b.text for b in marked or blocks if b.path not in places]
-    return "\n\n".join(kept)
+    if reference is None:
+        return "\n\n".join(b.text for b in marked or blocks if b.path not in places)
+    home: dict[int, tuple] = {}
+    tree = folded(reader.root, home)
+    out = {id(node) for place, node, _ in placed(tree, reference)
+           if f"@{place}" in places or f"{place}={node[2]}" in places}
+    return "\n\n".join(b.text for b in marked or blocks if id(home.get(id(b.node))) not in out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -346,11 +401,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     places = stage(template_places(rows))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = References()
         for batch in batches:
-            texts = [main_text(h.as_py(), set(p or ())) for h, p in zip(batch.column("html"), batch.column("places").to_pylist(), strict=True)]
+            texts = [main_text(h.as_py(), set(p or ()), references[t.as_py()] if t.is_valid else None)
+                     for h, p, t in zip(batch.column("html"), batch.column("places").to_pylist(), batch.column("tree"), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"),
                                               "text": pa.array(texts, pa.string()),
                                               "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return rows.join(places, "host", "left").select("page_id", "url", "html", "places") \
+    return rows.join(places, "host", "left").select("page_id", "url", "html", "tree", "places") \
         .mapInArrow(extract, "page_id long, url string, text string, n_chars long")

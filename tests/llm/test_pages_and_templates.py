@@ -90,6 +90,20 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in wrapper.extract_pages(pages(spark, rows)).collect()} == {wrapper.main_text(article(1, "all the same"), {"html>body>div.links"})}
 
 
+def test_repeated_containers_are_whole(spark):
+    def note(k):
+        return f"<div><p>{words(900 + k, 9) if k == 2 else 'Mind the gap'}</p></div>"
+
+    rows = [(k, "http://bare.example/", f"<h1>T{k}</h1>{note(k)}<div><p>{words(k, 9)}</p></div>") for k in range(6)]
+    rows += [(10 + k, "http://parts.example/", "<h1>T</h1><section><p>Read this first</p></section>"
+              + "".join(f"<section><h2>H{k}</h2><p>{words(100 * k + j, 5)}</p></section>" for j in range(1 + k % 3))
+              + "<section><p>All rights</p></section>") for k in range(6)]
+    got = {r.page_id: r.text for r in wrapper.extract_pages(pages(spark, rows)).collect()}
+    for k in range(6):  # a page's own text at a place that is template elsewhere stays
+        assert got[k] == "\n\n".join([f"T{k}"] + [words(902, 9)] * (k == 2) + [words(k, 9)])
+        assert got[10 + k] == "\n\n".join(x for j in range(1 + k % 3) for x in (f"H{k}", words(100 * k + j, 5)))
+
+
 def test_one_page_a_batch_is_aligned(spark):
     rows = [(k, "http://far.example/", f"<h1>T{k}</h1><section>same on all pages</section><p>{words(k, 9)}</p>") for k in range(8)]
     kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
