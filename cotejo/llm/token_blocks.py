@@ -192,9 +192,19 @@ class ShardReader:
 
 # --- encoding -----------------------------------------------------------------------------
 
-#: The byte-level pattern never joins a character other than white space to a space after it,
-#: so a text may be cut before any space that stands alone, or that a word follows.
-SPLIT = re.compile(r" (?=\S)")
+#: The byte-level pattern joins a space to what follows it, also to other white space, but never to
+#: a character before it that is no white space: there, and only there, a text is cut.
+SPLIT = re.compile(r"(?<=\S) ")
+#: White space before a space: texts without any of these are cut at every space but a leading one.
+WHITE_ASCII = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
+WHITE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def cut_words(text: str) -> list[str]:
+    """The text before the first cut, then what follows the space of each cut."""
+    if text[:1] == " " or any(w in text for w in (WHITE_ASCII if text.isascii() else WHITE)):
+        return SPLIT.split(text)
+    return text.split(" ")
 
 
 class PieceEncoder:
@@ -221,7 +231,7 @@ class PieceEncoder:
             if any(a in t for a in self.added):
                 cut.append([t])
             else:
-                cut.append(SPLIT.split(t) if "  " in t else t.split(" "))
+                cut.append(cut_words(t))
         heads = self._ids([ws[0] for ws in cut])
         new = self.known.missing(set().union(*(ws[1:] for ws in cut)))
         for k in range(0, len(new), 4096):

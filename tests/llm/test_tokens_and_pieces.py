@@ -1,4 +1,5 @@
 import io
+import itertools
 import zlib
 
 import numpy as np
@@ -58,6 +59,14 @@ def test_encoder_equals_the_library():
             assert [x.tolist() for x in encoder.batch(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_white_space_of_all_kinds_equals_the_library():
+    lib = Tokenizer.from_file(BPE)
+    texts = ["".join(x) for n in range(7) for x in itertools.product("a \u00a0\t\n", repeat=n)]
+    texts += [f"word{'\u00a0 ' * n}word{' \u3000' * n} x\x1c \x1c y" for n in range(6)]
+    whole = lib.encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in tb.PieceEncoder(BPE).batch(texts)] == [e.ids for e in whole]
+
+
 def test_token_files(spark):
     rows = odd_rows() + [(100 - k, words(k, 50)) for k in range(60)]
     lib = Tokenizer.from_file(BPE)
