@@ -34,7 +34,7 @@ SAMPLE = 12_000  # rated documents used for fitting, at most
 
 
 class Features:
-    """Hashed features of words (remembered up to a bound) and of whole texts."""
+    """Hashed features of words and of whole texts. Those of words of usual length are remembered, up to a bound."""
 
     def __init__(self, dim: int = DIM, limit: int = 200_000):
         self.dim, self.limit = dim, limit
@@ -44,8 +44,8 @@ class Features:
         return xxhash.xxh64_intdigest(feature) % self.dim
 
     def word(self, w: str) -> np.ndarray:
-        marked = f"^{w[:64]}$"
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w[:64])
+        marked = f"^{w}$"
+        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w)
         shape = re.sub(r"(.)\1+", r"\1", shape)
         return np.array([self.place("s" + shape)] + [self.place("t" + marked[k:k + 3]) for k in range(len(marked) - 2)])
 
@@ -62,9 +62,10 @@ class Features:
     def of_words(self, words: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self.known.clear()
+        long: dict[str, np.ndarray] = {}
         for w in set(words).difference(self.known):
-            self.known[w] = self.word(w)
-        return [self.known[w] for w in words]
+            (self.known if len(w) <= 64 else long)[w] = self.word(w)
+        return [self.known[w] if w in self.known else long[w] for w in words]
 
 
 def fit_ordinal(table: pa.Table, dim: int = DIM, epochs: int = 120, rate: float = 0.5, decay: float = 1e-6) -> bytes:

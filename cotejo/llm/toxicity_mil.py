@@ -71,7 +71,7 @@ class Words:
         return True
 
     def features(self, word: str) -> np.ndarray:
-        marked = f"<{word[:40]}>"
+        marked = f"<{word}>"
         parts = {marked[k:k + n] for n in (4, 5) for k in range(len(marked) - n + 1)} | {"=" + word}
         return np.fromiter((xxhash.xxh64_intdigest(x) % self.dim for x in sorted(parts)), np.int64, len(parts))
 

@@ -12,6 +12,21 @@ from cotejo.llm import toxicity_mil as mil
 from .fixtures import odd_rows, table, words
 
 
+def unspaced(k: int, n: int = 120) -> str:
+    return "".join(random.Random(k).choices([chr(0x4E00 + c) for c in range(300)], k=n))
+
+
+def test_signals_far_into_a_run_count(spark):
+    rows = [(k, unspaced(k) + ("毒毒龍毒毒" if k % 2 else "") + unspaced(9000 + k, 10)) for k in range(500)]
+    docs, held = table(spark, rows), [k for k in range(500) if zlib.crc32(str(k).encode()) % 5 == 0]
+    got = {r.doc_id: r for r in mil.score_toxicity(docs, mil.train_toxicity(docs, labels(spark, [(k, None, k % 2) for k, _ in rows]))).collect()}
+    assert np.mean([got[k].predicted == k % 2 for k in held]) > 0.95
+    docs = table(spark, [(k, unspaced(k) + ("%#!" * 12 if k % 2 else "好文章" * 12)) for k in range(300)])
+    model = oq.train_quality(docs, labels(spark, [(k, 1 - k % 2, 0) for k in range(200)]))
+    got = {r.doc_id: r for r in oq.score_quality(docs, model).collect()}
+    assert np.mean([(got[k].tail_probability >= 0.5) == (k % 2 == 0) for k in range(200, 300)]) > 0.95
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
