@@ -10,7 +10,6 @@ from cotejo.operators import mapping as mp
 
 from cotejo.plans.queries_text import norm_sql
 from cotejo.plans.registry import query, view
-from cotejo.plans.relations import TRIAL_FORMS
 from cotejo.session import stage
 
 c = F.col
@@ -18,17 +17,29 @@ _memo: dict[tuple, object] = {}
 
 
 def stored(name):
-    """A stage table, written once per corpus."""
+    """A stage table, or a tuple of them, written once per corpus."""
     def wrap(fn):
         def get(t):
             key = (t.spark.sparkContext.applicationId, t.folder, name)
             if key not in _memo:
-                _memo[key] = stage(fn(t))
+                made = fn(t)
+                _memo[key] = made if isinstance(made, tuple) else stage(made)
             return _memo[key]
         return get
     return wrap
 
 
+def read_tables(words):
+    """Words to ``(lines, layout, cells)``, each a stage table."""
+    lin = stage(ly.lines(words))
+    zone = stage(ly.table_region(lin, ly.candidates(lin)))
+    inside = ly.within_region(lin, zone)
+    cols = ly.text_and_amounts(ly.candidates(inside))
+    named = stage(ly.assign_headers(ly.header_words(lin, ly.header_lines(lin, zone)), cols))
+    lay = stage(ly.document_layout(named, lin.select("doc_id", "page").distinct()))
+    return lin, lay, stage(ly.cells(ly.place_words(inside, lay), lay))
+
+
 @stored("lined")
 def lined(t):
     return ly.lines(t.words)
@@ -304,66 +315,9 @@ SELECT l.doc_id, l.idx, COALESCE(nuevo, header) AS header FROM lay l LEFT JOIN n
     lambda t: ly.relabel(layout(t), lined(t), ly.header_like(lined(t), t.vocab_auxiliar)).select(
         "doc_id", c("idx").cast("bigint").alias("idx"), "header"))
 
-# -------------------------------------------------------------------------- mapping
-# Headers for the mapping search: eight columns per document, one of them ambiguous.
-view("mcols", """SELECT doc_id, i AS idx, CASE i WHEN 0 THEN 'No. Cuenta' WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Nombre de la cuenta' ELSE 'Cuenta' END WHEN 2 THEN 'Saldo Anterior'
-  WHEN 3 THEN 'Cargos' WHEN 4 THEN 'DEL MES * Abonos' WHEN 5 THEN CASE WHEN doc_id % 3 = 0 THEN 'Otro' ELSE 'Saldo Actual' END WHEN 6 THEN 'Saldo Mes' ELSE 'Abonos' END AS header
-  FROM (SELECT DISTINCT o_custkey % 16 AS doc_id FROM orders), unnest(range(0, 8)) r(i)""")
-
-
-def map_columns(t):
-    i, d = c("idx"), c("doc_id")
-    base = t.orders.select((c("o_custkey") % 16).alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("idx"))
-    return base.withColumn("header", F.when(i == 0, "No. Cuenta").when(i == 1, F.when(d % 2 == 0, "Nombre de la cuenta").otherwise("Cuenta"))
-                           .when(i == 2, "Saldo Anterior").when(i == 3, "Cargos").when(i == 4, "DEL MES * Abonos")
-                           .when(i == 5, F.when(d % 3 == 0, "Otro").otherwise("Saldo Actual")).when(i == 6, "Saldo Mes").otherwise("Abonos"))
-
-
-@stored("role_candidates")
-def role_candidates(t):
-    return mp.role_candidates(map_columns(t), t.vocab_balanza)
-
-
-view("mcand", f"""SELECT doc_id, idx, forma, orden, campo, obligatorio, MAX(CASE WHEN n = sinonimo THEN 3 ELSE 2 END) AS puntaje FROM (SELECT *, {norm_sql('header')} AS n FROM mcols) m
-  JOIN vocab_balanza v ON strpos(' ' || n || ' ', ' ' || sinonimo || ' ') > 0 GROUP BY ALL""")
-query("M1_role_candidates", "SELECT doc_id, idx, forma, campo, CAST(puntaje AS BIGINT) AS puntaje FROM mcand")(
-    lambda t: role_candidates(t).select("doc_id", c("idx").cast("bigint").alias("idx"), "forma", "campo", c("puntaje").cast("bigint").alias("puntaje")))
 query("M2_observed_shapes", r"""
 s AS (SELECT doc_id, idx, CASE WHEN regexp_full_match(trim(texto), '\d{1,2}[/-]\d{1,2}[/-]\d{2,4}') THEN 'fecha' WHEN regexp_full_match(trim(texto), '\$?-?[\d,]*\.\d{2}') THEN 'monto'
   WHEN regexp_full_match(trim(texto), '\d{1,8}') THEN 'entero' ELSE 'texto' END AS f FROM cel WHERE trim(texto) <> '')
 SELECT doc_id, idx, COUNT(*) AS celdas, CASE WHEN COUNT(*) FILTER (WHERE f = 'fecha') >= COUNT(*) * 0.8 THEN 'fecha' WHEN COUNT(*) FILTER (WHERE f = 'monto') >= COUNT(*) * 0.8 THEN 'monto'
   WHEN COUNT(*) FILTER (WHERE f = 'entero') >= COUNT(*) * 0.8 THEN 'entero' ELSE 'texto' END AS forma FROM s GROUP BY ALL""")(
     lambda t: mp.observed_shape(cell_table(t)).withColumn("idx", c("idx").cast("bigint")))
-_ROLES = [(r, req) for r, _, req in TRIAL_FORMS["saldo_con_signo"]]
-_cols, _join, _pts, _used, _txt = [], [], [], [], []
-for _i, (_r, _req) in enumerate(_ROLES):
-    _j = f"(SELECT doc_id, idx, puntaje FROM mcand WHERE forma = 'saldo_con_signo' AND campo = '{_r}'" + (
-        "" if _req else " UNION ALL SELECT DISTINCT doc_id, NULL, 0 FROM mcols") + f") r{_i}"
-    _diff = "".join(f" AND (r{_i}.idx IS NULL OR r{_k}.idx IS NULL OR r{_i}.idx <> r{_k}.idx)" for _k in range(_i))
-    _join.append(_j if _i == 0 else f"JOIN {_j} ON r{_i}.doc_id = r0.doc_id{_diff}")
-    _pts.append(f"r{_i}.puntaje")
-    _txt.append(f"'{_r}=' || CAST(r{_i}.idx AS STRING)")
-view("m3", f"""SELECT doc_id, 'saldo_con_signo' AS forma, mapeo, CAST(puntos AS BIGINT) AS puntos, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY puntos DESC, mapeo) AS rango FROM
-  (SELECT r0.doc_id, concat_ws(',', {', '.join(_txt)}) AS mapeo, {' + '.join(_pts)} AS puntos FROM {' '.join(_join)})""")
-
-
-def proposals(t):
-    return mp.propose(role_candidates(t), _ROLES, "saldo_con_signo")
-
-
-query("M3_proposals", "SELECT doc_id, forma, mapeo, puntos, rango FROM m3")(
-    lambda t: proposals(t).withColumn("puntos", c("puntos").cast("bigint")))
-query("M11_best_by_vocabulary", "SELECT doc_id, forma, mapeo, puntos, rango FROM m3 WHERE rango = 1")(
-    lambda t: mp.best_by_vocabulary(proposals(t)).withColumn("puntos", c("puntos").cast("bigint")))
-_REQ = [(f, i, r) for f, fields in TRIAL_FORMS.items() for i, (r, _, req) in enumerate(fields) if req]
-query("M4_missing_roles", """
-n AS (SELECT DISTINCT forma, orden, campo FROM vocab_balanza WHERE obligatorio = 1),
-g AS (SELECT d.doc_id, n.forma, COUNT(*) FILTER (WHERE m.doc_id IS NULL) AS n, COALESCE(string_agg(n.campo, ', ' ORDER BY orden) FILTER (WHERE m.doc_id IS NULL), '') AS faltan
-  FROM (SELECT DISTINCT doc_id FROM mcols) d CROSS JOIN n LEFT JOIN (SELECT DISTINCT doc_id, forma, campo FROM mcand) m ON m.doc_id = d.doc_id AND m.forma = n.forma AND m.campo = n.campo GROUP BY ALL)
-SELECT doc_id, n, forma, faltan FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n, forma) = 1""")(
-    lambda t: mp.missing_roles(map_columns(t), role_candidates(t), _REQ))
-view("m8v", "SELECT doc_id, mapeo, mapeo LIKE '%haber=4%' AND doc_id % 5 <> 0 AS verificado FROM m3")
-query("M8_first_verified", """
-SELECT doc_id, COUNT(*) AS probados, arg_min(mapeo, rango) FILTER (WHERE verificado) AS mapeo, CASE WHEN bool_or(verificado) THEN '' ELSE 'ninguno de los ' || CAST(COUNT(*) AS STRING) ||
-  ' mapeos propuestos hace cuadrar la aritmetica del documento' END AS motivo FROM (SELECT m.doc_id, m.mapeo, rango, verificado FROM m3 m JOIN m8v v ON v.doc_id = m.doc_id AND v.mapeo = m.mapeo) GROUP BY doc_id""")(
-    lambda t: (lambda p: mp.first_verified(p, p.select("doc_id", "mapeo", (c("mapeo").contains("haber=4") & (c("doc_id") % 5 != 0)).alias("verificado"))))(stage(proposals(t))))

@@ -718,6 +718,70 @@ RELATIONS["pb_cells"] = _U.join(
        f"SELECT doc_id, 999999, CAST(1 AS BIGINT), 4, {_signed_text('debe')} FROM totales",
        f"SELECT doc_id, 999999, CAST(1 AS BIGINT), 5, {_signed_text('haber')} FROM totales"])
 
+# Trial balances with their headers, one document a nation, in six prints (nation % 6): two forms of balance, labels that
+# occur twice, accumulated figures that look like the month's, figures that fit no mapping, and missing columns.
+TRIAL_PRINTS = (
+    (("Cuenta", "cuenta"), ("Nombre", "nombre"), ("Saldo Inicial Deudor", "inicial"), ("Saldo Inicial Acreedor", "0.00"), ("Debe", "debe"),
+     ("Haber", "haber"), ("Saldo Final Deudor", "final"), ("Saldo Final Acreedor", "0.00")),
+    (("No. Cuenta", "cuenta"), ("Nombre de la cuenta", "nombre"), ("Saldo Anterior", "inicial"), ("Cargos", "debe"), ("Abonos", "haber"),
+     ("Saldo Actual", "final")),
+    (("Cuenta", "cuenta"), ("Descripción", "nombre"), ("Saldo Anterior", "inicial"), ("Cargos", "debe * 3 + 17.25"), ("Abonos", "haber * 2 + 8.50"),
+     ("Cargos", "debe"), ("Abonos", "haber"), ("Saldo Actual", "final")),
+    (("Codigo", "cuenta"), ("Concepto", "nombre"), ("Saldo Inicial", "inicial"), ("Abonos", "haber"), ("Cargos", "debe"), ("Saldo Mes", "debe - haber"),
+     ("Saldo Final", "final")),
+    (("Cuenta", "cuenta"), ("Cuenta", "nombre"), ("Saldo Anterior", "inicial"), ("Cargos", "debe"), ("Abonos", "haber"), ("Saldo Actual", "final + 1000")),
+    (("Cuenta", "cuenta"), ("Nombre", "nombre"), ("Importe", "inicial"), ("Debe", "debe"), ("Otro", "haber")))
+RELATIONS["pt_base"] = """
+SELECT CAST(floor(seq / 1000000000000) AS BIGINT) % 100 - 1 AS doc_id, CAST(floor((seq % 1000000000000) / 1000) AS BIGINT) AS page, seq, cuenta,
+       'CUENTA_' || CAST(clave AS STRING) AS nombre, inicial, debe, haber, final FROM bal_rows WHERE nivel > 1"""
+RELATIONS["pt_rows"] = "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS line FROM pt_base"
+RELATIONS["pt_pages"] = "SELECT DISTINCT doc_id, page FROM pt_base"
+
+
+def printed_table(rows: str, pages: str, prints: tuple, kind: str, lefts: dict, first: float, pitch: float, number, signed: dict) -> str:
+    """Header and rows of every print: text columns open at their place in ``lefts``, amounts end every ``pitch`` points from ``first`` on.
+
+    Labels of three words take two lines."""
+    parts = []
+    for f, columns in enumerate(prints):
+        mine, edge = f"{kind} = {f}", first
+        for i, (label, source) in enumerate(columns):
+            text, x0 = source in lefts, 0.0
+            if text:
+                x0 = lefts[source]
+                parts.append(_left(rows, _c, source, x0, i, "line", 1, mine))
+            else:
+                value = f"CAST({source} AS {M})"
+                parts.append(_right(rows, _c, number(value), edge, i, "line", " AND ".join([mine, *signed.get(source, [])])))
+                edge += pitch
+            words = label.split()
+            above = words[:-1] if len(words) == 3 and not text else []
+            for n, row in ((-1, above), (0, words[len(above):])):
+                for k, w in enumerate(row):
+                    at = (x0 if text else edge - pitch - 3.11 * len(" ".join(row))) + 3.11 * sum(len(v) + 1 for v in row[:k])
+                    parts.append(_left(pages, _c, f"'{w}'", round(at, 2), 10 * i + k, str(n), 1, mine))
+    return _U.join(parts)
+
+
+RELATIONS["pt_words"] = ("SELECT doc_id, page, line * 1000 + pos AS pos, text, x0, x1, CAST(30 + 10 * line AS DOUBLE) AS top, "
+    "CAST(38 + 10 * line AS DOUBLE) AS bottom, CAST(8.0 AS DOUBLE) AS size, line <= 0 AS bold, run FROM ("
+    + printed_table("pt_rows", "pt_pages", TRIAL_PRINTS, "doc_id % 6", {"cuenta": 20.0, "nombre": 110.0}, 290.0, 85.0, _signed_text, {}) + ") w")
+
+# Subledgers with their headers, in three prints (document % 3): plain labels, two labels run together, labels left out.
+SUBLEDGER_PRINTS = (
+    (("Folio", "folio"), ("Fecha", "fecha"), ("Documento", "documento"), ("Concepto", "concepto"), ("Debe", "debe"), ("Haber", "haber"), ("Saldo", "saldo")),
+    (("NumeroFecha", "folio"), ("", "fecha"), ("Referencia", "documento"), ("Concepto", "concepto"), ("Cargos", "debe"), ("Abonos", "haber"), ("Saldo", "saldo")),
+    (("", "folio"), ("", "fecha"), ("Documento", "documento"), ("Concepto", "concepto"), ("Cargo", "debe"), ("", "haber"), ("", "saldo")))
+RELATIONS["ps_base"] = f"""
+SELECT doc_id, CAST(floor(seq / {EVENT_SPAN}) AS BIGINT) * 100000 + pagina AS page, seq, cuenta, folio, fecha, 'DOC' || documento AS documento,
+       'C' || concepto AS concepto, debe, haber, saldo FROM auxiliar WHERE NOT es_subtotal"""
+RELATIONS["ps_rows"] = "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS line FROM ps_base"
+RELATIONS["ps_pages"] = "SELECT DISTINCT doc_id, page FROM ps_base"
+RELATIONS["ps_words"] = ("SELECT doc_id, page, line * 1000 + pos AS pos, text, x0, x1, CAST(30 + 10 * line AS DOUBLE) AS top, "
+    "CAST(38 + 10 * line AS DOUBLE) AS bottom, CAST(8.0 AS DOUBLE) AS size, line <= 0 AS bold, run FROM ("
+    + printed_table("ps_rows", "ps_pages", SUBLEDGER_PRINTS, "doc_id % 3", {"folio": 20.0, "fecha": 80.0, "documento": 150.0, "concepto": 220.0},
+                    400.0, 80.0, _signed_text, {"saldo": ["saldo IS NOT NULL"]}) + ") w")
+
 # Bank statements: identity, accounts table, then one page per account.
 RELATIONS["pe_acc"] = """
 SELECT doc_id, CAST(2 AS BIGINT) AS page, seq + 10 AS ln, seq + 10 AS own, CASE WHEN num_cuenta = '' THEN '' ELSE '5500' || num_cuenta END AS num,
@@ -790,7 +854,7 @@ def closure(names: list[str]) -> list[str]:
 
 # Typed tables that a corpus keeps stored: they are read several times per query.
 STORED = {"auxiliar", "est_movs", "mayor_meses", "words", "tsv", "pj_words", "pm_words", "pa_words",
-          "pb_cells", "pe_words"}
+          "pb_cells", "pe_words", "pt_words", "ps_words"}
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
