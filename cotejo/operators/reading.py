@@ -29,6 +29,7 @@ from cotejo.functions.text import (
 )
 from cotejo.operators.scan import ordered_scan
 from cotejo.operators.verdict import AMOUNT
+from cotejo.session import stage
 
 c = F.col
 LINE = ["doc_id", "page", "line"]
@@ -230,27 +231,26 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     an account without amounts waits for them, so the waiting state is carried first.
     """
     w0 = F.get("w", F.lit(0))
-    n = F.size(amounts("polizas"))
-    account = w0["text"].rlike(RE_BLOCK_ACCOUNT)
+    value = F.get(value_words(), F.lit(0))["text"]
+    # What the words of a line say, read once; the scans below carry flags, not words.
+    l = stage(lines.select(
+        "doc_id", "seq", label().alias("_lab"), F.size(amounts("polizas")).alias("n_montos"), w0["text"].rlike(RE_BLOCK_ACCOUNT).alias("_acct"),
+        F.coalesce(value.rlike(RE_DATE_CELL), F.lit(False)).alias("_fechado"),
+        ((w0["x0"] <= account_width) & (F.size("w") >= 3) & _has_date()).alias("_nombra")))
     lab = c("_lab")
-    l = lines.withColumn("_lab", label()).withColumn("n_montos", n).withColumn("_acct", account)
     l = (l.withColumn("abre", starts_with_label(lab, ("tipo de poliza", "tipo poliza")))
          .withColumn("marca_cfdi", starts_with_label(lab, ("cfdi",)))
          .withColumn("es_total", starts_with_label(lab, ("totales", "total poliza", "total")) & (c("n_montos") > 0)))
     l = l.withColumn("es_mov", ~c("es_total") & c("_acct") & (c("n_montos") >= 1))
-    value = F.get(value_words(), F.lit(0))["text"]
-    l = l.withColumn("campo", F.when(starts_with_label(lab, ("fecha",)) & F.coalesce(value.rlike(RE_DATE_CELL), F.lit(False)), "fecha")
+    l = l.withColumn("campo", F.when(starts_with_label(lab, ("fecha",)) & c("_fechado"), "fecha")
                      .when(starts_with_label(lab, ("descripcion",)), "descripcion")
                      .when(starts_with_label(lab, ("folio",)), "folio"))
-    cand = (~c("abre") & (w0["x0"] <= account_width) & ~c("_acct") & (c("n_montos") == 0) & (F.size("w") >= 3) & _has_date())
-    l = l.withColumn("_cand", cand)
-    first = l.filter("abre OR _cand").groupBy("doc_id").agg(F.min("seq").alias("_first"))
-    l = l.join(first, "doc_id", "left")
+    l = l.withColumn("_cand", ~c("abre") & c("_nombra") & ~c("_acct") & (c("n_montos") == 0)).drop("_lab", "_fechado", "_nombra")
     # CFDI zone: from its mark to the next labelled block (named blocks do not open inside it).
-    l = ordered_scan(l, ["doc_id"], "seq", before={"_z": F.when(c("abre"), F.lit(False)).when(
-        c("marca_cfdi"), F.lit(True))})
+    l = ordered_scan(l, ["doc_id"], "seq", before={
+        "_z": F.when(c("abre"), F.lit(False)).when(c("marca_cfdi"), F.lit(True)), "_open": F.when(c("abre") | c("_cand"), F.lit(True))})
     l = l.withColumn("en_cfdi", F.coalesce("_z", F.lit(False)) & ~c("abre")).drop("_z")
-    inside = F.coalesce(c("seq") > c("_first"), F.lit(False)) & ~c("en_cfdi")
+    inside = c("_open").isNotNull() & ~c("en_cfdi")
     l = l.withColumn("campo", F.when(inside & ~c("abre"), c("campo")))
     plain = ~c("abre") & c("campo").isNull() & ~c("marca_cfdi") & ~c("es_total") & ~c("es_mov")
     waits = plain & inside & c("_acct") & (c("n_montos") == 0)
@@ -261,8 +261,8 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     l = l.withColumn("envuelto", F.when((c("_wait") >= 0) & plain & ~waits & ~c("en_cfdi"), c("_wait")))
     l = l.withColumn("abre_nombre", c("_cand") & plain & ~c("en_cfdi") & c("envuelto").isNull())
     l = ordered_scan(l, ["doc_id"], "seq", running={"bloque": (c("abre") | c("abre_nombre")).cast("int")})
-    return l.filter("bloque > 0").withColumn(
-        "poliza_id", F.format_string("P%05d", "bloque")).drop("_lab", "_cand", "_first", "_wait", "_acct")
+    found = l.filter("bloque > 0").withColumn("poliza_id", F.format_string("P%05d", "bloque")).drop("_cand", "_open", "_wait", "_acct")
+    return lines.join(found, ["doc_id", "seq"])
 
 
 def journal_entries(blocks: DataFrame, account_width: float = 25.0) -> DataFrame:

@@ -171,7 +171,7 @@ def inventory(expected: DataFrame, cover: DataFrame, rejected: DataFrame,
 
 
 def rejections(docs: DataFrame, typed: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Documents whose typed table is empty, with the key, reason and first evidence.
+    """Documents whose typed table is empty, with the key, the reason and all evidence lines.
 
     ``reasons`` carries (tipo, doc_id, clave, motivo, evidencia array).
     """
@@ -182,7 +182,7 @@ def rejections(docs: DataFrame, typed: DataFrame, reasons: DataFrame) -> DataFra
     return empty.join(reasons, key, "left").select(
         *key, F.coalesce("clave", F.lit("no_reconocido")).alias("clave"),
         F.coalesce("motivo", default).alias("motivo"),
-        F.coalesce(F.array_join(F.slice("evidencia", 1, 4), " | "), F.lit("")).alias("evidencia"))
+        F.coalesce(F.array_join("evidencia", " | "), F.lit("")).alias("evidencia"))
 
 
 def failing(results: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ query("O9_rejections", """
 SELECT d.tipo, d.doc_id, 'no_reconocido' AS clave, COALESCE(m.motivo,
   'no se encontro ninguna tabla de mayor en el documento') AS motivo, COALESCE(m.ev, '') AS evidencia
 FROM o9_docs d LEFT JOIN (SELECT doc_id, 'sin importes' AS motivo,
-  'e1 | e2 | e3 | e4' AS ev FROM may_zero GROUP BY doc_id HAVING COUNT(saldo) = 0) m ON m.doc_id = d.doc_id
+  'e1 | e2 | e3 | e4 | e5 | e6' AS ev FROM may_zero GROUP BY doc_id HAVING COUNT(saldo) = 0) m ON m.doc_id = d.doc_id
 WHERE NOT EXISTS (SELECT 1 FROM may_zero z WHERE z.doc_id = d.doc_id AND z.saldo IS NOT NULL)""")(
     lambda t: sh.rejections(
         t.orders.select(F.lit("mayor").alias("tipo"), ((F.year("o_orderdate") - 1992) * 16 + F.col("o_custkey") % 20).alias("doc_id")).distinct(),

@@ -13,6 +13,7 @@ from cotejo.operators import reading_bank as bk
 from cotejo.operators import tokens as tk
 from cotejo.plans.queries_layout import stored
 from cotejo.plans.relations import M as D
+from cotejo.plans.relations import _signed_text
 from cotejo.plans.registry import query, view
 
 c = F.col
@@ -23,28 +24,28 @@ def blocks(t):
     return rd.journal_blocks(rd.pack_lines(t.pj_words))
 
 
+_LABELLED = "(doc_id % 2 = 0 OR doc_id > 16)"
 _PID = ("'P' || CASE WHEN length(CAST(n AS STRING)) < 5 THEN lpad(CAST(n AS STRING), 5, '0') ELSE CAST(n AS STRING) END")
-view("pj_num", "SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY poliza_id) AS n FROM polizas")
+view("pj_num", "SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY poliza_id) AS n FROM pj_heads")
 query("R8_R9_journal_entries", f"""
-SELECT doc_id, {_PID} AS poliza_id, CASE WHEN doc_id % 2 = 0 THEN tipo ELSE '' END AS tipo, '' AS naturaleza, fecha,
-  CASE WHEN doc_id % 2 = 0 THEN descripcion ELSE tipo || ' cliente' END AS descripcion,
+SELECT doc_id, {_PID} AS poliza_id, CASE WHEN {_LABELLED} THEN tipo ELSE '' END AS tipo, '' AS naturaleza, fecha,
+  CASE WHEN {_LABELLED} THEN descripcion ELSE tipo || ' cliente' END AS descripcion,
   CASE WHEN completa THEN total_debe END AS total_debe, CASE WHEN completa THEN total_haber END AS total_haber,
   completa AND total_debe IS NOT NULL AS completa FROM pj_num""")(
     lambda t: rd.journal_entries(blocks(t)).drop("seq"))
 query("R10_R11_R13_journal_moves", f"""
 SELECT m.doc_id, {_PID} AS poliza_id, r AS orden, cuenta, CASE WHEN r % 5 = 0 THEN nombre_cuenta || ' largo' ELSE nombre_cuenta END AS nombre_cuenta,
-  debe, haber, page AS pagina FROM pj_movs m JOIN pj_num p ON p.doc_id = m.doc_id AND p.poliza_id = m.page - 1""")(
+  debe, haber, m.page AS pagina FROM pj_movs m JOIN pj_num p ON p.doc_id = m.doc_id AND p.poliza_id = m.page - 1""")(
     lambda t: rd.journal_moves(blocks(t)).drop("seq").withColumn("pagina", c("pagina").cast("bigint")))
 query("R12_journal_anchors", "SELECT DISTINCT doc_id, CAST(400 AS DOUBLE) AS izq, CAST(500 AS DOUBLE) AS der FROM polizas")(
     lambda t: rd.amount_anchors(blocks(t)).select("doc_id", F.round("izq", 3).alias("izq"), F.round("der", 3).alias("der")))
 query("R14_journal_cfdi", f"""
 SELECT c.doc_id, {_PID} AS poliza_id, c.fecha, documento, CASE WHEN uuid = '' THEN '' WHEN c.seq % 4 < 2 THEN uuid || 'ABCD-12' ELSE uuid END AS uuid,
   CASE WHEN uuid = '' THEN '' ELSE rfc END AS rfc, CASE WHEN uuid = '' THEN '(Manual)' ELSE c.tipo END AS tipo
-FROM cfdi c JOIN pj_num p ON p.doc_id = c.doc_id AND p.poliza_id = c.seq WHERE c.doc_id % 2 = 0""")(
+FROM pj_cfdi c JOIN pj_num p ON p.doc_id = c.doc_id AND p.poliza_id = c.seq""")(
     lambda t: rd.journal_cfdi(blocks(t)).drop("seq"))
-query("R15_main_run", """
-SELECT doc_id, poliza_id + 1 AS page, CASE WHEN doc_id % 2 = 1 THEN tipo || ' cliente' ELSE 'Tipo de poliza: ' || tipo END AS texto
-FROM polizas""")(
+query("R15_main_run", f"""
+SELECT doc_id, page, CASE WHEN {_LABELLED} THEN 'Tipo de poliza: ' || tipo ELSE tipo || ' cliente' END AS texto FROM pj_heads""")(
     lambda t: rd.pack_lines(t.pj_words).filter("line = 0").select(
         "doc_id", "page", rd.main_run_text(F.lit(125.0)).alias("texto")))
 
@@ -197,28 +198,33 @@ SELECT doc_id, arg_min(saldo_inicial, page) AS saldo_inicial, arg_min(depositos,
     lambda t: bk.first_balances(bk.label_values(_label_value(t), t.vocab_saldos)))
 
 
+# Even documents keep their summary rows; every account of an odd one is a statement of its own, with one account.
+_OWN = 1000
+
+
 def _accounts(t):
-    """Even documents keep their summary rows; odd ones have a single account."""
-    rows = account_rows(t).filter("NOT es_total")
-    one = rows.filter("doc_id % 2 = 1").groupBy("doc_id").agg(F.min_by(F.struct("num_cuenta", "clabe", "producto", "saldo_inicial", F.lit(None).cast(D).alias("saldo_corte")), "seq").alias("r"))
-    mixed = rows.filter("doc_id % 2 = 0").select("doc_id", "num_cuenta", "clabe", "producto", "saldo_inicial", "saldo_corte").unionByName(one.select("doc_id", "r.*"))
-    bal = bk.first_balances(bk.label_values(_label_value(t), t.vocab_saldos)).withColumn("saldo_corte", F.lit("0.00").cast(D))
-    return bk.resolve_accounts(mixed, bk.identity(bank_lines(t)), bal)
+    odd = c("doc_id") % 2 == 1
+    rows = account_rows(t).filter("NOT es_total").withColumn("_own", F.regexp_extract("producto", r"N(\d+)$", 1).cast("bigint") + _OWN)
+    split = rows.withColumn("saldo_corte", F.when(~odd, c("saldo_corte"))).withColumn("_de", c("doc_id")).withColumn("doc_id", F.when(odd, c("_own")).otherwise(c("doc_id")))
+    ident = bk.identity(bank_lines(t)).withColumnRenamed("doc_id", "_de").join(split.select("_de", "doc_id").distinct(), "_de").drop("_de")
+    values = bk.label_values(_label_value(t), t.vocab_saldos).withColumn("doc_id", F.when(odd, c("page") + _OWN).otherwise(c("doc_id")))
+    bal = bk.first_balances(values).withColumn("saldo_corte", F.lit("0.00").cast(D))
+    return bk.resolve_accounts(split.drop("_own", "_de"), ident, bal)
 
 
-query("R24_resolve_accounts", """
-f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ln) AS rn FROM pe_acc),
-b AS (SELECT doc_id, arg_min(depositos, page) FILTER (WHERE depositos IS NOT NULL) AS de, arg_min(retiros, page) AS re FROM hs GROUP BY doc_id)
+query("R24_resolve_accounts", f"""
 SELECT doc_id, num AS num_cuenta, '' AS clabe, 'ENLACE ' || nombre AS producto, '' AS moneda, saldo_inicial, NULL AS depositos, NULL AS retiros, saldo_corte
-FROM f WHERE doc_id % 2 = 0 AND (SELECT COUNT(*) FROM pe_acc a WHERE a.doc_id = f.doc_id) > 1
-UNION ALL SELECT f.doc_id, CASE WHEN num = '' THEN '00112233-4' ELSE num END, '012180001234567890', 'ENLACE ' || nombre, 'NACIONAL', saldo_inicial, de, re,
-  CASE WHEN f.doc_id % 2 = 0 THEN saldo_corte ELSE 0.00 END
-FROM f JOIN b ON b.doc_id = f.doc_id WHERE rn = 1 AND (f.doc_id % 2 = 1 OR (SELECT COUNT(*) FROM pe_acc a WHERE a.doc_id = f.doc_id) = 1)""")(_accounts)
+FROM pe_acc f WHERE doc_id % 2 = 0 AND (SELECT COUNT(*) FROM pe_acc a WHERE a.doc_id = f.doc_id) > 1
+UNION ALL SELECT own - 10 + {_OWN}, CASE WHEN num = '' THEN '00112233-4' ELSE num END, '012180001234567890', 'ENLACE ' || nombre, 'NACIONAL', f.saldo_inicial, h.depositos,
+  h.retiros, 0.00 FROM pe_acc f JOIN hs h ON h.doc_id = f.doc_id AND h.page = own - 10 WHERE f.doc_id % 2 = 1
+UNION ALL SELECT f.doc_id, CASE WHEN num = '' THEN '00112233-4' ELSE num END, '012180001234567890', 'ENLACE ' || nombre, 'NACIONAL', f.saldo_inicial, h.depositos,
+  h.retiros, f.saldo_corte FROM pe_acc f JOIN hs h ON h.doc_id = f.doc_id AND h.page = own - 10
+WHERE f.doc_id % 2 = 0 AND (SELECT COUNT(*) FROM pe_acc a WHERE a.doc_id = f.doc_id) = 1""")(_accounts)
 
 
 @stored("pe_sections")
 def sections(t):
-    return bk.section_lines(bank_lines(t).filter("page > 2"), account_rows(t).filter("NOT es_total"))
+    return bk.section_lines(bank_lines(t), account_rows(t).filter("NOT es_total"))
 
 
 @stored("pe_table")
@@ -235,8 +241,12 @@ def bank_moves(t):
     return bk.moves(table_lines(t), _with_cab(table_fields(t), heads), meta, " ")
 
 
-query("R25_section_lines", "SELECT doc_id, page, num AS seccion FROM pe_sec JOIN pe_acc a USING (doc_id, nombre) WHERE pe_sec.page = a.own".replace(
-    "SELECT doc_id, page", "SELECT doc_id, pe_sec.page AS page"))(
+# A row of the accounts table opens with its own product name, too; the longest name that opens it wins.
+view("pe_keys", f"""SELECT doc_id, CAST(2 AS BIGINT) AS page, ln, 'enlace' || lower(nombre) || num ||
+  regexp_replace({_signed_text('saldo_inicial')} || {_signed_text('saldo_corte')}, '[^0-9]', '', 'g') AS k FROM pe_acc
+  UNION ALL SELECT doc_id, page, 0, 'enlace' || lower(nombre) FROM pe_sec""")
+query("R25_section_lines", """SELECT k.doc_id, k.page, arg_max(a.num, length(a.nombre)) AS seccion FROM pe_keys k JOIN pe_acc a ON a.doc_id = k.doc_id
+AND starts_with(k.k, 'enlace' || lower(a.nombre)) GROUP BY k.doc_id, k.page, k.ln""")(
     lambda t: sections(t).select("doc_id", F.shiftright("seq", rd.PAGE_BITS).alias("page"), "seccion"))
 query("R26_move_cells", """
 SELECT doc_id, page, ln AS line, dia || '-ENE' AS c_fecha, descripcion AS c_descripcion, referencia AS c_referencia FROM pe_movs""")(
@@ -251,11 +261,13 @@ WHERE NOT (deposito = 0 AND retiro = 0 AND descripcion = 'SALDO ANTERIOR')""")(
 query("R28_without_openings", """
 SELECT doc_id, seq FROM est_movs WHERE NOT (deposito = 0 AND retiro = 0 AND descripcion = 'SALDO ANTERIOR')""")(
     lambda t: bk.without_openings(t.est_movs).select("doc_id", "seq"))
-query("R29_report_kind", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'sin_movimientos' ELSE 'no_identificado' END AS clave FROM est_cuentas WHERE doc_id >= 3 GROUP BY doc_id""")(
+query("R29_report_kind", f"""
+SELECT seq + {_OWN} AS doc_id, CASE WHEN seq % 3 = 0 OR (depositos = 0 AND retiros = 0) THEN 'sin_movimientos' ELSE 'no_identificado' END AS clave
+FROM est_cuentas WHERE doc_id % 2 = 1""")(
     lambda t: bk.report_kind(
-        t.est_cuentas.select("doc_id", *[F.when(c("doc_id") % 2 == 0, F.lit("0.00").cast(D)).otherwise(c(x)).alias(x) for x in ("depositos", "retiros")]),
-        t.est_movs.filter("doc_id < 3")).select("doc_id", "clave"))
+        t.est_cuentas.select(F.when(c("doc_id") % 2 == 1, c("seq") + _OWN).otherwise(c("doc_id")).alias("doc_id"), *[
+            F.when((c("doc_id") % 2 == 1) & (c("seq") % 3 == 0), F.lit("0.00").cast(D)).otherwise(c(x)).alias(x) for x in ("depositos", "retiros")]),
+        t.est_movs).select("doc_id", "clave"))
 query("R30_empty_amounts", """
 SELECT doc_id, seq, deposito, retiro, saldo FROM est_movs""")(
     lambda t: t.est_movs.select("doc_id", "seq", *[bk.empty_amounts(F.when(c(x) != 0, c(x).cast("string"))).alias(x) for x in ("deposito", "retiro")],

@@ -628,14 +628,16 @@ def _right(src: str, cols: str, text: str, edge: float, pos: int, line: str, whe
 
 
 _U = " UNION ALL "
-# Journals: one page per entry; even documents label their blocks, odd ones open them by name.
+# Journals: one page per entry; even documents label their blocks, odd ones open them by name and hold no invoices. Theirs are
+# printed in documents 17, 19, ... under labelled blocks without moves: a named block does not open after invoices.
 RELATIONS["pj_movs"] = """
 SELECT doc_id, poliza_id + 1 AS page, cuenta, nombre_cuenta, debe, haber, row_number() OVER (
        PARTITION BY doc_id, poliza_id ORDER BY orden, cuenta, debe, haber) AS r FROM movimientos"""
-RELATIONS["pj_heads"] = "SELECT *, poliza_id + 1 AS page FROM polizas"
-RELATIONS["pj_cfdi"] = "SELECT *, seq + 1 AS page FROM cfdi WHERE doc_id % 2 = 0"
+_head = "seq, poliza_id, tipo, naturaleza, fecha, descripcion, folio, total_debe, total_haber, completa, poliza_id + 1 AS page FROM polizas"
+RELATIONS["pj_heads"] = f"SELECT doc_id, {_head} UNION ALL SELECT doc_id + 16, {_head} WHERE doc_id % 2 = 1"
+RELATIONS["pj_cfdi"] = "SELECT doc_id + 16 * (doc_id % 2) AS doc_id, seq, fecha, documento, uuid, rfc, tipo, seq + 1 AS page FROM cfdi"
 _c = "doc_id, page"
-_even, _odd = "doc_id % 2 = 0", "doc_id % 2 = 1"
+_even, _odd = "(doc_id % 2 = 0 OR doc_id > 16)", "(doc_id % 2 = 1 AND doc_id < 16)"
 _ml = "10 + 2 * r + CASE WHEN r % 5 = 0 THEN 1 ELSE 0 END"
 RELATIONS["pj_words"] = _U.join([
     _left("pj_heads", _c, "'Tipo'", 20, 0, "0", 1, _even), _left("pj_heads", _c, "'de'", 45, 1, "0", 1, _even),
