@@ -75,11 +75,12 @@ def infer_schemes(df: DataFrame) -> DataFrame:
                        F.coalesce(marker, F.lit(False)).alias("marker"))
     # Widths are measured on the accounts themselves, then forced to grow by level.
     body = F.expr("left(cuenta, length(cuenta) - 3)")
-    marked = seen.join(base.filter("marker").select("doc_id"), "doc_id", "left_semi")
-    per_level = (marked.withColumn("nivel", F.right(c, F.lit(3)).try_cast("int"))
+    # Combined before the join: a document has at most a thousand suffixes, however many rows.
+    per_level = (seen.filter(digits).withColumn("nivel", F.right(c, F.lit(3)).try_cast("int"))
                  .groupBy("doc_id", "nivel")
                  .agg(F.max(F.greatest(F.lit(1), F.length(F.regexp_replace(body, "0+$", ""))))
-                      .alias("w")))
+                      .alias("w"))
+                 .join(base.filter("marker").select("doc_id"), "doc_id", "left_semi"))
     grow = Window.partitionBy("doc_id").orderBy("nivel")  # at most nine rows per document
     widths = (per_level.withColumn("ancho", F.col("nivel") + F.max(F.col("w") - F.col("nivel"))
                                    .over(grow))

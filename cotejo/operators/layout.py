@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import AMOUNT_DIALECTS, field_by_priority, is_amount, normalize
+from cotejo.operators.skew import by_page, join_small
 
 PAGE = ["doc_id", "page"]
 LINE = ["doc_id", "page", "line"]
@@ -276,7 +277,7 @@ def place_words(words: DataFrame, layout: DataFrame, text_in_amounts: bool = Fal
     # A layout is about twenty rows per document: packed once, the words stay where they are.
     pack = lay.groupBy("doc_id").agg(F.sort_array(F.collect_list(
         F.struct("idx", "align", "x_min", "x_max"))).alias("_cols"), F.max("limite").alias("limite")).join(has, "doc_id")
-    j = words.join(pack, "doc_id")
+    j = join_small(words, pack, "doc_id", by_page())
     mid = (c("x0") + c("x1")) / 2
     right = F.filter("_cols", lambda k: k["align"] == "right")
     left = F.when(c("hay_textos"), F.filter("_cols", lambda k: k["align"] != "right")).otherwise(c("_cols"))
@@ -298,7 +299,7 @@ def place_words(words: DataFrame, layout: DataFrame, text_in_amounts: bool = Fal
 
 def cells(placed: DataFrame, layout: DataFrame) -> DataFrame:
     """Texts joined by x; an amount column keeps the one word closest to its edge."""
-    j = placed.filter(c("idx").isNotNull()).join(layout.select("doc_id", "idx", "align", "x_max"), ["doc_id", "idx"])
+    j = join_small(placed.filter(c("idx").isNotNull()), layout.select("doc_id", "idx", "align", "x_max"), ["doc_id", "idx"], by_page())
     near = F.min_by("text", F.struct(F.abs(c("x1") - c("x_max")), c("x0"), c("pos")))
     return j.groupBy(*LINE, "idx", "align").agg(
         near.alias("_near"), ordered_text(["x0", "pos"]).alias("_all")).select(

@@ -28,6 +28,7 @@ from cotejo.functions.text import (
     without_marks,
 )
 from cotejo.operators.scan import ordered_scan
+from cotejo.operators.skew import by_page, join_small
 from cotejo.operators.verdict import AMOUNT
 from cotejo.session import stage
 
@@ -101,7 +102,7 @@ def main_run_text(limit: Column) -> Column:
 # --------------------------------------------------------------------- R1: trial balance
 def role_rows(cells: DataFrame, roles: DataFrame, names: Sequence[str]) -> DataFrame:
     """Cells of a line under the name of their role; roles: (doc_id, campo, idx)."""
-    j = cells.join(roles, ["doc_id", "idx"], "left")
+    j = join_small(cells, roles, ["doc_id", "idx"], by_page(), "left")
     g = j.groupBy(*LINE).agg(
         F.collect_list("texto").alias("celdas"),
         *[F.max(F.when(c("campo") == n, F.trim("texto"))).alias(n) for n in names])
@@ -340,7 +341,7 @@ def journal_moves(blocks: DataFrame) -> DataFrame:
     every = direct.unionByName(wrapped)
     every = ordered_scan(every, ["doc_id", "poliza_id"], "seq", running={"orden": F.lit(1)})
     d, h = debit_credit(c("am"))
-    return every.join(amount_anchors(blocks), "doc_id", "left").select(
+    return join_small(every, amount_anchors(blocks), "doc_id", by_page(), "left").select(
         "doc_id", "poliza_id", "orden", "seq", "cuenta", "nombre_cuenta", d.alias("debe"), h.alias("haber"),
         c("page").alias("pagina"))
 
@@ -398,7 +399,7 @@ def ledger_months(ll: DataFrame, anchors: DataFrame) -> DataFrame:
     anchors (doc_id, anclas array), and the last one written wins."""
     w0 = F.get("w", F.lit(0))
     m = ll.filter(~c("abre") & c("dentro")).withColumn("orden", month_number(w0["text"])).filter("orden > 0")
-    m = m.join(anchors, "doc_id", "left")
+    m = join_small(m, anchors, "doc_id", by_page(), "left")
 
     def nearest(x: Column) -> Column:
         return F.array_min(F.transform("anclas", lambda a, i: F.struct(F.abs(x - a).alias("d"), i.alias("i"))))["i"]

@@ -17,6 +17,7 @@ from cotejo.functions.text import (
 from cotejo.operators.layout import edge_limit, widened
 from cotejo.operators.reading import LINE, PAGE_BITS, amounts, joined, money_of, not_amounts, texts
 from cotejo.operators.scan import ordered_scan
+from cotejo.operators.skew import PAGES, by_page, by_seq, join_small
 from cotejo.operators.verdict import AMOUNT
 
 c = F.col
@@ -114,7 +115,7 @@ def account_rows(lines: DataFrame, headers: DataFrame, columns: DataFrame) -> Da
         F.struct("x_max", "x_min", "campo", "align"))).alias("_c"))
     pack = pack.withColumn("_k", F.concat_ws("#", "doc_id", "cab")).join(
         lim.withColumnRenamed("doc_id", "_k"), "_k", "left").drop("_k")
-    l = l.join(pack, ["doc_id", "cab"])
+    l = join_small(l, pack, ["doc_id", "cab"], by_page())
     rights = F.filter("_c", lambda k: k["align"] == "right")
 
     def field(k: Column) -> Column:
@@ -171,10 +172,11 @@ def section_lines(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     acc = accounts.filter("producto <> ''").withColumn("_k", tight_key(c("producto"))).groupBy("doc_id", "_k").agg(
         F.min_by("num_cuenta", "seq").alias("num_cuenta"))
     lengths = acc.groupBy("doc_id").agg(F.collect_set(F.length("_k")).alias("_lens"))
-    l = lines.select("doc_id", "seq", tight_key(joined(c("w"))).alias("_t")).join(lengths, "doc_id")
+    l = lines.select("doc_id", "seq", tight_key(joined(c("w"))).alias("_t"))
+    l = join_small(l, lengths, "doc_id", by_seq(PAGE_BITS + PAGES))
     fits = F.filter("_lens", lambda n: n <= F.length("_t"))
     keys = l.select("doc_id", "seq", F.explode(F.transform(fits, lambda n: F.left("_t", n))).alias("_k"))
-    hit = keys.join(acc, ["doc_id", "_k"])
+    hit = join_small(keys, acc, ["doc_id", "_k"], by_seq(PAGE_BITS + PAGES))
     return hit.groupBy("doc_id", "seq").agg(F.max_by("num_cuenta", F.length("_k")).alias("seccion"))
 
 
@@ -191,7 +193,7 @@ def move_cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
     lim = edge_limit(cols.select(key.alias("doc_id"), "align", "x_max")).withColumnRenamed("doc_id", "_k")
     pack = cols.groupBy("doc_id", "cab").agg(F.sort_array(F.collect_list(F.struct("x_min", "x_max", "campo"))).alias("_c"))
     pack = pack.withColumn("_k", key).join(lim, "_k", "left").drop("_k")
-    j = lines.join(pack, ["doc_id", "cab"])
+    j = join_small(lines, pack, ["doc_id", "cab"], by_page())
     dates = F.filter("_c", lambda k: k["campo"] == "fecha")
     first, last = F.get(dates, F.lit(0))["x_max"], F.get(dates, F.size(dates) - 1)["x_max"]
     w = c("w")
@@ -231,7 +233,7 @@ def table_lines(lines: DataFrame, headers: DataFrame, sections: DataFrame, first
     l = ordered_scan(l, ["doc_id"], "seq", latest={
         "cab": F.when(c("_h"), c("seq")), "_s": c("seccion"), "_mk": F.when(mark, c("seq"))})
     # Nothing is read on a page before its first header or section line.
-    l = l.filter(F.shiftright("_mk", PAGE_BITS) == c("page")).join(first_account, "doc_id", "left")
+    l = join_small(l.filter(F.shiftright("_mk", PAGE_BITS) == c("page")), first_account, "doc_id", by_page(), "left")
     return l.withColumn("num_cuenta", F.coalesce("_s", "primera", F.lit(""))).drop("_s", "primera")
 
 
@@ -241,7 +243,7 @@ def moves(lines: DataFrame, columns: DataFrame, meta: DataFrame, separator: str
     ``lines`` comes from ``table_lines`` and carries ``top`` and ``bottom``.
     """
     body = lines.filter(~c("_h") & c("seccion").isNull() & c("cab").isNotNull())
-    cells = move_cells(body, columns).join(meta.select("doc_id", "periodo_ini", "periodo_fin", "anio"), "doc_id", "left")
+    cells = join_small(move_cells(body, columns), meta.select("doc_id", "periodo_ini", "periodo_fin", "anio"), "doc_id", by_page(), "left")
     e = F.lit("")
     date = statement_date(c("c_fecha"), F.coalesce("periodo_ini", e), F.coalesce("periodo_fin", e), F.coalesce("anio", e))
     r = cells.withColumn("_d", date).withColumn("_row", c("_d").isNotNull())

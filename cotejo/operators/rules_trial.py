@@ -13,6 +13,7 @@ from cotejo.functions.accounts import (
     parent_of,
 )
 from cotejo.operators.scan import first_names
+from cotejo.operators.skew import by_seq, join_small
 from cotejo.operators.verdict import AMOUNT, MONEY, TOLERANCE, Rule, compare, money
 
 KEY = ["doc_id", "cuenta"]
@@ -22,7 +23,7 @@ DECLARED, DERIVED, INHERITED, UNKNOWN = "explicita", "derivada", "heredada", "si
 
 def with_scheme(rows: DataFrame) -> DataFrame:
     """Rows plus the scheme of their document; one small row per document is joined."""
-    return rows.join(infer_schemes(rows), "doc_id", "left")
+    return join_small(rows, infer_schemes(rows), "doc_id", by_seq(), "left")
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -51,13 +52,14 @@ def natures(raw: DataFrame, swapped: bool = False) -> DataFrame:
     own = F.coalesce(own, F.when(derived != "", F.struct(
         derived.alias("nat"), F.lit(DERIVED).alias("origen"))),
         F.struct(F.lit("").alias("nat"), F.lit(UNKNOWN).alias("origen")))
-    last = raw.withColumn("_own", own).groupBy(*KEY).agg(F.max_by("_own", "seq").alias("_own"))
-    base = last.select(*KEY, "_own.nat", "_own.origen")
-    open_ = base.filter("nat = ''").join(infer_schemes(raw), "doc_id", "left")
+    last = raw.withColumn("_own", own).groupBy(*KEY).agg(F.max_by("_own", "seq").alias("_own"), F.max("seq").alias("seq"))
+    base = last.select(*KEY, "seq", "_own.nat", "_own.origen")
+    open_ = join_small(base.filter("nat = ''"), infer_schemes(raw), "doc_id", by_seq(), "left")
     path = ancestors_of(f("cuenta"), f("anchos"), f("marca_ini"), f("marca_fin"))
-    up = open_.select(*KEY, F.posexplode(path).alias("salto", "ancestro"))
-    found = (up.join(base.filter("nat <> ''").select(
-        "doc_id", f("cuenta").alias("ancestro"), f("nat").alias("_up")), ["doc_id", "ancestro"])
+    up = open_.select(*KEY, "seq", F.posexplode(path).alias("salto", "ancestro"))
+    # an ancestor near the top is that of most rows of its document
+    found = (join_small(up, base.filter("nat <> ''").select(
+        "doc_id", f("cuenta").alias("ancestro"), f("nat").alias("_up")), ["doc_id", "ancestro"], by_seq())
         .groupBy(*KEY).agg(F.min_by("_up", "salto").alias("_up")))
     j = base.join(found, KEY, "left")
     return j.select(
@@ -72,7 +74,7 @@ def summary_accounts(rows: DataFrame) -> DataFrame:
     marked = rows.groupBy("doc_id").agg(F.bool_or(f("marca") != "").alias("_doc_mark"))
     parents = (rows.filter("cuenta_padre <> ''").select("doc_id", f("cuenta_padre").alias("cuenta"))
                .distinct().withColumn("_parent", F.lit(True)))
-    j = rows.join(marked, "doc_id").join(parents, KEY, "left")
+    j = join_small(rows, marked, "doc_id", by_seq()).join(parents, KEY, "left")
     return j.withColumn(
         "es_acumulativa", F.when(f("_doc_mark"), f("marca") == "acumulativa")
         .otherwise(F.coalesce("_parent", F.lit(False)))).drop("_doc_mark", "_parent")

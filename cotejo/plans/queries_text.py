@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import accounts as ac
 from cotejo.functions import text as tx
+from cotejo.operators.rules_trial import with_scheme
 from cotejo.operators import diagnostics as dg
 from cotejo.operators import tokens as tk
 from cotejo.operators.templates import valid_fingerprint, valid_tenant
@@ -101,7 +102,7 @@ SELECT doc_id, seq, rpad(left(regexp_replace(cuenta, '\D', '', 'g'), 18), 18, '0
 query("F13_canonical_without_marker", r"""
 SELECT c.doc_id, seq, rpad(left(regexp_replace(CASE WHEN m THEN left(cuenta, length(cuenta) - 3) ELSE cuenta END,
   '\D', '', 'g'), 18), 18, '0') AS clave FROM catalogo c JOIN cat_mark k ON k.doc_id = c.doc_id""")(
-    lambda t: t.catalogo.join(ac.infer_schemes(t.catalogo), "doc_id").select(
+    lambda t: with_scheme(t.catalogo).select(
         "doc_id", "seq", ac.canonical_without_marker(c("cuenta"), c("marca_ini"), c("marca_fin")).alias("clave")))
 query("F14_compare", """
 SELECT k, CASE WHEN d = 0 THEN 'exacto' WHEN d <= 0.01 THEN 'tolerancia' ELSE 'falla' END AS veredicto
