@@ -32,8 +32,10 @@ def ordered_text(order: list[str], text: str = "text", sep: str = " ") -> Column
 def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
     """L1: words plus line number, line box and ``abre_linea`` (first of its line).
 
-    A word opens a line when its centre is below everything seen so far on the page. This
-    differs from a three-line look-back only when a tall word keeps an older line open.
+    In the order of their tops, a word opens a line when its centre is below everything seen so far on the page. That is
+    what looking back over the latest open lines gives: a line opens below all earlier ones, so its bottom is the
+    lowest, and whatever lies above that bottom lies inside the latest line, which a look-back asks first. Lines that
+    begin at the same height are numbered from the left.
     """
     w = Window.partitionBy(*PAGE).orderBy("top", "x0", "pos")
     floor = F.max("bottom").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -41,9 +43,10 @@ def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
     j = words.withColumn("_o", F.when(opens, 1).otherwise(0))
     j = j.withColumn("line", (F.sum("_o").over(w) - 1).cast("bigint")).drop("_o")
     box = Window.partitionBy(*LINE)
-    first = F.min(F.struct("x0", "pos")).over(box)
-    return j.withColumn("ltop", F.min("top").over(box)).withColumn("lbottom", F.max("bottom").over(box)).withColumn(
-        "abre_linea", first["pos"] == c("pos"))
+    j = j.withColumn("ltop", F.min("top").over(box)).withColumn("lbottom", F.max("bottom").over(box)).withColumn(
+        "_first", F.min(F.struct("x0", "pos")).over(box))
+    place = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("ltop", "_first.x0", "line"))
+    return j.withColumn("line", (place - 1).cast("bigint")).withColumn("abre_linea", c("_first.pos") == c("pos")).drop("_first")
 
 
 def clusters(df: DataFrame, keys: list[str], value: str, tol: float, name: str = "grupo") -> DataFrame:

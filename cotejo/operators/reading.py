@@ -27,7 +27,7 @@ from cotejo.functions.text import (
     starts_with_label,
     without_marks,
 )
-from cotejo.operators.scan import ordered_scan
+from cotejo.operators.scan import ordered_scan, ordered_texts
 from cotejo.operators.skew import by_page, join_small
 from cotejo.operators.verdict import AMOUNT
 from cotejo.session import stage
@@ -204,9 +204,8 @@ def subledger_rows(classed: DataFrame) -> DataFrame:
     s = ordered_scan(classed, ["doc_id"], "seq", latest={"sec": c("seccion")})
     s = s.withColumn("_row", row & c("sec").isNotNull())
     s = ordered_scan(s, ["doc_id"], "seq", latest={"isla": F.when(c("_row"), c("seq"))})
-    tails = s.filter((c("clase") == "cola") & c("isla").isNotNull()).groupBy("doc_id", "isla").agg(*[
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.trim(f) != "", F.struct("seq", F.trim(f).alias("t"))))),
-                                 lambda k: k["t"]), " ").alias(f"_{f}") for f in SUB_TEXTS])
+    tails = ordered_texts(s.filter((c("clase") == "cola") & c("isla").isNotNull()), ["doc_id", "isla"], "seq",
+                          {f"_{f}": F.nullif(F.trim(f), F.lit("")) for f in SUB_TEXTS})
     j = s.filter("_row").join(tails, ["doc_id", "isla"], "left")
     readable = _is_money(c("saldo"))
     zero_if_blank = lambda f: F.coalesce(money_of(c(f)), F.lit(0).cast(AMOUNT))
@@ -332,10 +331,10 @@ def journal_moves(blocks: DataFrame) -> DataFrame:
     heads = blocks.filter("abre_envuelto").select(
         "doc_id", c("seq").alias("envuelto"), w0["text"].alias("cuenta"), name.alias("n0"))
     tail = F.trim(joined(not_amounts("polizas")))
-    isle = blocks.filter(c("envuelto").isNotNull()).groupBy("doc_id", "poliza_id", "envuelto").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", tail.alias("t")))), lambda k: k["t"]), " ").alias("cola"),
-        F.min(F.when(c("n_montos") > 0, F.struct("seq", "page", am.alias("am")))).alias("fin"))
-    wrapped = isle.filter(c("fin").isNotNull()).join(heads, ["doc_id", "envuelto"]).select(
+    waiting, isla = blocks.filter(c("envuelto").isNotNull()), ["doc_id", "poliza_id", "envuelto"]
+    ends = waiting.groupBy(*isla).agg(F.min(F.when(c("n_montos") > 0, F.struct("seq", "page", am.alias("am")))).alias("fin"))
+    isle = ends.filter(c("fin").isNotNull()).join(ordered_texts(waiting, isla, "seq", {"cola": tail}), isla)
+    wrapped = isle.join(heads, ["doc_id", "envuelto"]).select(
         "doc_id", "poliza_id", c("fin.seq").alias("seq"), c("fin.page").alias("page"), "cuenta",
         F.trim(F.concat_ws(" ", "n0", "cola")).alias("nombre_cuenta"), c("fin.am").alias("am"))
     every = direct.unionByName(wrapped)
@@ -354,9 +353,7 @@ def journal_cfdi(blocks: DataFrame) -> DataFrame:
     tail = ~row & (F.size(t) == 1) & F.get(t, F.lit(0)).rlike(RE_UUID_TAIL)
     z = ordered_scan(z.withColumn("_row", row).withColumn("_tail", tail), ["doc_id"], "seq",
                      latest={"_of": F.when(c("_row"), c("seq"))})
-    tails = z.filter(c("_tail") & c("_of").isNotNull()).groupBy("doc_id", "_of").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.get(texts(), F.lit(0)).alias("t")))),
-                                 lambda k: k["t"]), "").alias("_t"))
+    tails = ordered_texts(z.filter(c("_tail") & c("_of").isNotNull()), ["doc_id", "_of"], "seq", {"_t": F.get(texts(), F.lit(0))}, "")
     pick = lambda pat: F.coalesce(F.get(F.filter(texts(), lambda x: x.rlike(pat)), F.lit(0)), F.lit(""))
     r = z.filter("_row").withColumn("_u", pick(RE_UUID_HEAD)).withColumn("_r", pick(RE_RFC_ANY))
     rest = F.filter(rest_from(texts(), 2), lambda x: (x != c("_u")) & (x != c("_r")))

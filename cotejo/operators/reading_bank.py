@@ -16,7 +16,7 @@ from cotejo.functions.text import (
 )
 from cotejo.operators.layout import edge_limit, widened
 from cotejo.operators.reading import LINE, PAGE_BITS, amounts, joined, money_of, not_amounts, texts
-from cotejo.operators.scan import ordered_scan
+from cotejo.operators.scan import ordered_scan, ordered_texts
 from cotejo.operators.skew import PAGES, by_page, by_seq, join_small
 from cotejo.operators.verdict import AMOUNT
 
@@ -261,8 +261,8 @@ def moves(lines: DataFrame, columns: DataFrame, meta: DataFrame, separator: str
     hangs = flow.filter((c("_row") == False) & c("_last").isNotNull()  # noqa: E712
                         & (c("_brk").isNull() | (c("_brk") < F.greatest("_last", "_mk")))).select("doc_id", "seq", c("_last").alias("de"))
     tail = joined(not_amounts(KIND))
-    tails = r.select("doc_id", "seq", tail.alias("cola")).filter("cola <> ''").join(hangs, ["doc_id", "seq"]).groupBy("doc_id", "de").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "cola"))), lambda k: k["cola"]), separator).alias("cola"))
+    tails = ordered_texts(r.select("doc_id", "seq", tail.alias("cola")).filter("cola <> ''").join(hangs, ["doc_id", "seq"]),
+                          ["doc_id", "de"], "seq", {"cola": c("cola")}, separator)
     rows = r.filter("_row").join(tails.withColumnRenamed("de", "seq"), ["doc_id", "seq"], "left")
     out = rows.select(
         "doc_id", "seq", "num_cuenta", "_d.dia", "_d.fecha",

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL_BITS = (20, 40)
+TEXT_BITS = (12, 40)  # 4,096 lines of a page, then 256 pages
 
 
 def ordered_scan(
@@ -137,6 +138,32 @@ def _carry(tails: DataFrame, keys: list[str], state: Mapping[str, str],
     return merged.select(*keys, "_span", *out)
 
 
+def ordered_texts(pieces: DataFrame, keys: Sequence[str], order: str, texts: Mapping[str, Column], sep: str | Mapping[str, str] = " ",
+                  levels: Sequence[int] = TEXT_BITS) -> DataFrame:
+    """The texts of each group joined in order, nulls left out; ``order`` is a unique non-negative BIGINT per ``keys``.
+
+    Texts are joined inside spans of the order key first, then fragments inside wider spans, then those of a
+    group: a group with a million pieces is never collected, a task holds the pieces of one span and, at the
+    end, a few fragments and the text that they make. A group without any text has null.
+    """
+    seps = sep if isinstance(sep, Mapping) else dict.fromkeys(texts, sep)
+    at = pieces.select(*keys, F.col(order).alias("_at"), *[t.alias(n) for n, t in texts.items()])
+    for bits in [*levels, None]:
+        span = F.lit(0).cast("long") if bits is None else F.shiftright("_at", bits - _spent(levels, bits))
+        at = at.withColumn("_to", span)
+        packed = [F.filter(F.sort_array(F.collect_list(F.struct("_at", F.col(n).alias("t")))), lambda s: s["t"].isNotNull()) for n in texts]
+        at = at.groupBy(*keys, "_to").agg(*[
+            F.when(F.size(p) > 0, F.array_join(F.transform(p, lambda s: s["t"]), seps[n])).alias(n)
+            for n, p in zip(texts, packed)]).withColumnRenamed("_to", "_at")
+    return at.drop("_at")
+
+
+def _spent(levels: Sequence[int], bits: int) -> int:
+    """How far the levels before ``bits`` have shifted the order key already."""
+    before = [b for b in levels if b < bits]
+    return max(before, default=0)
+
+
 def first_names(df: DataFrame, key: str, value: str, order: Sequence[str],
                 k: int = 5, name: str = "nombres") -> DataFrame:
     """The first ``k`` values per key as one text.
