@@ -38,36 +38,55 @@ def open_fs(uri: str):
 
 
 
+LONG = 64                # words of more characters are not remembered
+MEMORY = 48 * 1024 ** 2  # bytes of one generation of a memory, about
+
+
+def word_bytes(word: str) -> int:
+    """About what remembering a word takes: the string, its entry and a small result."""
+    return 200 + 2 * len(word)
+
 
 class Memory:
-    """A bounded memory of results by word, kept by a worker process from task to task.
+    """A memory of results by word, bounded in words and in bytes, kept by a worker process from task to task.
 
     Two generations: when the young one is full it becomes the old one, and words found in the
-    old one move back, so frequent words stay.
+    old one move back, so frequent words stay. Words of more than ``LONG`` characters, which seldom
+    come back, are held for one call only.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int, most: int = MEMORY):
+        self.limit, self.most, self.young, self.old = limit, most, {}, {}
+        self.held, self.long = 0, []
 
     def missing(self, words: set[str]) -> list[str]:
         """The words without a result, once the remembered ones are in ``young``."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+        for w in self.long:
+            self.young.pop(w, None)
+        if len(self.young) > self.limit or self.held > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
+        new = words.difference(self.young)
+        self.long = [w for w in new if len(w) > LONG]
         lost = []
-        for w in words.difference(self.young):
+        for w in new:
             if w in self.old:
                 self.young[w] = self.old[w]
             else:
                 lost.append(w)
+        self.held += sum(word_bytes(w) for w in new if len(w) <= LONG)
         return lost
 
 
 def kept(key: tuple, make):
-    """What this worker process keeps under ``key``; made by the first task that asks."""
+    """What this worker process keeps under ``key``; made by the first task that asks.
+
+    One thing at a time: a model or an encoder that the next stage does not ask for is let go.
+    """
     import sys
     import types
 
     store = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get("key") != key:
+        store.pop("value", None)
+        store["value"], store["key"] = make(), key
+    return store["value"]

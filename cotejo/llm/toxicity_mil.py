@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.common import kept, whole_text
+from cotejo.llm.common import kept, MEMORY, whole_text, word_bytes
 from cotejo.llm.sampling import fit_in_one_task, labelled_sample
 
 DIM = 1 << 18
@@ -41,6 +41,7 @@ class Words:
         self.dim, self.limit = dim, limit
         self.known: dict[str, int] = {}
         self.words: list[str] = []
+        self.held = 0
 
     def parse(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Distinct (sentence, word) pairs as two arrays, and the number of sentences.
@@ -55,6 +56,7 @@ class Words:
             else:
                 known[t] = len(self.words)
                 self.words.append(t)
+                self.held += word_bytes(t)
         ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         breaks = ids == BREAK
         sentence = np.cumsum(breaks) - breaks
@@ -64,10 +66,11 @@ class Words:
 
     def full(self) -> bool:
         """Whether to forget; to be asked between texts, as places change."""
-        if len(self.words) <= self.limit:
+        if len(self.words) <= self.limit and self.held <= MEMORY:
             return False
         self.known.clear()
         self.words.clear()
+        self.held = 0
         return True
 
     def features(self, word: str) -> np.ndarray:
