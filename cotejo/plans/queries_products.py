@@ -40,7 +40,7 @@ _BUILD = {
     "auxiliar": lambda t: rs.subledger_rules(_filled(t), refilled=True),
     "balanza": lambda t: rt.trial_rules(t.balanza, t.totales),
     "estado-cuenta": lambda t: rb.bank_rules(t.est_meta, t.est_cuentas, t.est_movs),
-    "mayor": lambda t: rl.ledger_rules(stage(_heads(t)), t.mayor_meses, t.par_balanza),
+    "mayor": lambda t: rl.ledger_rules(_heads(t), t.mayor_meses, t.par_balanza),
 }
 _done: dict[tuple, object] = {}
 
@@ -123,15 +123,18 @@ SELECT h.doc_id, h.cuenta, nombre_cuenta, saldo_inicial, saldo_final, total_carg
   lc AS total_cargos_leido, total_abonos AS total_abonos_declarado, la AS total_abonos_leido, naturaleza,
   pagina_inicio FROM may_heads h LEFT JOIN may_sum s ON s.doc_id = h.doc_id AND s.cuenta = h.cuenta""")(
     lambda t: sh.ledger_heads(_heads(t), rl.read_totals(t.mayor_meses)))
-query("O3_journal_flat", """
-SELECT m.*, tipo, fecha, descripcion, folio FROM movimientos m
-LEFT JOIN polizas p ON p.doc_id = m.doc_id AND p.poliza_id = m.poliza_id""")(
-    lambda t: sh.flat(t.movimientos, t.polizas, ["doc_id", "poliza_id"],
-                      ["tipo", "fecha", "descripcion", "folio"]))
-query("O3_ledger_flat", """
-SELECT m.*, nombre_cuenta, naturaleza FROM mayor_meses m
-LEFT JOIN may_heads h ON h.doc_id = m.doc_id AND h.cuenta = m.cuenta""")(
-    lambda t: sh.flat(t.mayor_meses, _heads(t), ["doc_id", "cuenta"], ["nombre_cuenta", "naturaleza"]))
+view("o1_heads", f"""SELECT p.doc_id, p.poliza_id, tipo, naturaleza, fecha, descripcion, folio, total_debe AS total_debe_declarado, ld AS total_debe_leido,
+  total_haber AS total_haber_declarado, lh AS total_haber_leido, completa AND COALESCE(total_debe = ld AND total_haber = lh, FALSE) AS completa
+  FROM polizas p LEFT JOIN pol_leidos l ON l.doc_id = p.doc_id AND l.poliza_id = p.poliza_id""")
+view("o2_heads", f"""SELECT h.doc_id, h.cuenta, nombre_cuenta, saldo_inicial, saldo_final, total_cargos AS total_cargos_declarado, lc AS total_cargos_leido,
+  total_abonos AS total_abonos_declarado, la AS total_abonos_leido, naturaleza, pagina_inicio FROM may_heads h
+  LEFT JOIN may_sum s ON s.doc_id = h.doc_id AND s.cuenta = h.cuenta""")
+O3_JOURNAL = f"""SELECT m.*, {", ".join(sinks.JOURNAL_HEAD)} FROM movimientos m LEFT JOIN o1_heads p ON p.doc_id = m.doc_id AND p.poliza_id = m.poliza_id"""
+O3_LEDGER = f"""SELECT m.*, {", ".join(sinks.LEDGER_HEAD)} FROM mayor_meses m LEFT JOIN o2_heads h ON h.doc_id = m.doc_id AND h.cuenta = m.cuenta"""
+query("O3_journal_flat", O3_JOURNAL)(
+    lambda t: sinks.journal_flat(t.movimientos, sh.journal_heads(t.polizas, rj.entry_totals(t.movimientos))))
+query("O3_ledger_flat", O3_LEDGER)(
+    lambda t: sinks.ledger_flat(t.mayor_meses, sh.ledger_heads(_heads(t), rl.read_totals(t.mayor_meses))))
 query("O4_top_discrepancies", """
 SELECT tipo, doc_id, lugar, fila, subregla AS regla, esperado IS NOT NULL AS numerica,
   CASE WHEN esperado IS NULL THEN '' ELSE format('{:,.2f}', CAST(esperado AS DOUBLE)) END AS esperado,
@@ -307,7 +310,7 @@ view("d8_may", f"""SELECT * FROM (SELECT h.doc_id, h.cuenta,
   unnest([lc, la, CAST(saldo_inicial + (lc - la) * CASE WHEN naturaleza = 'A' THEN -1 ELSE 1 END AS {D})]) AS leido
   FROM may_heads h JOIN may_sum s ON s.doc_id = h.doc_id AND s.cuenta = h.cuenta) WHERE declarado <> leido""")
 query("D8_ledger_declared_vs_read", "SELECT * FROM d8_may")(
-    lambda t: dg.ledger_declared_vs_read(stage(_heads(t)), t.mayor_meses))
+    lambda t: dg.ledger_declared_vs_read(_heads(t), t.mayor_meses))
 query("D8_bank_declared_vs_read", f"""
 j AS (SELECT c.*, COALESCE(sd, 0) AS sd, COALESCE(sr, 0) AS sr, (SELECT arg_max(saldo, seq) FROM est_movs m
   WHERE m.doc_id = c.doc_id AND m.num_cuenta = c.num_cuenta AND saldo IS NOT NULL) AS ult
@@ -333,7 +336,7 @@ view("d10_chain", "SELECT DISTINCT doc_id, cuenta FROM d8_may WHERE campo = 'sal
 query("D10_tolerated_vs_chain", """
 SELECT doc_id, cuenta, 'solo_tolerancia' AS lado FROM (SELECT * FROM d10_near EXCEPT SELECT * FROM d10_chain)
 UNION ALL SELECT doc_id, cuenta, 'solo_cadena' FROM (SELECT * FROM d10_chain EXCEPT SELECT * FROM d10_near)""")(
-    lambda t: dg.tolerated_vs_chain(stage(_heads(t)), t.mayor_meses,
+    lambda t: dg.tolerated_vs_chain(_heads(t), t.mayor_meses,
                                     suite(t, "mayor", "tolerated").filter("regla = 'saldo_mensual'")))
 query("D11_reasons", r"""
 SELECT estado, COALESCE(NULLIF(trim(regexp_replace(regexp_replace(motivo, '\d[\d,\.]*', 'N', 'g'),
@@ -415,21 +418,63 @@ SELECT doc_id, seq, cuenta, nivel, cuenta_padre, naturaleza, nombre, saldo_ini_d
   haber, saldo_fin_deudor, saldo_fin_acreedor, es_acumulativa, EXISTS (SELECT 1 FROM zd_balanza d
   WHERE d.indice >= 0 AND d.doc_id = b.doc_id AND d.indice = b.seq) AS marcada FROM balanza b""")(
     lambda t: _written(t, {"balanza": sinks.trial_table(t.balanza, suite(t, "balanza", "discrepancies"))}, "balanza"))
-query("S8_journal_sink", """SELECT m.*, tipo, fecha, descripcion, folio FROM movimientos m
-  LEFT JOIN polizas p ON p.doc_id = m.doc_id AND p.poliza_id = m.poliza_id""")(
-    lambda t: _written(t, sinks.journal_tables(t.polizas, t.movimientos, t.cfdi,
-                                               rj.entry_totals(t.movimientos)), "plana"))
-query("S9_ledger_sink", """SELECT m.*, nombre_cuenta, naturaleza FROM mayor_meses m
-  LEFT JOIN may_heads h ON h.doc_id = m.doc_id AND h.cuenta = m.cuenta""")(
-    lambda t: _written(t, sinks.ledger_tables(stage(_heads(t)), t.mayor_meses,
-                                              rl.read_totals(t.mayor_meses)), "plana"))
-query("S10_bank_sink", """
-SELECT c.doc_id, c.seq, banco, rfc, periodo_ini, periodo_fin, c.num_cuenta, clabe, producto, moneda, saldo_inicial,
+_published: dict = {}
+
+
+def checked(t, kind: str) -> dict:
+    return sinks.validation_tables(suite(t, kind, "results"), suite(t, kind, "tolerated"), suite(t, kind, "discrepancies"))
+
+
+_SINKS = {
+    "polizas": lambda t: sinks.journal_tables(t.polizas, t.movimientos, t.cfdi, rj.entry_totals(t.movimientos), checked(t, "polizas")),
+    "mayor": lambda t: sinks.ledger_tables(_heads(t), t.mayor_meses, rl.read_totals(t.mayor_meses), checked(t, "mayor")),
+    "estado-cuenta": lambda t: sinks.bank_tables(t.est_meta, t.est_cuentas, t.est_movs, rb.read_totals(t.est_cuentas, t.est_movs),
+                                                 checked(t, "estado-cuenta")),
+}
+
+
+def read_back(t, kind: str, name: str):
+    """A table of a sink as its readers find it; the sink is published once per corpus."""
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if key not in _published:
+        _published[key] = f"{shared_dir(t.spark)}/out-{uuid.uuid4().hex}"
+        sinks.publish(t.spark, _SINKS[kind](t), _published[key])
+    return sinks.published(t.spark, _published[key], name)
+
+
+def validation_sql(kind: str) -> str:
+    """The validation table of a kind: what was checked, in words, with the first five tolerated cases."""
+    k = _kv[kind]
+    view(f"sv_near_{k}", " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS n_regla, fila, seq AS indice, subregla FROM f_{r} WHERE veredicto = 'tolerancia'" for i, r in enumerate(SUITES[kind], 1)))
+    view(f"sv_names_{k}", f"""SELECT doc_id, n_regla, array_to_string((list(fila ORDER BY indice, fila, subregla))[1:5], ', ') AS nombres
+      FROM sv_near_{k} GROUP BY doc_id, n_regla""")
+    return f"""
+SELECT r.doc_id, r.n_regla, regla, estado, aplicables, evaluados, exactas, COALESCE(NULLIF(concat_ws('; ',
+  CASE WHEN exactas > 0 THEN {S('exactas')} || ' exacta' || CASE WHEN exactas <> 1 THEN 's' ELSE '' END END,
+  CASE WHEN con_tolerancia > 0 THEN {S('con_tolerancia')} || ' dentro de tolerancia: ' || nombres END,
+  CASE WHEN discrepancias > 0 THEN {S('discrepancias')} || ' con diferencia' END), ''), 'sin comprobaciones') AS detalle,
+  motivo FROM zr_{k} r LEFT JOIN sv_names_{k} n ON n.doc_id = r.doc_id AND n.n_regla = r.n_regla"""
+
+
+_S10 = """SELECT c.doc_id, c.seq, banco, rfc, periodo_ini, periodo_fin, c.num_cuenta, clabe, producto, moneda, saldo_inicial,
   depositos AS depositos_declarado, COALESCE(sd, 0) AS leido_depositos, retiros AS retiros_declarado,
   COALESCE(sr, 0) AS leido_retiros, saldo_corte FROM est_cuentas c LEFT JOIN est_meta m ON m.doc_id = c.doc_id
-  LEFT JOIN est_sums s ON s.doc_id = c.doc_id AND s.num_cuenta = c.num_cuenta""")(
-    lambda t: _written(t, sinks.bank_tables(t.est_meta, t.est_cuentas, t.est_movs,
-                                            rb.read_totals(t.est_cuentas, t.est_movs)), "cuentas"))
+  LEFT JOIN est_sums s ON s.doc_id = c.doc_id AND s.num_cuenta = c.num_cuenta"""
+view("s10_accounts", _S10)
+for _name, _sink, _table, _sql in [
+        ("S8_journal_sink", "polizas", "plana", O3_JOURNAL), ("S8_journal_heads", "polizas", "polizas", "SELECT * FROM o1_heads"),
+        ("S8_journal_moves", "polizas", "movimientos", "SELECT * FROM movimientos"), ("S8_journal_invoices", "polizas", "cfdi", "SELECT * FROM cfdi"),
+        ("S9_ledger_sink", "mayor", "plana", O3_LEDGER), ("S9_ledger_accounts", "mayor", "cuentas", "SELECT * FROM o2_heads"),
+        ("S9_ledger_months", "mayor", "meses", "SELECT * FROM mayor_meses"),
+        ("S10_bank_sink", "estado-cuenta", "cuentas", "SELECT * FROM s10_accounts"), ("S10_bank_moves", "estado-cuenta", "movimientos", "SELECT * FROM est_movs"),
+        ("S10_bank_flat", "estado-cuenta", "plana", f"""SELECT m.*, {", ".join(sinks.BANK_HEAD)} FROM est_movs m LEFT JOIN (SELECT * FROM s10_accounts
+          QUALIFY COUNT(*) OVER (PARTITION BY doc_id, num_cuenta) = 1) a ON a.doc_id = m.doc_id AND a.num_cuenta = m.num_cuenta""")]:
+    query(_name, _sql)(lambda t, k=_sink, n=_table: read_back(t, k, n))
+for _prefix, _sink in (("S8_journal", "polizas"), ("S9_ledger", "mayor"), ("S10_bank", "estado-cuenta")):
+    query(f"{_prefix}_validation", validation_sql(_sink))(lambda t, k=_sink: read_back(t, k, "validacion"))
+    query(f"{_prefix}_discrepancies", f"SELECT doc_id, n_regla, fila, subregla AS regla, esperado, obtenido FROM zd_{_kv[_sink]}")(
+        lambda t, k=_sink: read_back(t, k, "discrepancias"))
 query("S11_subledger_sink", "SELECT " + ", ".join(sinks.SUBLEDGER_COLUMNS) + " FROM aux_lleno")(
     lambda t: _written(t, {"auxiliar": sinks.subledger_table(_filled(t))}, "auxiliar"))
 view("s12_near", """SELECT doc_id, 1 AS n_regla, fila, seq AS indice, subregla FROM f_journal_double_entry WHERE veredicto = 'tolerancia'

@@ -547,8 +547,15 @@ view("may_heads", """SELECT b.*, m.saldo AS saldo_final, m.acum_cargos AS total_
     FROM mayor_meses) m ON m.doc_id = b.doc_id AND m.cuenta = b.cuenta AND rn = 1""")
 
 
+_closed: dict = {}
+
+
 def _heads(t):
-    return rl.close_accounts(t.mayor_base, t.mayor_meses)
+    """The closed accounts: a stage table, since every ledger rule and sink reads them."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _closed:
+        _closed[key] = stage(rl.close_accounts(t.mayor_base, t.mayor_meses))
+    return _closed[key]
 
 
 query("A8_ledger_natures", "SELECT * FROM may_nat")(lambda t: rl.natures(t.mayor_base, t.mayor_meses))
