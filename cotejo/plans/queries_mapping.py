@@ -5,13 +5,17 @@ The checking SQL starts from the printed columns and the typed rows, so it share
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cotejo.operators import mapping as mp
+from cotejo.operators.registry import VOCABULARY, forms_of, read_vocabulary
 from cotejo.plans.queries_layout import read_tables, stored
 from cotejo.plans.queries_text import norm_sql
 from cotejo.plans.registry import query, view
 from cotejo.plans.relations import M, SUBLEDGER_FIELDS, SUBLEDGER_PRINTS, TRIAL_FORMS, TRIAL_PRINTS
+from cotejo.session import shared_dir
 
 
 c = F.col
@@ -171,3 +175,27 @@ query("M2_M3_shape_candidates", "SELECT doc_id, idx, campo, CAST(puntaje AS BIGI
 query("M3_subledger_proposals", f"""SELECT doc_id, mapeo, CAST(puntos AS BIGINT) AS puntos, rango FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY puntos DESC, mapeo) AS rango FROM s_m3)
 WHERE rango <= {SUBLEDGER_MOST}""")(
     lambda t: mp.proposals(subledger_candidates(t), SUBLEDGER, SUBLEDGER_MOST).select("doc_id", "mapeo", "puntos", "rango"))
+
+
+# ----------------------------------------------------------- U3: a format added as rows
+_NEW = [("importe", i, role, int(req), syn) for i, (role, req, syn) in enumerate(
+    [("cuenta", True, "cuenta"), ("nombre", True, "nombre"), ("saldo", True, "importe"), ("debe", True, "debe"), ("otro", False, "otro")])]
+
+
+@stored("extended_vocabulary")
+def extended_vocabulary(t):
+    """The library's trial-balance vocabulary and a user's form, each its own table, read at run time."""
+    base = f"{shared_dir(t.spark)}/vocabulary-{uuid.uuid4().hex}"
+    t.vocab_balanza.select("forma", c("orden").cast("int"), "campo", c("obligatorio").cast("int"), "sinonimo").write.parquet(f"{base}/own")
+    t.spark.createDataFrame(_NEW, VOCABULARY).write.parquet(f"{base}/user")
+    return read_vocabulary(t.spark, f"{base}/own", f"{base}/user")
+
+
+def _with_new_form(t):
+    words = extended_vocabulary(t)
+    return mp.best_by_vocabulary(mp.proposals(mp.role_candidates(trial_layout(t), words), forms_of(words), TRIAL_MOST))
+
+
+query("U3_added_format", """SELECT doc_id, forma, mapeo FROM m3 QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY orden_forma, rango) = 1
+UNION ALL SELECT DISTINCT doc_id, 'importe', 'cuenta=0,nombre=1,saldo=2,debe=3,otro=4' FROM pt_base WHERE doc_id % 6 = 5""")(
+    lambda t: _with_new_form(t).select("doc_id", "forma", "mapeo"))
