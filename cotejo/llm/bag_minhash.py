@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.common import whole_text
@@ -272,16 +272,20 @@ def _prefix_pairs(members: DataFrame, able: DataFrame, common: DataFrame, thresh
     either, so only these meet. Units that no other bag holds are the rarest and meet nothing.
     Two bags differ in at least as many units as their profiles differ by, and a pair at the
     threshold t differs in (1 - t) / (1 + t) of the sum of its sizes at most, so a pair is
-    made only if its profiles allow it.
+    made only if its profiles allow it. At the first unit that two bags share, in this order, all
+    others that they share come later in both, so what is left in either must be enough for them.
     """
     nodes = members.select("node", "comp").distinct().join(able, "node")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "unit"))
-    rarest = common.join(nodes, "node").withColumn("rank", rank + F.col("size") - F.col("shared")) \
-        .where(F.col("rank") <= F.col("size") - F.col("needed") + 1).select("unit", "node", "comp", "size", "profile")
+    # one row a node until the rarest are cut out; a bag's units are bounded by its text
+    own = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "unit"))).alias("units"))
+    first = F.slice("units", F.lit(1), (F.col("shared") - F.col("needed") + 1).cast("int"))
+    rarest = own.join(nodes, "node").select("node", "comp", "size", "profile", "shared", F.posexplode(first).alias("at", "u")) \
+        .select(F.col("u.unit").alias("unit"), "node", "comp", "size", "profile", (F.col("shared") - F.col("at") - 1).alias("later"))
     rarest = stage(rarest)
     apart = "aggregate(zip_with(x.profile, y.profile, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
     most = f"{(1 - threshold) / (1 + threshold)!r}D * (x.size + y.size) + 1e-6D"
-    both = rarest.alias("x").join(rarest.alias("y"), F.expr(f"x.unit = y.unit AND x.comp < y.comp AND {apart} <= {most}"))
+    enough = f"1 + least(x.later, y.later) >= {threshold / (1 + threshold)!r}D * (x.size + y.size) - 1e-6D"
+    both = rarest.alias("x").join(rarest.alias("y"), F.expr(f"x.unit = y.unit AND x.comp < y.comp AND {enough} AND {apart} <= {most}"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
