@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.accounts import (
@@ -21,9 +21,14 @@ KEY = ["doc_id", "cuenta"]
 DECLARED, DERIVED, INHERITED, UNKNOWN = "explicita", "derivada", "heredada", "sin_determinar"
 
 
+def _span(rows: DataFrame) -> Column:
+    """Stretches of the reading order; rows without one are dealt out by their account."""
+    return by_seq() if "seq" in rows.columns else F.pmod(F.xxhash64("cuenta"), F.lit(64))
+
+
 def with_scheme(rows: DataFrame) -> DataFrame:
     """Rows plus the scheme of their document; one small row per document is joined."""
-    return join_small(rows, infer_schemes(rows), "doc_id", by_seq(), "left")
+    return join_small(rows, infer_schemes(rows), "doc_id", _span(rows), "left")
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def summary_accounts(rows: DataFrame) -> DataFrame:
     marked = rows.groupBy("doc_id").agg(F.bool_or(f("marca") != "").alias("_doc_mark"))
     parents = (rows.filter("cuenta_padre <> ''").select("doc_id", f("cuenta_padre").alias("cuenta"))
                .distinct().withColumn("_parent", F.lit(True)))
-    j = join_small(rows, marked, "doc_id", by_seq()).join(parents, KEY, "left")
+    j = join_small(rows, marked, "doc_id", _span(rows)).join(parents, KEY, "left")
     return j.withColumn(
         "es_acumulativa", F.when(f("_doc_mark"), f("marca") == "acumulativa")
         .otherwise(F.coalesce("_parent", F.lit(False)))).drop("_doc_mark", "_parent")
