@@ -5,8 +5,9 @@ words into lower case; punctuation goes. A run of name words is one placeholder.
 template tokens of benchmark items are hash-joined with those of documents. Windows of a pair
 that share a diagonal (place in the document less place in the item) belong to one occurrence;
 there the slots must agree: each slot value of the item stands for one value in the document,
-and each value in the document for one of the item. An item is leaked into a document if at
-least ``coverage`` of its windows occur consistently.
+and each value in the document for one of the item, as bound where either first appears. A slot
+that contradicts this costs the windows that hold it, the other windows of the occurrence still
+count. An item is leaked into a document if at least ``coverage`` of its windows are left.
 
 Windows that no item holds are dropped before the join by a filter of a fixed number of bits
 over all item windows; it may pass a window too many, never one too few.
@@ -202,8 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                  least: int = LEAST) -> DataFrame:
     """One row per document and item leaked into it.
 
-    ``coverage`` is the share of the item's windows found; ``reparameterised`` says whether
-    some slot value differs.
+    ``coverage`` is the share of the item's windows found without a clash of slots; ``reparameterised``
+    says whether some slot value differs.
     """
     item_rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), whole_text("text").alias("text"))
     items = stage(template_windows(item_rows, None, window, least, None))
@@ -219,15 +220,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "slots", "item_slots",
                 (F.col("item_tokens") - F.col("width") + 1).alias("item_windows"))
     occurrence = ["doc_id", "item_id", "diagonal"]
-    pairs = hits.where(F.size("slots") > 0).select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")) \
-        .select(*occurrence, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
-    agree = pairs.groupBy(*occurrence).agg(
-        (F.greatest(F.count("*") - F.count_distinct("a"), F.count("*") - F.count_distinct("b")) == 0).alias("consistent"),
-        F.bool_or(F.col("a") != F.col("b")).alias("differs"))
-    seen = hits.select(*occurrence, "item_pos", "item_windows").distinct() \
-        .join(agree, occurrence, "left").where(F.coalesce("consistent", F.lit(True)))
+    pair = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    both = hits.where(F.size("slots") > 0).select(*occurrence, "item_pos", F.posexplode(pair).alias("at", "s")) \
+        .select(*occurrence, F.struct("item_pos", "at").alias("place"), F.explode(F.array(
+            F.struct(F.lit(True).alias("of_item"), F.col("s.a").alias("value"), F.col("s.b").alias("other")),
+            F.struct(F.lit(False).alias("of_item"), F.col("s.b").alias("value"), F.col("s.a").alias("other")))).alias("v")) \
+        .select(*occurrence, "place", "v.*")
+    torn = both.groupBy(*occurrence, "of_item", "value").agg(
+        F.min("other").alias("least"), F.max("other").alias("most"), F.min_by("other", "place").alias("bound")) \
+        .where("least <> most")
+
+    def bound_of(item: bool):
+        entry = F.when(F.col("of_item") == item, F.struct("value", "bound"))
+        return F.map_from_entries(F.collect_list(entry))
+
+    bound = torn.groupBy(*occurrence).agg(bound_of(True).alias("of_item"), bound_of(False).alias("of_doc"))
+    clash = F.exists(pair, lambda s: F.coalesce(F.try_element_at("of_item", s["a"]) != s["b"], F.lit(False))
+                     | F.coalesce(F.try_element_at("of_doc", s["b"]) != s["a"], F.lit(False)))
+    seen = hits.join(bound, occurrence, "left").where(~clash).select(
+        "doc_id", "item_id", "item_pos", "item_windows", F.exists(pair, lambda s: s["a"] != s["b"]).alias("differs"))
     per_place = seen.groupBy("doc_id", "item_id", "item_pos").agg(
-        F.max("item_windows").alias("item_windows"), F.bool_and(F.coalesce("differs", F.lit(False))).alias("differs"))
+        F.max("item_windows").alias("item_windows"), F.bool_and("differs").alias("differs"))
     result = per_place.groupBy("doc_id", "item_id").agg(
         F.count("*").cast("long").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"),
         F.bool_or("differs").alias("reparameterised"))

@@ -152,6 +152,39 @@ def test_templates(spark):
     assert kept.columns == table(spark, rows, clash=True).columns
 
 
+LONG = ("Each morning the old baker of our town puts 3 loaves on the long table and waits for the children who live near the river, "
+        "and in the evening the same baker takes 5 loaves home because nobody came to eat them after the storm had closed the road")
+
+
+def consistent_windows(item: str, doc: str) -> tuple[int, int]:
+    """Windows of the item at one diagonal left by a scan of its slots in reading order, and all of them."""
+    t, d = (templates.Canonical().templates([x]) for x in (item, doc))
+    assert (t.hashes == d.hashes).all()
+    there, back, bad = {}, {}, set()
+    for k in range(len(t.at)):
+        if t.kinds[k] != templates.WORD:
+            a, b = (templates.slots(x.kinds, x.raw, x.at, k, 1)[0] for x in (t, d))
+            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                bad.add(k)
+    starts = range(len(t.at) - templates.WINDOW + 1)
+    return sum(not bad & set(range(s, s + templates.WINDOW)) for s in starts), len(starts)
+
+
+def test_a_clash_costs_only_its_windows(spark):
+    twice = LONG.replace("5 loaves", "3 loaves")
+    items = spark.createDataFrame([(1, LONG), (2, twice)], "item_id long, text string")
+    rows = [(1, LONG.replace("3 loaves", "4 loaves").replace("5 loaves", "4 loaves")),  # two values of the item become one
+            (2, LONG.replace("3 loaves", "7 loaves").replace("5 loaves", "9 loaves")),  # clash with item 2, whose value is torn
+            (3, LONG), (4, twice)]
+    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows, r.reparameterised)
+           for r in templates.contaminated(table(spark, rows), items).collect()}
+    texts, wanted = dict(rows), {1: LONG, 2: twice}
+    for pair in [(d, i) for d in texts for i in wanted]:
+        assert got[pair][:2] == consistent_windows(wanted[pair[1]], texts[pair[0]])
+    assert got[1, 1][0] < got[1, 1][1] and got[2, 1][0] == got[2, 1][1] and got[2, 2][0] < got[2, 2][1]
+    assert [got[p][2] for p in [(1, 1), (2, 1), (3, 1), (4, 2)]] == [True, True, False, False]
+
+
 def test_templates_of_no_rows(spark):
     assert templates.contaminated(table(spark, []), benchmark(spark)).count() == 0
     assert templates.contaminated(table(spark, odd_rows()), benchmark(spark).limit(0)).count() == 0
