@@ -1,17 +1,28 @@
 """Learned formats as a keyed table: T1-T7.
 
 A template row is keyed by (tenant_id, huella); tenants never see each other because the
-tenant is part of every join key.
+tenant is part of every join key. The stored table is a log of batches: a batch is seen once its manifest
+is written, and readers take of each key the highest version, of equal versions the one published first. So
+two writers at once lose nothing, and nobody waits for a lock.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["tenant_id", "huella"]
 RE_TENANT = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"
 RE_FINGERPRINT = r"^[A-Za-z0-9_-]{1,64}$"
+TEMPLATE = ("tenant_id string, huella string, tipo string, estrategia string, mapeo map<string,int>, forma string, verificado_por string, "
+            "orientacion_verificada boolean, filas_afectadas long, "
+            "esquema struct<separador:string,anchos:array<int>,marca_ini:int,marca_fin:int,largo:int>, "
+            "reglas struct<tolerancia:string,subconjunto_totales:string,exige_partida_doble:boolean>, "
+            "cobertura struct<cuadran:bigint,fallan:bigint,no_verificables:bigint>, "
+            "pendiente boolean, confirmada_por string, confirmada_en string, version int, separador_continuacion string")
 
 
 def valid_tenant(c: Column) -> Column:
@@ -27,33 +38,47 @@ def valid_fingerprint(c: Column) -> Column:
 def split_valid(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """usable rows and the quarantine."""
     ok = valid_tenant(F.col("tenant_id")) & valid_fingerprint(F.col("huella"))
-    return keys.filter(ok), keys.filter(~ok)
+    return keys.filter(ok), keys.filter(~F.coalesce(ok, F.lit(False)))
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """``rows`` with exactly the columns and types of a template, a ``doc_id`` kept before them."""
+    schema = SparkSession.active().createDataFrame([], TEMPLATE).schema
+    return rows.select(*[k for k in rows.columns if k == "doc_id"], *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def build(readings: DataFrame, cover: DataFrame) -> DataFrame:
-    """One template row per document reading and its coverage.
+def build(readings: DataFrame, schemes: DataFrame, rules: DataFrame, cover: DataFrame) -> DataFrame:
+    """One template row per document that was read, with ``doc_id`` before it.
 
-    Statements always stay pending: geometry cannot tell the continuation separator.
+    ``readings``: doc_id, the key, tipo, estrategia, mapeo (map), forma, verificado_por, orientacion_verificada,
+    filas_afectadas. ``schemes``: A1. ``rules``: doc_id and the three parameters. ``cover``: V23. Statements always
+    stay pending: geometry cannot tell the continuation separator.
     """
     f = F.col
-    pending = (f("tipo") == "estado_cuenta") | ~f("orientacion_verificada")
-    return readings.join(cover.select("doc_id", "cuadran", "fallan", "no_verificables"), "doc_id").select(
-        "doc_id", *KEY, "tipo", "estrategia", "forma", "verificado_por",
-        f("filas_afectadas"), "col_debe", "col_haber",
-        F.struct("cuadran", "fallan", "no_verificables").alias("cobertura"),
-        pending.alias("pendiente"), F.lit("").alias("confirmada_por"), F.lit("").alias("confirmada_en"))
+    j = readings.join(schemes.withColumn("esquema", F.struct("separador", "anchos", "marca_ini", "marca_fin", "largo"))
+                      .select("doc_id", "esquema"), "doc_id", "left") \
+        .join(rules.withColumn("reglas", F.struct("tolerancia", "subconjunto_totales", "exige_partida_doble")).select("doc_id", "reglas"), "doc_id", "left") \
+        .join(cover.withColumn("cobertura", F.struct("cuadran", "fallan", "no_verificables")).select("doc_id", "cobertura"), "doc_id")
+    pending = (f("tipo") == "estado_cuenta") | ~F.coalesce("orientacion_verificada", F.lit(False))
+    return shaped(j.withColumns({
+        "pendiente": pending, "confirmada_por": F.lit(""), "confirmada_en": F.lit(""), "version": F.lit(1), "separador_continuacion": F.lit("")}))
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], TEMPLATE)
 
 
-STORE = [*KEY, "tipo", "estrategia", "forma", "verificado_por", "filas_afectadas", "col_debe",
-         "col_haber", "pendiente", "confirmada_por", "confirmada_en"]
+def fresh(store: DataFrame, built: DataFrame) -> DataFrame:
+    """The templates to add: new valid keys, only from documents where no rule failed; the first document wins."""
+    usable, _ = split_valid(built.filter("cobertura.fallan = 0"))
+    new = usable.join(store.select(*KEY), KEY, "left_anti")
+    cols = [c for c in new.columns if c not in (*KEY, "doc_id")]
+    return shaped(new.groupBy(*KEY).agg(F.min_by(F.struct(*cols), "doc_id").alias("t")).select(*KEY, "t.*"))
 
 
 def learn(store: DataFrame, built: DataFrame) -> DataFrame:
-    """Only new keys, only from documents where no rule failed; the first document wins."""
-    fresh = built.filter("cobertura.fallan = 0").join(store.select(*KEY), KEY, "left_anti")
-    cols = [c for c in STORE if c not in KEY]
-    one = fresh.groupBy(*KEY).agg(F.min_by(F.struct(*cols), "doc_id").alias("t"))
-    return store.select(*STORE).unionByName(one.select(*KEY, "t.*").select(*STORE))
+    """The store with what is new in ``built``."""
+    return shaped(store).unionByName(fresh(store, built))
 
 
 def lookup(readings: DataFrame, store: DataFrame) -> DataFrame:
@@ -69,15 +94,14 @@ def of_tenant(store: DataFrame, tenant: str) -> DataFrame:
 
 
 def confirm(store: DataFrame, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T5: the updated store, and the confirmations whose key is unknown."""
-    c = confirmations.select(*KEY, "por", "cuando")
-    hit = F.col("por").isNotNull()
-    new = store.join(c, KEY, "left").select(
-        *[c_ for c_ in STORE if c_ not in ("pendiente", "confirmada_por", "confirmada_en")],
-        (F.col("pendiente") & ~hit).alias("pendiente"),
-        F.when(hit, F.col("por")).otherwise(F.col("confirmada_por")).alias("confirmada_por"),
-        F.when(hit, F.col("cuando")).otherwise(F.col("confirmada_en")).alias("confirmada_en"))
-    return new, c.join(store.select(*KEY), KEY, "left_anti")
+    """T5: the updated store, and the confirmations whose key is unknown. A confirmed template is a new version of it."""
+    c = confirmations.groupBy(*KEY).agg(F.min(F.struct("cuando", "por")).alias("_c"))
+    hit = F.col("_c").isNotNull()
+    new = store.join(c, KEY, "left").withColumns({
+        "pendiente": F.col("pendiente") & ~hit,
+        "confirmada_por": F.coalesce("_c.por", "confirmada_por"), "confirmada_en": F.coalesce("_c.cuando", "confirmada_en"),
+        "version": F.col("version") + hit.cast("int")})
+    return shaped(new), confirmations.join(store.select(*KEY), KEY, "left_anti")
 
 
 def pending_questions(store: DataFrame) -> DataFrame:
@@ -87,8 +111,8 @@ def pending_questions(store: DataFrame) -> DataFrame:
     return store.filter("pendiente").select(
         *KEY,
         F.when(bank, "separador de continuacion").otherwise("orientacion debe/haber").alias("campo"),
-        F.when(~bank, f("col_debe")).alias("propone_debe"),
-        F.when(~bank, f("col_haber")).alias("propone_haber"),
+        F.when(~bank, F.try_element_at("mapeo", F.lit("debe"))).alias("propone_debe"),
+        F.when(~bank, F.try_element_at("mapeo", F.lit("haber"))).alias("propone_haber"),
         F.when(bank, "nada: la geometria no distingue el separador")
         .otherwise(f("verificado_por")).alias("se_apoya_en"),
         F.when(bank, "no afecta ningun importe, saldo ni checksum").otherwise(F.format_string(
@@ -96,10 +120,27 @@ def pending_questions(store: DataFrame) -> DataFrame:
 
 
 def apply(readings: DataFrame, store: DataFrame) -> DataFrame:
-    """A known mapping and strategy replace what the document proposed."""
-    t = store.select(*KEY, *[F.col(c).alias(f"t_{c}") for c in
-                             ("estrategia", "forma", "col_debe", "col_haber")])
+    """Mapping, form, strategy and rules of a known template replace what the document proposed."""
+    own = ("estrategia", "forma", "mapeo", "reglas")
+    t = store.select(*KEY, *[F.col(k).alias(f"t_{k}") for k in own])
     j = readings.join(t, KEY, "left")
-    return j.select("doc_id", *KEY, *[F.coalesce(f"t_{c}", c).alias(c) for c in
-                                      ("estrategia", "forma", "col_debe", "col_haber")],
+    return j.select("doc_id", *KEY, *[F.coalesce(f"t_{k}", k).alias(k) if k in readings.columns else F.col(f"t_{k}").alias(k) for k in own],
                     F.col("t_estrategia").isNotNull().alias("reutilizada"))
+
+
+# ---------------------------------------------------------------------------- the stored table
+def append(spark: SparkSession, folder: str, rows: DataFrame) -> str:
+    """Publish new or newer template rows as one batch; a run that dies before its manifest leaves no trace for readers."""
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    shaped(rows).drop("doc_id").write.parquet(f"{folder}/rows/batch={batch}")
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{folder}/batches")
+    return batch
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The templates of all published batches: of a key its highest version, then the batch published first."""
+    done = spark.read.schema("batch string").parquet(f"{folder}/batches")
+    rows = spark.read.schema(f"{TEMPLATE}, batch string").parquet(f"{folder}/rows").join(done.distinct(), "batch", "left_semi")
+    cols = [f for f in rows.columns if f not in (*KEY, "batch")]
+    one = rows.groupBy(*KEY).agg(F.min_by(F.struct(*cols), F.struct(-F.col("version"), "batch")).alias("t"))
+    return one.select(*KEY, "t.*")

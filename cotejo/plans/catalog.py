@@ -6,3 +6,4 @@ from cotejo.plans import queries_text  # noqa: F401
 from cotejo.plans import queries_layout  # noqa: F401
 from cotejo.plans import queries_mapping  # noqa: F401
 from cotejo.plans import queries_reading  # noqa: F401
+from cotejo.plans import queries_trial  # noqa: F401

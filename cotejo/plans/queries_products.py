@@ -16,7 +16,6 @@ from cotejo.operators import rules_ledger as rl
 from cotejo.operators import rules_subledger as rs
 from cotejo.operators import rules_trial as rt
 from cotejo.operators import shape as sh
-from cotejo.operators import templates as tp
 from cotejo.operators.registry import RULES
 from cotejo.operators.suites import suite_discrepancies, suite_results, suite_tolerated
 from cotejo.operators.verdict import Rule, compare, contract_violations, coverage, enforce_contract, half_comparisons
@@ -346,66 +345,6 @@ SELECT estado, COALESCE(NULLIF(trim(regexp_replace(regexp_replace(motivo, '\d[\d
 FROM zr WHERE estado <> 'cuadra' GROUP BY ALL""")(
     lambda t: dg.reasons(everything(t, "results"), reason_template(F.col("motivo"))))
 
-# ------------------------------------------------------------------------ templates
-_TC = ("doc_id, tenant_id, huella, tipo, estrategia, forma, verificado_por, filas_afectadas, col_debe, "
-       "col_haber, cuadran, fallan, no_verificables, pendiente, confirmada_por, confirmada_en")
-view("t1", """SELECT l.doc_id, tenant_id, huella, l.tipo, estrategia, forma, verificado_por, filas_afectadas,
-  col_debe, col_haber, cuadran, fallan, no_verificables,
-  l.tipo = 'estado_cuenta' OR NOT orientacion_verificada AS pendiente, '' AS confirmada_por, '' AS confirmada_en
-  FROM lecturas l JOIN zc c ON c.doc_id = l.doc_id AND c.tipo = 'polizas'""")
-# A coverage where some documents pass, so that there is something to learn.
-view("t2_built", "SELECT * REPLACE (CASE WHEN doc_id % 4 <> 3 THEN 0 ELSE fallan END AS fallan) FROM t1")
-
-
-def _built(t, lenient: bool = False):
-    c = cover(t).filter("tipo = 'polizas'").drop("tipo")
-    if lenient:
-        c = c.withColumn("fallan", F.when(F.col("doc_id") % 4 != 3, 0).otherwise(F.col("fallan")))
-    return tp.build(t.lecturas, c)
-
-
-query("T1_build_templates", f"SELECT {_TC} FROM t1")(
-    lambda t: _built(t).select("*", "cobertura.*").drop("cobertura"))
-_ST = ", ".join(tp.STORE)
-query("T2_learn_templates", f"""
-SELECT {_ST} FROM plantillas UNION ALL SELECT {_ST} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id,
-  huella ORDER BY doc_id) AS rn FROM t2_built b WHERE fallan = 0 AND NOT EXISTS (SELECT 1 FROM plantillas p
-  WHERE p.tenant_id = b.tenant_id AND p.huella = b.huella)) WHERE rn = 1""")(
-    lambda t: tp.learn(t.plantillas, _built(t, True)))
-query("T3_lookup_templates", """
-SELECT l.doc_id, l.tenant_id, l.huella, p.huella IS NOT NULL AS reutilizada, pendiente AS t_pendiente
-FROM lecturas l LEFT JOIN plantillas p ON p.tenant_id = l.tenant_id AND p.huella = l.huella""")(
-    lambda t: tp.lookup(t.lecturas, t.plantillas))
-query("T4_templates_of_tenant", "SELECT * FROM plantillas WHERE tenant_id = 't2' ORDER BY huella")(
-    lambda t: tp.of_tenant(t.plantillas, "t2"))
-view("t5_asked", """SELECT DISTINCT tenant_id, huella, 'ana' AS por, '2025-01-01' AS cuando FROM lecturas
-  WHERE huella IN ('f0', 'f1')""")
-
-
-def _confirmed(t):
-    asked = t.lecturas.filter(F.col("huella").isin("f0", "f1")).select(
-        "tenant_id", "huella", F.lit("ana").alias("por"), F.lit("2025-01-01").alias("cuando")).distinct()
-    return tp.confirm(t.plantillas, asked)
-
-
-query("T5_confirm_templates", """
-SELECT p.* REPLACE (pendiente AND por IS NULL AS pendiente, COALESCE(por, confirmada_por) AS confirmada_por,
-  COALESCE(cuando, confirmada_en) AS confirmada_en) FROM plantillas p
-LEFT JOIN t5_asked a ON a.tenant_id = p.tenant_id AND a.huella = p.huella""")(lambda t: _confirmed(t)[0])
-query("T5_unknown_confirmations", """
-SELECT * FROM t5_asked a WHERE NOT EXISTS (SELECT 1 FROM plantillas p WHERE p.tenant_id = a.tenant_id
-  AND p.huella = a.huella)""")(lambda t: _confirmed(t)[1])
-query("T6_pending_questions", f"""
-SELECT tenant_id, huella, 'orientacion debe/haber' AS campo, col_debe AS propone_debe, col_haber AS propone_haber,
-  verificado_por AS se_apoya_en, 'invertirla cambia la naturaleza de ' || {S('filas_afectadas')} || ' filas' AS consecuencia
-FROM plantillas WHERE pendiente""")(lambda t: tp.pending_questions(t.plantillas))
-query("T7_apply_templates", """
-SELECT l.doc_id, l.tenant_id, l.huella, COALESCE(p.estrategia, l.estrategia) AS estrategia,
-  COALESCE(p.forma, l.forma) AS forma, COALESCE(p.col_debe, l.col_debe) AS col_debe,
-  COALESCE(p.col_haber, l.col_haber) AS col_haber, p.huella IS NOT NULL AS reutilizada
-FROM lecturas l LEFT JOIN plantillas p ON p.tenant_id = l.tenant_id AND p.huella = l.huella""")(
-    lambda t: tp.apply(t.lecturas, t.plantillas))
-
 # ---------------------------------------------------------------------------- sinks
 def _written(t, tables, pick):
     """Write the tables and hand back what a reader finds."""

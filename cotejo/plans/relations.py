@@ -415,13 +415,6 @@ SELECT DISTINCT o_custkey % 16 AS doc_id, 't' || CAST(o_custkey % 4 AS STRING) A
        3 + CAST(o_custkey % 2 AS INT) AS col_debe, 4 + CAST(o_custkey % 2 AS INT) AS col_haber
 FROM orders"""
 
-RELATIONS["plantillas"] = """
-SELECT tenant_id, huella, MIN(tipo) AS tipo, 'pdf_chars' AS estrategia, MIN(forma) AS forma,
-       MIN(verificado_por) AS verificado_por, CAST(MIN(filas_afectadas) AS BIGINT) AS filas_afectadas,
-       MIN(col_debe) + 2 AS col_debe, MIN(col_haber) + 2 AS col_haber,
-       huella = 'f0' AS pendiente, '' AS confirmada_por, '' AS confirmada_en
-FROM lecturas WHERE huella IN ('f0', 'f2', 'f4') GROUP BY tenant_id, huella"""
-
 # ------------------------------------------------- printed cells, labels and dates (F)
 # One amount in every notation, with the number it stands for.
 RELATIONS["montos"] = f"""
