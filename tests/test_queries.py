@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 PICK = ["V9_journal_double_entry", "V12_journal_invoices_crossed", "V6_subledger_running_balance", "A10_subledger_refill",
         "V2_trial_hierarchy", "A3_A4_trial_rows", "V15_bank_running_balance", "V18_ledger_accumulated", "O1_journal_heads",
         "D4_hierarchy_universe", "F9_statement_dates", "K3_split_glued_dates", "L9_table_region", "M3_proposals",
-        "T2_learn_templates", "R10_R11_R13_journal_moves", "R5_R6_subledger_rows", "I1_intake_stream"]
+        "T2_learn_templates", "E2E_trial_outcomes", "R10_R11_R13_journal_moves", "R5_R6_subledger_rows", "I1_intake_stream"]
 
 
 @pytest.fixture(scope="module")
