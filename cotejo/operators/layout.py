@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import AMOUNT_DIALECTS, field_by_priority, is_amount, normalize
+from cotejo.functions.text import AMOUNT_DIALECTS, RE_SIGNED_AMOUNT, field_by_priority, is_amount, normalize
 from cotejo.operators.skew import by_page, join_small
 
 PAGE = ["doc_id", "page"]
@@ -359,7 +359,7 @@ def statement_headers(lined: DataFrame, fields: DataFrame, kind: str = "tabla")
 
     The fields of a line are a handful of names, so the collected set is bounded.
     """
-    amount = F.trim("text").rlike(AMOUNT_DIALECTS["estado_cuenta"])
+    amount = F.trim("text").rlike(RE_SIGNED_AMOUNT)
     free = lined.groupBy(*LINE).agg(F.bool_or(amount).alias("m")).filter(~c("m")).select(*LINE)
     s = fields.groupBy(*LINE).agg(F.collect_set("campo").alias("s"))
     has = lambda *n: F.arrays_overlap("s", F.array(*[F.lit(x) for x in n]))

@@ -9,19 +9,19 @@ from cotejo.functions.text import (
     RE_BANK_ACCOUNT,
     RE_CLABE,
     RE_RFC,
+    RE_SIGNED_AMOUNT,
     balance_field,
     normalize,
     statement_date,
     tight_key,
 )
 from cotejo.operators.layout import edge_limit, widened
-from cotejo.operators.reading import LINE, PAGE_BITS, amounts, joined, money_of, not_amounts, texts
+from cotejo.operators.reading import LINE, PAGE_BITS, joined, money_of, texts
 from cotejo.operators.scan import ordered_scan, ordered_texts
 from cotejo.operators.skew import PAGES, by_page, by_seq, join_small
 from cotejo.operators.verdict import AMOUNT
 
 c = F.col
-KIND = "estado_cuenta"
 REACH = 60.0                    # points between a label and the amount under it
 REF_LEFT, REF_RIGHT = 30.0, 6.0
 JUMP = 12.0                     # points between a row and its continuation
@@ -29,7 +29,15 @@ OPENINGS = ("saldoanterior", "saldoinicial", "balanceinicial", "saldofinaldelper
 
 
 def _money(t: Column) -> Column:
-    return F.trim(t).rlike("^\\$?-?[\\d,]*\\.\\d{2}-?$")
+    return F.trim(t).rlike(RE_SIGNED_AMOUNT)
+
+
+def amounts() -> Column:
+    return F.filter("w", lambda k: _money(k["text"]))
+
+
+def not_amounts() -> Column:
+    return F.filter("w", lambda k: ~_money(k["text"]))
 
 
 def identity(lines: DataFrame) -> DataFrame:
@@ -67,7 +75,7 @@ def horizontal_summary(labels: DataFrame, lines: DataFrame, vocab: DataFrame) ->
     named = balance_field(labels, vocab)
     enough = named.groupBy(*LINE).agg(F.count(F.lit(1)).alias("k")).filter("k >= 3")
     named = named.join(enough.select(*LINE), LINE, "left_semi")
-    below = lines.select("doc_id", "page", (c("line") - 1).alias("line"), amounts(KIND).alias("am")).filter(F.size("am") >= 3)
+    below = lines.select("doc_id", "page", (c("line") - 1).alias("line"), amounts().alias("am")).filter(F.size("am") >= 3)
     j = named.join(below, LINE).withColumn("_n", F.array_min(F.transform("am", lambda k: F.struct(
         F.abs(k["x1"] - c("x_max")).alias("d"), k["pos"].alias("p"), k["text"].alias("t")))))
     return j.filter(c("_n.d") < REACH).select(*LINE, "n_etiqueta", "campo", money_of(c("_n.t")).alias("valor"))
@@ -106,7 +114,7 @@ def account_rows(lines: DataFrame, headers: DataFrame, columns: DataFrame) -> Da
     l = lines.join(h, LINE, "left").withColumn("_h", F.coalesce("_h", F.lit(False)))
     l = ordered_scan(l, ["doc_id"], "seq", latest={"cab": F.when(c("_h"), c("seq"))})
     l = l.filter(~c("_h") & c("cab").isNotNull() & (F.shiftright("cab", PAGE_BITS) == c("page"))
-                 & (F.size(amounts(KIND)) > 0))
+                 & (F.size(amounts()) > 0))
     cols = columns.withColumn("align", F.when(c("campo").isin("saldo_inicial", "saldo_corte"), "right").otherwise("left"))
     lim = edge_limit(cols.select(F.concat_ws("#", "doc_id", "cab").alias("doc_id"), "align", "x_max"))
     wide = widened(cols, ["doc_id", "cab"]).select("doc_id", "cab", "campo", "align", "x_min", "x_max")
@@ -128,7 +136,7 @@ def account_rows(lines: DataFrame, headers: DataFrame, columns: DataFrame) -> Da
     of = lambda n: F.transform(F.filter("_p", lambda k: k["f"] == n), lambda k: k["t"])
     l = l.withColumn("_ini", F.get(of("saldo_inicial"), F.lit(0))).withColumn("_cor", F.get(of("saldo_corte"), F.lit(0)))
     fits = c("_ini").isNotNull() | c("_cor").isNotNull()
-    total = fits & tight_key(joined(not_amounts(KIND))).startswith("total")
+    total = fits & tight_key(joined(not_amounts())).startswith("total")
     l = l.withColumn("_tot", total)
     # Rows count until the first TOTAL (included) or the first line that does not fit.
     l = ordered_scan(l, ["doc_id", "cab"], "seq", before={"_end": F.when(c("_tot") | ~fits, F.lit(True))})
@@ -260,7 +268,7 @@ def moves(lines: DataFrame, columns: DataFrame, meta: DataFrame, separator: str
         "_brk": F.when(~F.coalesce("_row", F.lit(True)) & cut, c("seq"))})
     hangs = flow.filter((c("_row") == False) & c("_last").isNotNull()  # noqa: E712
                         & (c("_brk").isNull() | (c("_brk") < F.greatest("_last", "_mk")))).select("doc_id", "seq", c("_last").alias("de"))
-    tail = joined(not_amounts(KIND))
+    tail = joined(not_amounts())
     tails = ordered_texts(r.select("doc_id", "seq", tail.alias("cola")).filter("cola <> ''").join(hangs, ["doc_id", "seq"]),
                           ["doc_id", "de"], "seq", {"cola": c("cola")}, separator)
     rows = r.filter("_row").join(tails.withColumnRenamed("de", "seq"), ["doc_id", "seq"], "left")
