@@ -35,7 +35,7 @@ def scan_words(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_tsv(spark: SparkSession, path: str, dpi: int = 300, min_confidence: float = 40.0) -> DataFrame:
     """OCR rows to words in points. Short rows, blank text, non-numeric boxes and low
-    confidence are dropped. Folders ``doc_id=…/page=…`` give the keys."""
+    confidence are dropped. Folders ``doc_id=…`` give the document; ``page=…`` below them gives the page, else ``page_num`` does."""
     raw = (spark.read.schema(TSV).option("sep", "\t").option("header", True)
            .option("quote", "").option("mode", "PERMISSIVE").csv(path))
     num = {n: F.col(n).try_cast("double") for n in ("left", "top", "width", "height", "conf")}
@@ -43,8 +43,9 @@ def scan_tsv(spark: SparkSession, path: str, dpi: int = 300, min_confidence: flo
     for c in num.values():
         keep = keep & c.isNotNull()
     s = F.lit(dpi / 72)
+    page = "page" if "page" in raw.columns else "page_num"
     return raw.filter(keep & (num["conf"] >= min_confidence)).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page").cast("bigint").alias("page"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(page).cast("bigint").alias("page"),
         F.trim("text").alias("text"), (num["left"] / s).alias("x0"),
         ((num["left"] + num["width"]) / s).alias("x1"), (num["top"] / s).alias("top"),
         ((num["top"] + num["height"]) / s).alias("bottom"), (num["height"] / s).alias("size"))
