@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import AMOUNT_DIALECTS, RE_SIGNED_AMOUNT, field_by_priority, is_amount, normalize
 from cotejo.operators.skew import by_page, join_small
+from cotejo.session import stage
 
 PAGE = ["doc_id", "page"]
 LINE = ["doc_id", "page", "line"]
@@ -339,10 +340,14 @@ def labels(lined: DataFrame, gap: float = LABEL_GAP) -> DataFrame:
 
 
 def label_fields(label_table: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The field of each label; a label with none takes that of the label above it."""
-    named = field_by_priority(label_table, vocab)
+    """The field of each label; a label with none takes that of the label above it.
+
+    Labels that name a field are few and written once; only their lines and those below them are read further.
+    """
+    named = stage(field_by_priority(label_table, vocab))
     keys = label_table.columns
-    own = label_table.join(named.select(*LINE, "n_etiqueta", "campo"), [*LINE, "n_etiqueta"], "left")
+    near = named.select(*LINE).union(named.select(*PAGE, c("line") + 1)).distinct()
+    own = label_table.join(near, LINE, "left_semi").join(named.select(*LINE, "n_etiqueta", "campo"), [*LINE, "n_etiqueta"], "left")
     above = named.select(*PAGE, (c("line") + 1).alias("line"), c("n_etiqueta").alias("_an"), c("x_min").alias("_a0"),
                          c("x_max").alias("_a1"), c("campo").alias("_ac"), c("etiqueta").alias("_at"))
     lent = (own.filter(c("campo").isNull()).join(above, LINE)
