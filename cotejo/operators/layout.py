@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import AMOUNT_DIALECTS, RE_SIGNED_AMOUNT, field_by_priority, is_amount, normalize
+from cotejo.functions.text import AMOUNT_DIALECTS, RE_SIGNED_AMOUNT, field_by_priority, is_amount, is_dotted, normalize
 from cotejo.operators.skew import by_page, join_small
 from cotejo.session import stage
 
@@ -23,6 +23,16 @@ PAD, FAR, LABEL_GAP = 6.0, 40.0, 8.0
 MAX_GAP_LINES, MAX_HEADER, PITCH = 8, 4, 1.3
 
 
+def amounts(df: DataFrame) -> Column:
+    """Whether a word is an amount: as ``lines`` marked it, else from its text."""
+    return c("es_monto") if "es_monto" in df.columns else is_amount(c("text"))
+
+
+def meet(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Words or lines with what is known of their page: a page has one row of ``small``, so a hash of those suffices and no word is sorted."""
+    return rows.join(small.hint("shuffle_hash"), PAGE, how)
+
+
 def ordered_text(order: list[str], text: str = "text", sep: str = " ") -> Column:
     """Words of one group joined in order; groups are lines or cells, never documents."""
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_tx"))))
@@ -31,7 +41,7 @@ def ordered_text(order: list[str], text: str = "text", sep: str = " ") -> Column
 
 # --- L1, L2 -----------------------------------------------------------------------------
 def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
-    """L1: words plus line number, line box and ``abre_linea`` (first of its line).
+    """L1: words plus line number, line box, ``abre_linea`` (first of its line) and ``es_monto`` (an amount).
 
     In the order of their tops, a word opens a line when its centre is below everything seen so far on the page. That is
     what looking back over the latest open lines gives: a line opens below all earlier ones, so its bottom is the
@@ -47,7 +57,7 @@ def lines(words: DataFrame, slack: float = LINE_SLACK) -> DataFrame:
     j = j.withColumn("ltop", F.min("top").over(box)).withColumn("lbottom", F.max("bottom").over(box)).withColumn(
         "_first", F.min(F.struct("x0", "pos")).over(box))
     place = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("ltop", "_first.x0", "line"))
-    return j.withColumn("line", (place - 1).cast("bigint")).withColumn("abre_linea", c("_first.pos") == c("pos")).drop("_first")
+    return j.withColumn("line", (place - 1).cast("bigint")).withColumn("abre_linea", c("_first.pos") == c("pos")).drop("_first").withColumn("es_monto", is_amount(c("text")))
 
 
 def clusters(df: DataFrame, keys: list[str], value: str, tol: float, name: str = "grupo") -> DataFrame:
@@ -73,14 +83,15 @@ def account_zone(lined: DataFrame, tol: float = TOL) -> DataFrame:
 def candidates(lined: DataFrame, tol: float = TOL, support: int = MIN_SUPPORT) -> DataFrame:
     """L4: amounts stacked on their right edge, texts on their left one."""
     z = account_zone(lined, tol)
-    j = lined.join(z, PAGE, "left")
+    # Aligned words share their place, so counting places first leaves a few rows per page.
+    amount = amounts(lined)
+    j = lined.groupBy(*PAGE, "x0", "x1", amount.alias("_a"), F.when(amount, is_dotted(c("text"))).alias("_d")).agg(F.count(F.lit(1)).alias("n"))
+    j = meet(j, z, "left")
     inside = F.coalesce(c("x0").between(c("z0") - tol, c("z1") + tol), F.lit(False))
-    amount = is_amount(c("text"), inside)
-    j = j.select(*PAGE, "x0", "x1", F.when(amount, "right").otherwise("left").alias("align"))
+    j = j.select(*PAGE, "x0", "x1", "n", F.when(c("_a") & ~(inside & c("_d")), "right").otherwise("left").alias("align"))
     j = j.withColumn("edge", F.when(c("align") == "right", c("x1")).otherwise(c("x0")))
     key = [*PAGE, "align"]
-    # Aligned words share their edge, so counting edges first leaves a few rows per page.
-    j = j.groupBy(*key, "edge").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    j = j.groupBy(*key, "edge").agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     g = clusters(j, key, "edge", tol)
     peaks = g.groupBy(*key, "grupo").agg(
         F.sum("n").alias("support"), F.round(F.sum(c("edge") * c("n")) / F.sum("n"), 6).alias("anchor")
@@ -138,17 +149,17 @@ def text_and_amounts(cands: DataFrame) -> DataFrame:
 def line_table(lined: DataFrame) -> DataFrame:
     """One row per line: box, number of words, whether it holds an amount."""
     return lined.groupBy(*LINE, "ltop", "lbottom").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(is_amount(c("text"))).alias("con_monto"))
+        F.count(F.lit(1)).alias("n"), F.bool_or(amounts(lined)).alias("con_monto"))
 
 
-def table_region(lined: DataFrame, cands: DataFrame, tol: float = TOL, min_columns: int = 2) -> DataFrame:
-    """The longest block of lines that touch two amount columns, plus its header lines."""
+def table_region(lined: DataFrame, cands: DataFrame, tol: float = TOL, min_columns: int = 2, table: DataFrame | None = None) -> DataFrame:
+    """The longest block of lines that touch two amount columns, plus its header lines. ``table`` is ``line_table(lined)``, if at hand."""
     anchors = numbered(cands.filter("align = 'right'")).select(*PAGE, "idx", "anchor")
-    hits = (lined.filter(is_amount(c("text"))).select(*LINE, "pos", "x1").join(anchors, PAGE)
-            .filter(F.abs(c("x1") - c("anchor")) <= tol * 2)
-            .groupBy(*LINE, "pos").agg(F.min("idx").alias("idx"))
+    anchors = anchors.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("idx", "anchor"))).alias("_as"))  # the columns of one page
+    nearest = F.get(F.filter("_as", lambda a: F.abs(c("x1") - a["anchor"]) <= tol * 2), F.lit(0))["idx"]
+    hits = (meet(lined.filter(amounts(lined)).select(*LINE, "x1"), anchors).select(*LINE, nearest.alias("idx"))
             .groupBy(*LINE).agg(F.count_distinct("idx").alias("k")).filter(c("k") >= min_columns))
-    table = line_table(lined)
+    table = line_table(lined) if table is None else table
     w = Window.partitionBy(*PAGE).orderBy("line")
     head = (c("n") >= 2) & ~c("con_monto")
     up = lambda i: F.coalesce(F.lag(head, i).over(w), F.lit(False))
@@ -169,20 +180,29 @@ def within_region(lined: DataFrame, regions: DataFrame) -> DataFrame:
     """Lines whose centre lies in the region; a page without region keeps all."""
     r = regions.select(*PAGE, c("top").alias("_rt"), c("bottom").alias("_rb"))
     mid = (c("ltop") + c("lbottom")) / 2
-    return lined.join(r, PAGE, "left").filter(c("_rt").isNull() | mid.between(c("_rt"), c("_rb"))).drop("_rt", "_rb")
+    return meet(lined, r, "left").filter(c("_rt").isNull() | mid.between(c("_rt"), c("_rb"))).drop("_rt", "_rb")
+
+
+def of_lines(lined: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The words of a few chosen lines of each page, with what ``chosen`` says about them."""
+    more = [k for k in chosen.columns if k not in LINE]
+    at = chosen.groupBy(*PAGE).agg(F.collect_list(F.struct("line", *more)).alias("_hs"))
+    at = at.withColumn("_ls", F.transform("_hs", lambda h: h["line"]))
+    j = meet(lined, at).filter(F.array_contains("_ls", c("line")))
+    j = j.withColumn("_h", F.explode(F.filter("_hs", lambda h: h["line"] == c("line"))))
+    return j.select(*lined.columns, *[c(f"_h.{k}").alias(k) for k in more])
 
 
 # --- L11-L14: headers -------------------------------------------------------------------------
-def header_lines(lined: DataFrame, regions: DataFrame) -> DataFrame:
+def header_lines(lined: DataFrame, regions: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """The header block of each page, plus (``solo_grupo``) the line above it when tight.
 
-    Labels count while they are set tighter than the data: gap <= 1.3 x median data pitch.
+    Labels count while they are set tighter than the data: gap <= 1.3 x median data pitch. ``table`` is ``line_table(lined)``, if at hand.
     """
-    t = line_table(lined)
-    inside = within_region(t, regions.select(*PAGE, "top", "bottom")).select(*LINE, F.lit(True).alias("dentro"))
-    t = t.join(inside, LINE, "left")
+    t = line_table(lined) if table is None else table
     w = Window.partitionBy(*PAGE).orderBy("line")
-    reg = t.filter("dentro").join(regions.select(*PAGE), PAGE, "left_semi")
+    r = regions.select(*PAGE, c("top").alias("_rt"), c("bottom").alias("_rb"))
+    reg = t.join(r, PAGE).filter(((c("ltop") + c("lbottom")) / 2).between(c("_rt"), c("_rb"))).drop("_rt", "_rb")
     reg = reg.withColumn("k", F.row_number().over(w)).withColumn(
         "_seen", F.sum(c("con_monto").cast("int")).over(w))
     count = reg.groupBy(*PAGE).agg(F.count_if(c("_seen") == 0).alias("nh"))
@@ -212,8 +232,9 @@ def header_words(lined: DataFrame, heads: DataFrame) -> DataFrame:
 
     A label that overlaps two or more words of the next header line prefixes them.
     """
-    w = lined.join(heads, LINE)
-    up = w.filter(~is_amount(c("text"))).select(
+    w = stage(of_lines(lined, heads.select(*LINE, "solo_grupo")).select(
+        *LINE, "pos", "text", "x0", "x1", "top", "solo_grupo", amounts(lined).alias("_a")))
+    up = w.filter(~c("_a")).select(
         *PAGE, (c("line") + 1).alias("line"), c("pos").alias("_gp"), c("text").alias("_gt"),
         c("x0").alias("_g0"), c("x1").alias("_g1"))
     over = w.select(*LINE, "pos", "x0", "x1").join(up, LINE).filter(
@@ -235,10 +256,10 @@ def _distance(a: Column, lo: Column, hi: Column) -> Column:
 def assign_headers(words: DataFrame, cols: DataFrame) -> DataFrame:
     """Each header word to the nearest column (< 40 pt), narrower first; text per column."""
     mid = (c("x0") + c("x1")) / 2
-    j = words.join(cols.select(*PAGE, "idx", "x_min", "x_max"), PAGE).withColumn(
-        "_d", _distance(mid, c("x_min"), c("x_max")))
-    best = j.groupBy(*LINE, "pos", "top", "x0", "text").agg(F.min(
-        F.struct("_d", (c("x_max") - c("x_min")).alias("_w"), "idx")).alias("b")).filter(c("b._d") < FAR)
+    page = cols.groupBy(*PAGE).agg(F.collect_list(F.struct("idx", "x_min", "x_max")).alias("_cols"))
+    near = F.array_min(F.transform("_cols", lambda k: F.struct(
+        _distance(mid, k["x_min"], k["x_max"]).alias("_d"), (k["x_max"] - k["x_min"]).alias("_w"), k["idx"].alias("idx"))))
+    best = meet(words, page).withColumn("b", F.explode(F.array(near))).filter(c("b._d") < FAR)
     heads = best.groupBy(*PAGE, c("b.idx").alias("idx")).agg(ordered_text(["top", "x0"]).alias("header"))
     return cols.join(heads, [*PAGE, "idx"], "left").na.fill("", ["header"])
 
@@ -272,42 +293,51 @@ def place_words(words: DataFrame, layout: DataFrame, text_in_amounts: bool = Fal
     """L15 + L16: the column of each word.
 
     Amounts go by right edge within the limit; texts by their centre, 0 inside, < 40 outside.
-    One aggregate over the word x column pairs of a document picks the nearest.
+    ``_align`` and ``_borde`` tell how that column is set and where it ends.
     """
-    amt = is_amount(c("text")) if amount is None else amount
+    amt = amounts(words) if amount is None else amount
     lay = layout.select("doc_id", "idx", "align", "x_min", "x_max").join(edge_limit(layout), "doc_id", "left")
     has = layout.groupBy("doc_id").agg(
         F.bool_or(c("align") == "right").alias("hay_montos"), F.bool_or(c("align") != "right").alias("hay_textos"))
-    # A layout is about twenty rows per document: packed once, the words stay where they are.
-    pack = lay.groupBy("doc_id").agg(F.sort_array(F.collect_list(
-        F.struct("idx", "align", "x_min", "x_max"))).alias("_cols"), F.max("limite").alias("limite")).join(has, "doc_id")
-    j = join_small(words, pack, "doc_id", by_page())
+    # A layout is about twenty rows per document: packed once, it goes to the pages, and the words meet it there.
+    col = F.struct("idx", "align", "x_min", "x_max")
+    packed = lambda cond: F.sort_array(F.collect_list(F.when(cond, col)))
+    text = F.when(c("hay_textos"), c("align") != "right").otherwise(F.lit(True))
+    pack = lay.join(has, "doc_id").groupBy("doc_id", "hay_montos").agg(
+        packed(c("align") == "right").alias("_right"), packed(text).alias("_left"), F.max("limite").alias("limite"),
+        *([F.sort_array(F.collect_list(col)).alias("_cols")] if text_in_amounts else []))
+    pages = join_small(words.select(*PAGE).distinct(), pack, "doc_id", by_page())
+    j = meet(words.withColumn("_a", amt), pages)
     mid = (c("x0") + c("x1")) / 2
-    right = F.filter("_cols", lambda k: k["align"] == "right")
-    left = F.when(c("hay_textos"), F.filter("_cols", lambda k: k["align"] != "right")).otherwise(c("_cols"))
-    by_edge = F.array_min(F.transform(right, lambda k: F.struct(
-        F.abs(c("x1") - k["x_max"]).alias("d"), k["idx"].alias("idx"))))
-    by_mid = F.array_min(F.transform(left, lambda k: F.struct(
-        _distance(mid, k["x_min"], k["x_max"]).alias("d"), k["idx"].alias("idx"))))
-    placed = F.when(amt & c("hay_montos"), F.when(by_edge["d"] < c("limite"), by_edge["idx"])).otherwise(
-        F.when(by_mid["d"] < FAR, by_mid["idx"]))
+    found = lambda d, k: F.struct(d.alias("d"), k["idx"].alias("idx"), k["align"].alias("align"), k["x_max"].alias("edge"))
+    by_edge = F.array_min(F.transform("_right", lambda k: found(F.abs(c("x1") - k["x_max"]), k)))
+    by_mid = F.array_min(F.transform("_left", lambda k: found(_distance(mid, k["x_min"], k["x_max"]), k)))
+    number = c("_a") & c("hay_montos")
+    placed = F.when(number, by_edge).otherwise(by_mid)
     if text_in_amounts:
         holds = F.filter("_cols", lambda k: mid.between(k["x_min"] - PAD, k["x_max"] + PAD))
-        narrow = F.array_min(F.transform(holds, lambda k: F.struct(
-            (k["x_max"] - k["x_min"]).alias("d"), k["idx"].alias("idx"))))
-        orphan = ~(amt & c("hay_montos")) & ~F.exists(
-            left, lambda k: mid.between(k["x_min"] - PAD, k["x_max"] + PAD)) & (F.size(holds) > 0)
-        placed = F.when(orphan, narrow["idx"]).otherwise(placed)
-    return j.withColumn("idx", placed).drop("_cols", "limite", "hay_montos", "hay_textos")
+        narrow = F.array_min(F.transform(holds, lambda k: found(k["x_max"] - k["x_min"], k)))
+        orphan = ~number & ~F.exists("_left", lambda k: mid.between(k["x_min"] - PAD, k["x_max"] + PAD)) & (F.size(holds) > 0)
+        placed = F.when(orphan, F.struct(F.lit(-1.0).alias("d"), narrow["idx"].alias("idx"), narrow["align"].alias("align"),
+                                         narrow["edge"].alias("edge"))).otherwise(placed)
+    # exploded, so that the nearest is sought once, whoever asks for parts of it
+    j = j.withColumn("_p", F.explode(F.array(placed)))
+    near = c("_p.d") < F.when(number, c("limite")).otherwise(F.lit(FAR))
+    keep = [k for k in words.columns if k != "idx"]
+    return j.select(*keep, F.when(near, c("_p.idx")).alias("idx"), F.when(near, c("_p.align")).alias("_align"), F.when(near, c("_p.edge")).alias("_borde"))
 
 
 def cells(placed: DataFrame, layout: DataFrame) -> DataFrame:
     """Texts joined by x; an amount column keeps the one word closest to its edge."""
-    j = join_small(placed.filter(c("idx").isNotNull()), layout.select("doc_id", "idx", "align", "x_max"), ["doc_id", "idx"], by_page())
-    near = F.min_by("text", F.struct(F.abs(c("x1") - c("x_max")), c("x0"), c("pos")))
-    return j.groupBy(*LINE, "idx", "align").agg(
-        near.alias("_near"), ordered_text(["x0", "pos"]).alias("_all")).select(
-        *LINE, "idx", F.when(c("align") == "right", c("_near")).otherwise(c("_all")).alias("texto"))
+    j = placed.filter(c("idx").isNotNull())
+    if "_borde" not in j.columns:
+        j = join_small(j, layout.select("doc_id", "idx", c("align").alias("_align"), c("x_max").alias("_borde")), ["doc_id", "idx"], by_page())
+    right = F.coalesce(c("_align") == "right", F.lit(False))
+    # The words of one cell in order: one sort, and no row leaves the page it is dealt out by.
+    w = Window.partitionBy(*LINE, "idx").orderBy(F.when(right, F.abs(c("x1") - c("_borde"))), "x0", "pos")
+    every = F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = j.select(*LINE, "idx", "text", right.alias("_r"), F.row_number().over(w).alias("_n"), every.alias("_all")).filter("_n = 1")
+    return first.select(*LINE, "idx", F.when(c("_r"), c("text")).otherwise(F.array_join("_all", " ")).alias("texto"))
 
 
 def rows_of_cells(cell_table: DataFrame) -> DataFrame:
@@ -403,8 +433,9 @@ def header_like(lined: DataFrame, vocab: DataFrame, kind: str = "auxiliar") -> D
 
 def relabel(layout: DataFrame, lined: DataFrame, heads: DataFrame) -> DataFrame:
     """Headers taken from header-like lines anywhere in the sample, in top order."""
-    w = place_words(lined.join(heads, LINE, "left_semi"), layout)
-    tops = lined.select(*LINE, "ltop").distinct()
+    named = stage(of_lines(lined, heads.select(*LINE)))
+    w = place_words(named, layout)
+    tops = named.select(*LINE, "ltop").distinct()
     cell = cells(w, layout).join(tops, LINE)
     new = cell.groupBy("doc_id", "idx").agg(ordered_text(["ltop", "texto"], "texto").alias("nuevo"))
     j = layout.join(new, ["doc_id", "idx"], "left")
