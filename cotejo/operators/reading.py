@@ -7,7 +7,7 @@ is carried by ``ordered_scan``; nothing is sorted per document in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def reading_order() -> Column:
 
 
 def pack_lines(words: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per line with its words left to right."""
+    """One row per line with its words left to right; words dealt out by line or by page already are not moved."""
     return words.groupBy(*LINE, *extra).agg(
         F.sort_array(F.collect_list(F.struct("x0", "pos", "x1", "text", "run"))).alias("w")
     ).withColumn("seq", reading_order())
@@ -367,14 +367,22 @@ def journal_cfdi(blocks: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- R16, R17: general ledger
-def ledger_lines(lines: DataFrame, left: float = 60.0) -> DataFrame:
-    """The open account of each line; it survives page breaks."""
+def ledger_lines(lines: DataFrame, left: float = 60.0, keep: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
+    """The open account of each line; it survives page breaks.
+
+    Lines look back inside their page, which is bounded; what a page opens last goes on to the pages after it, one row a
+    page. ``keep`` writes the lines once: where it deals them out by page, no word moves when they meet what their page inherits.
+    """
     w0 = F.get("w", F.lit(0))
     none = F.size(amounts("mayor")) == 0
     opens = (w0["x0"] <= left) & w0["text"].rlike(RE_LEDGER_ACCOUNT) & ~F.trim(w0["text"]).rlike(AMOUNT_DIALECTS["mayor"]) & none
-    l = lines.withColumn("abre", opens)
-    return ordered_scan(l, ["doc_id"], "seq", latest={"cta": F.when(c("abre"), F.struct(
-        c("seq").alias("id"), w0["text"].alias("cuenta")))}).filter(c("cta").isNotNull())
+    own = F.when(c("abre"), F.struct(c("seq").alias("id"), w0["text"].alias("cuenta")))
+    upto = Window.partitionBy("doc_id", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    l = keep(lines.withColumn("abre", opens).withColumn("_own", own).withColumn("_here", F.last("_own", ignorenulls=True).over(upto)).drop("_own"))
+    ends = stage(l.groupBy("doc_id", "page").agg(F.max_by("_here", "seq").alias("_last")).withColumn("_p", c("page").cast("bigint")))
+    before = ordered_scan(ends, ["doc_id"], "_p", before={"_in": c("_last")}).select("doc_id", "page", "_in")
+    j = l.join(stage(before).hint("shuffle_hash"), ["doc_id", "page"], "left")
+    return j.withColumn("cta", F.coalesce("_here", "_in")).drop("_here", "_in").filter(c("cta").isNotNull())
 
 
 def ledger_heads(ll: DataFrame) -> DataFrame:

@@ -29,9 +29,14 @@ def stored(name, staged=False):
     return wrap
 
 
+def parts_of(words):
+    """In how many parts to deal words out: about a million in each, and as many parts as a shuffle has at least."""
+    return max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // 1_000_000 + 1)
+
+
 def stored_lines(words):
-    """The words of every page with their lines, dealt out by page: about a million words a part, as many parts as a shuffle has at least."""
-    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // 1_000_000 + 1)
+    """The words of every page with their lines, dealt out by page."""
+    parts = parts_of(words)
     return stage_by(ly.lines(words.repartition(parts, *ly.PAGE)), ly.PAGE, parts)
 
 
