@@ -227,6 +227,8 @@ def _has_date(w: Column | str = "w") -> Column:
 def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     """R8 + R11: block number, CFDI zone and pending wrapped account of each line.
 
+    ``lines`` is read twice, so it should be a stage table.
+
     Blocks open by label, or by a dated left text line. The second kind is swallowed while
     an account without amounts waits for them, so the waiting state is carried first.
     """
@@ -247,8 +249,8 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
                      .when(starts_with_label(lab, ("folio",)), "folio"))
     l = l.withColumn("_cand", ~c("abre") & c("_nombra") & ~c("_acct") & (c("n_montos") == 0)).drop("_lab", "_fechado", "_nombra")
     # CFDI zone: from its mark to the next labelled block (named blocks do not open inside it).
-    l = ordered_scan(l, ["doc_id"], "seq", before={
-        "_z": F.when(c("abre"), F.lit(False)).when(c("marca_cfdi"), F.lit(True)), "_open": F.when(c("abre") | c("_cand"), F.lit(True))})
+    l = stage(ordered_scan(l, ["doc_id"], "seq", before={
+        "_z": F.when(c("abre"), F.lit(False)).when(c("marca_cfdi"), F.lit(True)), "_open": F.when(c("abre") | c("_cand"), F.lit(True))}))
     l = l.withColumn("en_cfdi", F.coalesce("_z", F.lit(False)) & ~c("abre")).drop("_z")
     inside = c("_open").isNotNull() & ~c("en_cfdi")
     l = l.withColumn("campo", F.when(inside & ~c("abre"), c("campo")))
@@ -257,7 +259,7 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     l = l.withColumn("abre_envuelto", waits)
     event = F.when(waits, c("seq")).when(c("abre") | c("es_total") | c("es_mov")
                                          | (plain & (c("n_montos") > 0) & ~c("en_cfdi")), F.lit(-1).cast("bigint"))
-    l = ordered_scan(l, ["doc_id"], "seq", before={"_wait": event})
+    l = stage(ordered_scan(l, ["doc_id"], "seq", before={"_wait": event}))
     l = l.withColumn("envuelto", F.when((c("_wait") >= 0) & plain & ~waits & ~c("en_cfdi"), c("_wait")))
     l = l.withColumn("abre_nombre", c("_cand") & plain & ~c("en_cfdi") & c("envuelto").isNull())
     l = ordered_scan(l, ["doc_id"], "seq", running={"bloque": (c("abre") | c("abre_nombre")).cast("int")})

@@ -1,6 +1,9 @@
 """Printed ledgers: an open account goes on over pages, and lines that are dealt out by page once are not moved to meet it."""
 
+from types import SimpleNamespace
+
 from cotejo.operators import reading as rd
+from cotejo.plans import queries_reading as qr
 from cotejo.session import stage_by
 
 WORDS = "doc_id long, page long, line long, pos long, text string, x0 double, x1 double, run int"
@@ -38,3 +41,15 @@ def test_an_account_stays_open_over_pages(spark):
     assert not moved
     assert sorted((r.page, r.line, r.cta.cuenta) for r in rows) == [
         (2, 0, "1000001"), (2, 1, "1000001"), (3, 0, "1000001"), (900, 0, "1000001"), (900, 1, "1000002"), (900, 2, "1000002"), (901, 0, "1000002")]
+
+
+def test_lines_of_a_journal_are_packed_once(spark, monkeypatch):
+    """Blocks read their lines twice, so they get them as a stage table."""
+    text = [(1, 1, 0, "Tipo de poliza: Diario"), (1, 1, 1, "101-01 CARGO 5.00"), (1, 2, 0, "101-02 CARGO 6.00"), (1, 3, 0, "Tipo de poliza: Egreso"), (1, 3, 1, "101-03 X 7.00")]
+    tables = SimpleNamespace(spark=spark, folder="one journal", pj_words=words(spark, text))
+    real, seen = rd.journal_blocks, []
+    monkeypatch.setattr(rd, "journal_blocks", lambda lines: seen.append(plan(lines)) or real(lines))
+    rows = qr.blocks(tables).collect()
+    assert "Aggregate" not in seen[0]
+    assert sorted((r.page, r.line, r.poliza_id, r.es_mov) for r in rows) == [
+        (1, 0, "P00001", False), (1, 1, "P00001", True), (2, 0, "P00001", True), (3, 0, "P00002", False), (3, 1, "P00002", True)]
