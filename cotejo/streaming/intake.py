@@ -85,23 +85,27 @@ def follow(key: tuple, events: Iterator[pd.DataFrame], state: GroupState, wait_m
         state.setTimeoutTimestamp(last + wait_ms)
 
 
+def parsed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The records of one table, and whether each could be read and is of the document ``_de`` that it came with (``_ok``)."""
+    read = F.from_json("cuerpo", StructType([*schema.fields, _CORRUPT]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT.name})
+    r = rows.select(F.col("doc_id").alias("_de"), read.alias("r"))
+    ok = F.col("r").isNotNull() & F.col(f"r.{_CORRUPT.name}").isNull() & F.col("r.doc_id").eqNullSafe(F.col("_de"))
+    return r.select("_de", ok.alias("_ok"), *[F.col("r")[f].alias(f) for f in schema.names])
+
+
 def judged(arrived: DataFrame, rows: DataFrame, kinds: Mapping[str, Kind]) -> DataFrame:
     """The final state of every document of ``arrived``, from the rows of the whole ones."""
     whole = arrived.filter(F.col("fin") == WHOLE).select("tipo", "doc_id")
-    mine = stage(rows.join(whole, ["tipo", "doc_id"], "left_semi"))
+    mine = rows.join(whole, ["tipo", "doc_id"], "left_semi")
     states = []
     for kind, (schemas, main, rules) in kinds.items():
-        tables, broken = {}, None
-        for name, schema in schemas.items():
-            read = F.from_json("cuerpo", StructType([*schema.fields, _CORRUPT]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT.name})
-            parsed = mine.filter((F.col("tipo") == kind) & (F.col("tabla") == name)).select(F.col("doc_id").alias("_de"), read.alias("r"))
-            bad = parsed.filter(F.col("r").isNull() | F.col(f"r.{_CORRUPT.name}").isNotNull() | ~F.col("r.doc_id").eqNullSafe(F.col("_de"))).select("_de")
-            broken = bad if broken is None else broken.union(bad)
-            tables[name] = parsed.filter(F.col("r").isNotNull()).select("r.*").drop(_CORRUPT.name)
-        known = F.col("tabla").isin(*schemas)
-        strange = mine.filter((F.col("tipo") == kind) & ~F.coalesce(known, F.lit(False))).select(F.col("doc_id").alias("_de"))
-        broken = stage(broken.union(strange).distinct().withColumnRenamed("_de", "doc_id"))
-        sound = {n: stage(df.join(broken, "doc_id", "left_anti")) for n, df in tables.items()}
+        own = mine.filter(F.col("tipo") == kind)
+        tables = {n: stage(parsed(own.filter(F.col("tabla") == n), schema)) for n, schema in schemas.items()}
+        broken = own.filter(~F.coalesce(F.col("tabla").isin(*schemas), F.lit(False))).select("doc_id")
+        for df in tables.values():
+            broken = broken.union(df.filter("NOT _ok").select("_de"))
+        broken = stage(broken.distinct())
+        sound = {n: df.filter("_ok").drop("_de", "_ok").join(broken, "doc_id", "left_anti") for n, df in tables.items()}
         cover = coverage(suite_results(rules(sound)))
         has = sound[main].select("doc_id").distinct().withColumn("_hay", F.lit(True))
         docs = whole.filter(F.col("tipo") == kind).select("doc_id")

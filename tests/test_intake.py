@@ -64,3 +64,18 @@ def test_a_document_sent_again_counts_by_its_latest_batch(box):
     assert run()["polizas", 1][0] == "con_discrepancias"
     send(entry(1, 0, 1), move(1, 0, 1, 5, 5))
     assert run()["polizas", 1][0] == "listo"
+
+
+def test_a_record_of_another_document_is_not_judged_with_it(box):
+    _, send, run = box
+    # document 1 balances; document 2 holds a movement that says it is of document 1
+    send(entry(1, 0, 1), move(1, 0, 1, 5, 5), entry(2, 0, 1), ("polizas", 2, 0, 1, *move(1, 0, 1, 3, 0, 2)[4:]))
+    got = run()
+    assert got["polizas", 1][0] == "listo" and got["polizas", 2] == ("error", "un registro no se pudo leer")
+
+
+def test_a_record_is_read_or_marked(spark):
+    rows = spark.createDataFrame([entry(1, 0, 1), ("polizas", 2, 0, 1, "polizas", "{oh", None), ("polizas", 3, 0, 1, "polizas", None, None),
+                                  ("polizas", 4, 0, 1, "polizas", '{"doc_id": 1}', None)], intake.INBOX)
+    got = intake.parsed(rows, spark.createDataFrame([], ENTRIES).schema)
+    assert {r._de: (r._ok, r.seq) for r in got.collect()} == {1: (True, 1), 2: (False, None), 3: (False, None), 4: (False, None)}
