@@ -6,7 +6,7 @@ are hashed words and punctuation marks. The prediction has two steps: the networ
 class of the token, the class gives the token by its share of the class in the corpus.
 Classes are bins of equal square-root frequency, so that frequent tokens stand nearly alone.
 
-Counts are taken over all documents. Training runs over all documents too, in rounds: each
+Texts are cut into tokens once; counting, training and scoring read their bucket numbers. Counts are taken over all documents. Training runs over all documents too, in rounds: each
 round deals with the documents of one residue of a hash of ``doc_id``; every task trains a
 copy of the network on its part in numpy, and the copies are averaged by their tokens. The
 counts, the tables and the network have a fixed size; nothing else reaches the driver.
@@ -38,20 +38,30 @@ STEP = 4096
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
+class _Known(dict):
+    """Bucket by word, found when a word is first asked for."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, word: str) -> int:
+        self[word] = bucket = xxhash.xxh64_intdigest(word) % self.buckets
+        return bucket
+
+
 class Tokens:
     """Bucket numbers of the tokens of texts; remembers words up to a bound."""
 
     def __init__(self, buckets: int = BUCKETS, limit: int = 500_000):
         self.buckets, self.limit = buckets, limit
-        self.known: dict[str, int] = {}
+        self.known = _Known(buckets)
 
     def ids(self, text: str) -> np.ndarray:
         found = TOKEN.findall(text.lower())
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w) % self.buckets
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
@@ -143,18 +153,34 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
 
 
+def tokenised(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Per document its bucket numbers as little-endian 32-bit integers; counting, training and scoring read these."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = kept(("tokens", buckets), lambda: Tokens(buckets))
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                found = [tokens.ids(t).astype("<i4").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "token_buckets": pa.array(found, pa.binary())})
+
+    return docs if "token_buckets" in docs.columns else _texts(docs).mapInArrow(cut, "doc_id long, token_buckets binary")
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(d, "<i4") for d in column.to_pylist()]
+
+
 def token_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Occurrences of each bucket over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = kept(("tokens", buckets), lambda: Tokens(buckets)), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                total += np.bincount(np.concatenate([tokens.ids(t) for t in texts[k:k + 256]]), minlength=buckets)
+            for k in range(0, b.num_rows, 256):
+                total += np.bincount(np.concatenate(_ids(b.column("token_buckets").slice(k, 256))), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
-    summed = _texts(docs).select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = tokenised(docs, buckets).select("token_buckets").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts, found = np.zeros(buckets, np.int64), summed.toArrow()  # ``buckets`` rows at most
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -163,12 +189,10 @@ def token_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 def train_round(docs: DataFrame, tables: Tables, start: np.ndarray, part: int, rounds: int) -> np.ndarray:
     """One round: copies trained on the documents of this part, averaged by their tokens."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = kept(("tokens", len(tables.input)), lambda: Tokens(len(tables.input)))
         net, n = WindowNet(tables).load(start), 0
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for k in range(0, len(texts), 64):
-                context, bucket, _ = places([tokens.ids(t) for t in texts[k:k + 64]], tables)
+            for k in range(0, b.num_rows, 64):
+                context, bucket, _ = places(_ids(b.column("token_buckets").slice(k, 64)), tables)
                 target = tables.of_class[bucket]
                 step = max(128, min(STEP, len(bucket) // 8))
                 for j in range(0, len(bucket), step):
@@ -191,7 +215,8 @@ def train_round(docs: DataFrame, tables: Tables, start: np.ndarray, part: int, r
         return pa.RecordBatch.from_pydict({"net": pa.array([values.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
     schema = "net binary, n long"
-    mine = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("text")
+    cut = tokenised(docs, len(tables.input))
+    mine = cut.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("token_buckets")
     copies = stage(mine.mapInArrow(learn, schema))
     groups = max(1, int(copies.count() ** 0.5))
     found = copies.repartition(groups).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()
@@ -199,6 +224,7 @@ def train_round(docs: DataFrame, tables: Tables, start: np.ndarray, part: int, r
 
 
 def train_pseudo_lm(docs: DataFrame, rounds: int = ROUNDS, buckets: int = BUCKETS) -> tuple[Tables, np.ndarray] | None:
+    docs = docs if "token_buckets" in docs.columns else stage(tokenised(docs, buckets))
     counts = token_counts(docs, buckets)
     if not counts.any():
         return None
@@ -212,18 +238,17 @@ def train_pseudo_lm(docs: DataFrame, rounds: int = ROUNDS, buckets: int = BUCKET
 def score_pseudo_lm(docs: DataFrame, model: tuple[Tables, np.ndarray] | None) -> DataFrame:
     """Per document: tokens, pseudo log-likelihood, its mean, and the mean under class frequencies alone."""
     if model is None:
-        return _texts(docs).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood"),
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood"),
                                    F.lit(None).cast("double").alias("mean_log_probability"),
                                    F.lit(None).cast("double").alias("unigram_log_probability"))
     tables, flat = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = kept(("tokens", len(tables.input)), lambda: Tokens(len(tables.input)))
         net = WindowNet(tables).load(flat)
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                docs_here = [tokens.ids(t) for t in part.column("text").to_pylist()]
+                docs_here = _ids(part.column("token_buckets"))
                 sizes = np.array([len(d) for d in docs_here])
                 context, bucket, doc = places(docs_here, tables)
                 target, inside = tables.of_class[bucket], tables.inside[bucket].astype(np.float64)
@@ -239,5 +264,5 @@ def score_pseudo_lm(docs: DataFrame, model: tuple[Tables, np.ndarray] | None) ->
                     "mean_log_probability": pa.array(total / n, pa.float64(), mask=none),
                     "unigram_log_probability": pa.array(plain / n, pa.float64(), mask=none)})
 
-    return _texts(docs).mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double, "
+    return tokenised(docs, len(tables.input)).mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double, "
                                           "mean_log_probability double, unigram_log_probability double")

@@ -105,9 +105,10 @@ def op7_wrapper(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_pseudo_lm")
 def op6_pseudo_lm(spark: SparkSession, folder: str) -> DataFrame:
-    from cotejo.llm.pseudo_lm import score_pseudo_lm, train_pseudo_lm
+    from cotejo.llm.pseudo_lm import score_pseudo_lm, tokenised, train_pseudo_lm
+    from cotejo.session import stage
 
-    docs = table(spark, folder, "documents")
+    docs = stage(tokenised(table(spark, folder, "documents")))
     return score_pseudo_lm(docs, train_pseudo_lm(docs))
 
 

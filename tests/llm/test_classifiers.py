@@ -198,3 +198,12 @@ def test_language_model_of_odd_rows(spark):
     empty = table(spark, [(1, None), (2, "")])
     assert [r.log_likelihood for r in lm.score_pseudo_lm(empty, lm.train_pseudo_lm(empty)).collect()] == [0.0, 0.0]
     assert lm.score_pseudo_lm(table(spark, []), lm.train_pseudo_lm(table(spark, []))).count() == 0
+
+
+def test_likelihoods_read_tokens_that_were_cut_once(spark):
+    docs = table(spark, [(k, words(k, 40, 50)) for k in range(40)] + [(40, None)])
+    cut = lm.tokenised(docs)
+    assert "text" not in cut.columns
+    model = lm.train_pseudo_lm(cut, rounds=1)
+    whole, again = ({r.doc_id: r for r in lm.score_pseudo_lm(d, model).collect()} for d in (docs, cut))
+    assert whole == again and whole[40].n_tokens == 0 and whole[0].n_tokens == len(lm.TOKEN.findall(words(0, 40, 50)))
