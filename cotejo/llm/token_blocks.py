@@ -199,6 +199,8 @@ SPLIT = re.compile(r"(?<=\S) ")
 WHITE_ASCII = tuple(c + " " for c in map(chr, range(128)) if c.isspace())
 WHITE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
 
+LINES = 512  # words given to the library as one text
+
 
 def cut_words(text: str) -> list[str]:
     """The text before the first cut, then what follows the space of each cut."""
@@ -220,11 +222,36 @@ class PieceEncoder:
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known = Memory(limit)  # by word, for the word after a space
+        # a line break after a word is a token of its own, and no word without one yields its id
+        line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and not any("\n" in a for a in self.added) else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, each after a space: lines of one text, cut at their line breaks."""
+        if self.line is None or not words:
+            return self._ids([" " + w for w in words])
+        ids = np.array(self.lib.encode_batch_fast([" " + "\n ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(ids == self.line)).tolist()
+        if len(at) != len(words) - 1:
+            return self._ids([" " + w for w in words])
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(k + 4 for k in at)], [*at, len(raw)], strict=True)]
+
+    def after_space(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word after a space."""
+        every = "".join(words)
+        if every.isprintable() and " " not in every and "" not in words:
+            return dict(zip(words, self._lines(words), strict=True))
+        plain = [w for w in words if w.isprintable() and w and " " not in w]
+        found = dict(zip(plain, self._lines(plain), strict=True))
+        odd = [w for w in words if w not in found]
+        found.update(zip(odd, self._ids([" " + w for w in odd]), strict=True))
+        return found
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         cut: list[list[str]] = []
         for t in texts:
@@ -232,14 +259,12 @@ class PieceEncoder:
                 cut.append([t])
             else:
                 cut.append(cut_words(t))
-        heads = self._ids([ws[0] for ws in cut])
-        new = self.known.missing(set().union(*(ws[1:] for ws in cut)))
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            self.known.young.update(zip(part, self._ids([" " + w for w in part]), strict=True))
+        heads = self._ids([ws.pop(0) for ws in cut])
+        new = self.known.missing(set().union(*cut))
+        for k in range(0, len(new), LINES):
+            self.known.young.update(self.after_space(new[k:k + LINES]))
         look = self.known.young.__getitem__
-        return [np.frombuffer(b"".join([head, *map(look, ws[1:])]), "<u4")
-                for head, ws in zip(heads, cut, strict=True)]
+        return [np.frombuffer(b"".join([head, *map(look, ws)]), "<u4") for head, ws in zip(heads, cut, strict=True)]
 
 
 def small_batches(batch: pa.RecordBatch, names: list[str], most: int = 256):

@@ -125,3 +125,18 @@ def test_pieces_round_trip(spark):
     assert {"key", "words", "lang"} <= set(got[0].asDict())
     assert all(r.round_trip for r in up.piece_digests(table(spark, rows), PIECES).collect())
     assert up.piece_digests(table(spark, []), PIECES).count() == 0
+
+
+def test_words_go_to_the_library_as_lines_of_one_text():
+    encoder = tb.PieceEncoder(BPE)
+    odd = ["a\nb", "\n", "", " x", "x ", "᠎", "x᠎y᠎", " z", "\x1f", "tab\t", " ", "​", "\x00", "it's", "don't.", "12ab",
+           "#!?", "ñandú", "漢字", "🙂", "é", "..."]
+    every = list(dict.fromkeys(odd + [a + b for a in odd for b in ("word", "7", "'s", "é")]))
+    alone = {w: encoder._ids([" " + w])[0] for w in every}
+    calls, library = [], encoder._ids
+    encoder._ids = lambda texts: (calls.extend(texts), library(texts))[1]
+    assert encoder.after_space(every) == alone
+    plain = [w for w in every if w.isprintable() and w and " " not in w]
+    assert len(plain) > 40 and len(calls) == len(every) - len(plain)
+    calls.clear()
+    assert encoder.after_space(plain) == {w: alone[w] for w in plain} and not calls
