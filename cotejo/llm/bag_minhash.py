@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.common import whole_text
-from cotejo.session import stage
+from cotejo.session import join_grown, stage
 
 WIDTH = 5
 BANDS, ROWS = 28, 6  # a pair at 0.8 shares no band once in 4,900
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return stage(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    return stage(join_grown(join_grown(pairs, right, "b"), left, "a").select("a", "b", "left", "right")
                  .mapInArrow(compare, "a long, b long"))
 
 
@@ -190,16 +190,16 @@ def components(edges: DataFrame) -> DataFrame:
               .distinct())
     while True:
         heads = e.select(F.col("u").alias("v")).distinct()
-        if e.join(heads, "v", "left_semi").isEmpty():
+        if join_grown(e, heads, "v", "left_semi").isEmpty():
             # every edge hangs on a root; a node may hang on several roots until they meet
             if e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
                 break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_grown(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = join_grown(large, least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             joined.select("u", F.col("m").alias("v")))
         e = stage(small.where("u <> v").distinct())
@@ -209,10 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (bucket, node, comp) of the buckets that hold more than one component; stored."""
-    now = stage(members.select("bucket", "node").join(comps, "node", "left")
+    now = stage(join_grown(members.select("bucket", "node"), comps, "node", "left")
                 .select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return stage(now.join(mixed.select("bucket"), "bucket"))
+    return stage(join_grown(now, mixed.select("bucket"), "bucket"))
 
 
 def _units(members: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -235,11 +235,11 @@ def _units(members: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(units, pa.list_(pa.int64())),
                                               pa.array(profiles, pa.list_(pa.int32()))], ["node", "units", "profile"])
 
-    bags = stage(texts.join(members.select("node").distinct(), "node", "left_semi")
+    bags = stage(join_grown(texts, members.select("node").distinct(), "node", "left_semi")
                  .mapInArrow(cut, "node long, units array<long>, profile array<int>"))
     each = bags.select("node", F.explode("units").alias("unit"))
     held = each.groupBy("unit").agg(F.count("*").alias("holders")).where("holders > 1")
-    return bags.select("node", F.size("units").alias("size"), "profile"), stage(each.join(held, "unit"))
+    return bags.select("node", F.size("units").alias("size"), "profile"), stage(join_grown(each, held, "unit"))
 
 
 def _can_link(members: DataFrame, sizes: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
@@ -248,20 +248,20 @@ def _can_link(members: DataFrame, sizes: DataFrame, common: DataFrame, threshold
     A pair at the threshold t shares t / (1 + t) of the sum of its sizes, and no node is below
     the smallest of its buckets nor below t times its partner.
     """
-    least = members.join(sizes, "node").groupBy("bucket").agg(F.min("size").alias("least"))
-    mates = members.join(least, "bucket").groupBy("node").agg(F.min("least").alias("least"))
+    least = join_grown(members, sizes, "node").groupBy("bucket").agg(F.min("size").alias("least"))
+    mates = join_grown(members, least, "bucket").groupBy("node").agg(F.min("least").alias("least"))
     shared = common.groupBy("node").agg(F.count("*").alias("shared"))
     partner = F.greatest(F.col("least"), F.lit(threshold) * F.col("size"))
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + partner) - 1e-6)
-    return stage(mates.join(sizes, "node").join(shared, "node").withColumn("needed", needed)
+    return stage(join_grown(join_grown(mates, sizes, "node"), shared, "node").withColumn("needed", needed)
                  .where("shared >= needed").select("node", "size", "profile", "shared", "needed"))
 
 
 def _leader_pairs(members: DataFrame, able: DataFrame) -> DataFrame:
     """Each member with the member of its bucket that has the least text of its own."""
-    rated = members.join(able, "node").withColumn("own", 1 - F.col("shared") / F.col("size"))
+    rated = join_grown(members, able, "node").withColumn("own", 1 - F.col("shared") / F.col("size"))
     leaders = rated.groupBy("bucket").agg(F.min(F.struct("own", "node", "comp")).alias("l"))
-    met = rated.join(leaders, "bucket").where("comp <> l.comp")
+    met = join_grown(rated, leaders, "bucket").where("comp <> l.comp")
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
@@ -275,17 +275,17 @@ def _prefix_pairs(members: DataFrame, able: DataFrame, common: DataFrame, thresh
     made only if its profiles allow it. At the first unit that two bags share, in this order, all
     others that they share come later in both, so what is left in either must be enough for them.
     """
-    nodes = members.select("node", "comp").distinct().join(able, "node")
+    nodes = join_grown(members.select("node", "comp").distinct(), able, "node")
     # one row a node until the rarest are cut out; a bag's units are bounded by its text
     own = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "unit"))).alias("units"))
     first = F.slice("units", F.lit(1), (F.col("shared") - F.col("needed") + 1).cast("int"))
-    rarest = own.join(nodes, "node").select("node", "comp", "size", "profile", "shared", F.posexplode(first).alias("at", "u")) \
+    rarest = join_grown(own, nodes, "node").select("node", "comp", "size", "profile", "shared", F.posexplode(first).alias("at", "u")) \
         .select(F.col("u.unit").alias("unit"), "node", "comp", "size", "profile", (F.col("shared") - F.col("at") - 1).alias("later"))
     rarest = stage(rarest)
     apart = "aggregate(zip_with(x.profile, y.profile, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)"
     most = f"{(1 - threshold) / (1 + threshold)!r}D * (x.size + y.size) + 1e-6D"
     enough = f"1 + least(x.later, y.later) >= {threshold / (1 + threshold)!r}D * (x.size + y.size) - 1e-6D"
-    both = rarest.alias("x").join(rarest.alias("y"), F.expr(f"x.unit = y.unit AND x.comp < y.comp AND {enough} AND {apart} <= {most}"))
+    both = join_grown(rarest.alias("x"), rarest.alias("y"), F.expr(f"x.unit = y.unit AND x.comp < y.comp AND {enough} AND {apart} <= {most}"))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -303,9 +303,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     nodes = signed(docs, width, bands, rows)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(buckets.join(heads.select("bucket", "leader"), "bucket"))
-    needed = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "key", "rep")
-    texts = _keyed(docs).join(needed, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    shared = stage(join_grown(buckets, heads.select("bucket", "leader"), "bucket"))
+    needed = join_grown(nodes, shared.select("node").distinct(), "node", "left_semi").select("node", "key", "rep")
+    texts = join_grown(_keyed(docs), needed, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = stage(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     star = stage(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -315,19 +315,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     if not members.isEmpty():
         sizes, common = _units(members, texts, width)
         able = _can_link(members, sizes, common, threshold)
-        members = _mixed(members.join(able, "node", "left_semi"), final)
-        led = stage(_leader_pairs(members, able).join(star, ["a", "b"], "left_anti"))
+        members = _mixed(join_grown(members, able, "node", "left_semi"), final)
+        led = stage(join_grown(_leader_pairs(members, able), star, ["a", "b"], "left_anti"))
         edges = edges.union(verified(led, texts, threshold, width))
         final = components(edges)
         members = _mixed(members, final)
-        rest = _prefix_pairs(members, able, common, threshold).join(star.union(led), ["a", "b"], "left_anti")
+        rest = join_grown(_prefix_pairs(members, able, common, threshold), star.union(led), ["a", "b"], "left_anti")
         edges = edges.union(verified(stage(rest), texts, threshold, width))
         final = components(edges)
-    named = nodes.select("node", "key", "rep").join(final, "node", "left") \
+    named = join_grown(nodes.select("node", "key", "rep"), final, "node", "left") \
         .withColumn("comp", F.coalesce("comp", "node"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = stage(named.join(lowest, "comp").select("key", "class_id"))
-    return _keyed(docs).select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
+    named = stage(join_grown(named, lowest, "comp").select("key", "class_id"))
+    return join_grown(_keyed(docs).select("doc_id", "key"), named, "key").select("doc_id", "class_id")
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
@@ -337,13 +337,13 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
     by equal text only: one of each text stays if no row with an id has it. All columns are kept.
     """
     classes = near_duplicate_classes(docs, **options)
-    kept = stage(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct())
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 AND doc_id IS NOT NULL")
-    repeated = stage(repeated.select(F.col("doc_id").alias("_again")))
-    mine = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    once = mine.join(repeated, mine["doc_id"] == repeated["_again"], "left_anti")
-    again = mine.join(repeated, mine["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    times = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg((F.count("*") > 1).alias("_again"))
+    kept = stage(join_grown(kept, times, "_kept"))
+    mine, own = join_grown(docs, kept, docs["doc_id"] == kept["_kept"]), [docs[c] for c in docs.columns]
+    once = mine.where(~kept["_again"]).select(*own)
+    again = mine.where(kept["_again"]).select(*own).dropDuplicates(["doc_id", "text"])
     named = docs.where("doc_id IS NOT NULL").select(F.md5(whole_text("text").cast("binary")).alias("_key"))
-    unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"]) \
-        .join(named, F.md5(whole_text("text").cast("binary")) == named["_key"], "left_anti")
+    unnamed = join_grown(docs.where("doc_id IS NULL").dropDuplicates(["text"]), named,
+                         F.md5(whole_text("text").cast("binary")) == named["_key"], "left_anti")
     return once.unionByName(again).unionByName(unnamed)

@@ -135,3 +135,14 @@ def test_fingerprints_of_no_rows_and_null_ids(spark):
     got = imatch.compared_fingerprints(table(spark, [(None, "x y"), (None, None), (1, "x y")])).collect()
     assert len(got) == 3 and len({r.fingerprint for r in got if r.n_chars}) == 1
     assert imatch.fingerprints(table(spark, [(1, "b a"), (2, "a  B")])).select("fingerprint").distinct().count() == 1
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    texts = {i: words(i, 60) for i in range(40)}
+    rows = [(i, t) for i, t in texts.items()] + [(100 + i, edited(t, 1, i)) for i, t in texts.items()] + odd_rows()
+    plans, write = [], bm.stage
+    monkeypatch.setattr(bm, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    out = bm.keep_one_per_class(table(spark, rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and "SortMergeJoin" in "".join(plans)
+    assert not [p for p in plans if "Broadcast" in p]
