@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import AMOUNT_DIALECTS, RE_SIGNED_AMOUNT, field_by_priority, is_amount, is_dotted, normalize
 from cotejo.operators.skew import by_page, join_small
-from cotejo.session import stage
+from cotejo.session import join_grown, stage
 
 PAGE = ["doc_id", "page"]
 LINE = ["doc_id", "page", "line"]
@@ -76,7 +76,7 @@ def account_zone(lined: DataFrame, tol: float = TOL) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("x0").alias("lo"), F.max("x0").alias("hi"))
     best = best.filter(c("n") >= MIN_ZONE).groupBy(*PAGE).agg(
         F.max_by(F.struct("lo", "hi"), F.struct(c("n"), -c("grupo"))).alias("b"))
-    j = first.join(best, PAGE).filter(c("x0").between(c("b.lo") - tol, c("b.hi") + tol))
+    j = meet(first, best).filter(c("x0").between(c("b.lo") - tol, c("b.hi") + tol))
     return j.groupBy(*PAGE).agg(F.min("x0").alias("z0"), F.max("x1").alias("z1"))
 
 
@@ -96,7 +96,7 @@ def candidates(lined: DataFrame, tol: float = TOL, support: int = MIN_SUPPORT) -
     peaks = g.groupBy(*key, "grupo").agg(
         F.sum("n").alias("support"), F.round(F.sum(c("edge") * c("n")) / F.sum("n"), 6).alias("anchor")
     ).filter(c("support") >= support)
-    m = peaks.join(j, key).filter(F.abs(c("edge") - c("anchor")) <= tol * 2)
+    m = join_grown(peaks, j, key).filter(F.abs(c("edge") - c("anchor")) <= tol * 2)
     found = m.groupBy(*key, "grupo", "support", "anchor").agg(
         F.min("x0").alias("x_min"), F.max("x1").alias("x_max"))
     w = Window.partitionBy(*PAGE)
@@ -140,8 +140,8 @@ def text_and_amounts(cands: DataFrame) -> DataFrame:
     """Amount columns, plus detected columns that do not share a right edge with one."""
     amounts = cands.filter("align = 'right'").select(*PAGE, "align", "x_min", "x_max", "support")
     edges = amounts.select(*PAGE, F.bround("x_max", 1).alias("_e")).distinct()
-    texts = merge_overlapping(cands).withColumn("_e", F.bround("x_max", 1)).join(
-        edges, [*PAGE, "_e"], "left_anti").select(*PAGE, "align", "x_min", "x_max", "support")
+    texts = join_grown(merge_overlapping(cands).withColumn("_e", F.bround("x_max", 1)), edges, [*PAGE, "_e"], "left_anti").select(
+        *PAGE, "align", "x_min", "x_max", "support")
     return numbered(texts.unionByName(amounts))
 
 
@@ -165,7 +165,7 @@ def table_region(lined: DataFrame, cands: DataFrame, tol: float = TOL, min_colum
     up = lambda i: F.coalesce(F.lag(head, i).over(w), F.lit(False))
     table = table.withColumn("_t1", F.lag("ltop", 1).over(w)).withColumn("_t2", F.lag("ltop", 2).over(w))
     table = table.withColumn("_start", F.when(up(1) & up(2), c("_t2")).when(up(1), c("_t1")).otherwise(c("ltop")))
-    data = table.join(hits.select(*LINE), LINE, "left_semi")
+    data = join_grown(table, hits.select(*LINE), LINE, "left_semi")
     d = data.withColumn("_b", F.when(c("line") - F.lag("line").over(w) <= MAX_GAP_LINES + 1, 0).otherwise(1))
     d = d.withColumn("_g", F.sum("_b").over(w))
     blocks = d.groupBy(*PAGE, "_g").agg(
@@ -202,15 +202,16 @@ def header_lines(lined: DataFrame, regions: DataFrame, table: DataFrame | None =
     t = line_table(lined) if table is None else table
     w = Window.partitionBy(*PAGE).orderBy("line")
     r = regions.select(*PAGE, c("top").alias("_rt"), c("bottom").alias("_rb"))
-    reg = t.join(r, PAGE).filter(((c("ltop") + c("lbottom")) / 2).between(c("_rt"), c("_rb"))).drop("_rt", "_rb")
+    reg = meet(t, r).filter(((c("ltop") + c("lbottom")) / 2).between(c("_rt"), c("_rb"))).drop("_rt", "_rb")
     reg = reg.withColumn("k", F.row_number().over(w)).withColumn(
         "_seen", F.sum(c("con_monto").cast("int")).over(w))
     count = reg.groupBy(*PAGE).agg(F.count_if(c("_seen") == 0).alias("nh"))
-    reg = reg.join(count.filter("nh > 0"), PAGE)
+    reg = meet(reg, count.filter("nh > 0"))
     gap = reg.withColumn("_p", F.lead("ltop").over(w) - c("ltop")).filter(
         (c("k") > F.least("nh", F.lit(MAX_HEADER))) & c("_p").isNotNull())
     limit = gap.groupBy(*PAGE).agg(F.when(F.count(F.lit(1)) >= 2, F.percentile("_p", 0.5) * PITCH).alias("lim"))
-    head = reg.filter((c("_seen") == 0) & (c("k") > c("nh") - MAX_HEADER)).join(limit, PAGE, "left")
+    head = reg.filter((c("_seen") == 0) & (c("k") > c("nh") - MAX_HEADER))
+    head = meet(head, limit, "left")
     back = Window.partitionBy(*PAGE).orderBy(c("line").desc())
     tight = (F.lag("ltop").over(back) - c("ltop") <= c("lim"))
     head = head.withColumn("_ok", (c("k") == c("nh")) | F.coalesce(tight, F.lit(False)))
@@ -219,10 +220,10 @@ def header_lines(lined: DataFrame, regions: DataFrame, table: DataFrame | None =
     # The line above only serves for grouping; its limit comes from every line below the block.
     ends = head.groupBy(*PAGE).agg(F.min("line").alias("_f"), F.max("line").alias("_e"),
                                    F.min_by("ltop", "line").alias("_ft"))
-    below = t.join(ends, PAGE).filter(c("line") > c("_e"))
+    below = meet(t, ends).filter(c("line") > c("_e"))
     below = below.withColumn("_p", F.lead("ltop").over(w) - c("ltop"))
     lim2 = below.groupBy(*PAGE).agg(F.when(F.count("_p") >= 2, F.percentile("_p", 0.5) * PITCH).alias("lim2"))
-    above = t.join(ends, PAGE).join(lim2, PAGE).filter(
+    above = meet(meet(t, ends), lim2).filter(
         (c("line") == c("_f") - 1) & (c("_ft") - c("ltop") <= c("lim2")))
     return block.unionByName(above.select(*LINE, F.lit(True).alias("solo_grupo")))
 
@@ -237,13 +238,12 @@ def header_words(lined: DataFrame, heads: DataFrame) -> DataFrame:
     up = w.filter(~c("_a")).select(
         *PAGE, (c("line") + 1).alias("line"), c("pos").alias("_gp"), c("text").alias("_gt"),
         c("x0").alias("_g0"), c("x1").alias("_g1"))
-    over = w.select(*LINE, "pos", "x0", "x1").join(up, LINE).filter(
+    over = join_grown(w.select(*LINE, "pos", "x0", "x1"), up, LINE).filter(
         (c("x0") < c("_g1")) & (c("_g0") < c("x1")))
     groups = over.groupBy(*PAGE, "_gp").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
-    pre = over.join(groups, [*PAGE, "_gp"]).groupBy(*LINE, "pos").agg(F.max_by("_gt", "_g0").alias("prefijo"))
-    named = w.filter(~c("solo_grupo")).join(
-        groups.select(*PAGE, c("_gp").alias("pos")), [*PAGE, "pos"], "left_anti")
-    j = named.join(pre, [*LINE, "pos"], "left")
+    pre = join_grown(over, groups, [*PAGE, "_gp"]).groupBy(*LINE, "pos").agg(F.max_by("_gt", "_g0").alias("prefijo"))
+    named = join_grown(w.filter(~c("solo_grupo")), groups.select(*PAGE, c("_gp").alias("pos")), [*PAGE, "pos"], "left_anti")
+    j = join_grown(named, pre, [*LINE, "pos"], "left")
     return j.select(*LINE, "pos", "x0", "x1", "top",
                     F.concat_ws(" ", "prefijo", "text").alias("text"))
 
@@ -261,17 +261,17 @@ def assign_headers(words: DataFrame, cols: DataFrame) -> DataFrame:
         _distance(mid, k["x_min"], k["x_max"]).alias("_d"), (k["x_max"] - k["x_min"]).alias("_w"), k["idx"].alias("idx"))))
     best = meet(words, page).withColumn("b", F.explode(F.array(near))).filter(c("b._d") < FAR)
     heads = best.groupBy(*PAGE, c("b.idx").alias("idx")).agg(ordered_text(["top", "x0"]).alias("header"))
-    return cols.join(heads, [*PAGE, "idx"], "left").na.fill("", ["header"])
+    return join_grown(cols, heads, [*PAGE, "idx"], "left").na.fill("", ["header"])
 
 
 def document_layout(cols: DataFrame, pages: DataFrame) -> DataFrame:
     """The sample page with most columns is the base; pages with as many widen it and
     fill its empty headers; other pages are ignored. ``pages`` names the sample."""
-    s = cols.join(pages, PAGE, "left_semi")
+    s = meet(cols, pages, "left_semi")
     size = s.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("k"))
     base = size.groupBy("doc_id").agg(F.max_by("page", F.struct(c("k"), -c("page"))).alias("_b"),
                                       F.max("k").alias("_k"))
-    same = s.join(size, PAGE).join(base, "doc_id").filter(c("k") == c("_k"))
+    same = meet(s, size).join(base, "doc_id").filter(c("k") == c("_k"))
     own = c("page") == c("_b")
     rank = F.struct(F.when(own, 0).otherwise(1), c("page"))
     return same.groupBy("doc_id", "idx").agg(
@@ -428,7 +428,7 @@ def header_like(lined: DataFrame, vocab: DataFrame, kind: str = "auxiliar") -> D
     tok = lined.select(*LINE, F.explode(F.split(normalize(c("text")), " ")).alias("sinonimo"))
     named = tok.join(vocab.select("campo", "sinonimo"), "sinonimo").groupBy(*LINE).agg(
         F.count_distinct("campo").alias("k")).filter("k >= 2")
-    return free.select(*LINE).join(named.select(*LINE), LINE, "left_semi")
+    return join_grown(free.select(*LINE), named.select(*LINE), LINE, "left_semi")
 
 
 def relabel(layout: DataFrame, lined: DataFrame, heads: DataFrame) -> DataFrame:
@@ -436,7 +436,7 @@ def relabel(layout: DataFrame, lined: DataFrame, heads: DataFrame) -> DataFrame:
     named = stage(of_lines(lined, heads.select(*LINE)))
     w = place_words(named, layout)
     tops = named.select(*LINE, "ltop").distinct()
-    cell = cells(w, layout).join(tops, LINE)
+    cell = join_grown(cells(w, layout), tops, LINE)
     new = cell.groupBy("doc_id", "idx").agg(ordered_text(["ltop", "texto"], "texto").alias("nuevo"))
     j = layout.join(new, ["doc_id", "idx"], "left")
     return j.withColumn("header", F.coalesce(F.nullif(F.trim("nuevo"), F.lit("")), "header")).drop("nuevo")

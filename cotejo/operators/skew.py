@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cotejo.session import join_grown
+
 PAGES = 6    # 64 pages in a span
 ROWS = 20    # about a million numbers of the reading order in a span
 
@@ -33,5 +35,5 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, span:
     """
     on = [on] if isinstance(on, str) else list(on)
     rows = big.withColumn("_tramo", F.coalesce(span, F.lit(-1).cast("long")))
-    copies = rows.select(*on, "_tramo").distinct().join(small, on)
-    return rows.join(copies, [*on, "_tramo"], how).drop("_tramo")
+    copies = join_grown(rows.select(*on, "_tramo").distinct(), small, on)
+    return rows.join(copies.hint("shuffle_hash"), [*on, "_tramo"], how).drop("_tramo")

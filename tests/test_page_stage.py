@@ -54,3 +54,18 @@ def test_the_word_nearest_to_the_edge_is_the_amount(spark):
     assert got == {(0, 0): "a b", (0, 1): "6.00", (1, 1): "8.00"}
     placed = ly.place_words(df, lay)
     assert placed.count() == 7 and placed.filter(F.col("idx").isNull()).count() == 1
+
+
+def test_what_a_page_has_is_not_broadcast(spark, monkeypatch):
+    """A stage table is a few compressed MB when its rows, one or more for each page of the corpus, no longer fit into the driver."""
+    plans, write = [], ql.stage
+    kept = lambda df: plans.append(plan(df)) or write(df)
+    monkeypatch.setattr(ql, "stage", kept)
+    monkeypatch.setattr(ly, "stage", kept)
+    lin, lay, cells = ql.read_tables(words(spark))
+    heads = lin.select(*ly.LINE).filter("line = 0").distinct()
+    named = ly.relabel(lay, lin, heads)
+    plans.append(plan(named))
+    by_page = [line for p in plans for line in p.split("\n") if "BroadcastHashJoin [" in line and ("page#" in line or "_tramo#" in line)]
+    assert len(plans) >= 7 and not by_page
+    assert cells.count() == 2 * 20 * 42 and {r.header.split(" ")[0] for r in named.filter("doc_id = 1").collect()} == {"Cuenta", "Nombre", "Debe", "Haber"}
