@@ -27,13 +27,14 @@ from cotejo.functions.text import (
     starts_with_label,
     without_marks,
 )
-from cotejo.operators.scan import ordered_scan, ordered_texts
+from cotejo.operators.scan import LEVEL_BITS, ordered_scan, ordered_texts
 from cotejo.operators.skew import by_page, join_small
 from cotejo.operators.verdict import AMOUNT
-from cotejo.session import stage
+from cotejo.session import stage, stage_by, stage_like
 
 c = F.col
 LINE = ["doc_id", "page", "line"]
+SPAN = ["doc_id", "_span"]
 PAGE_BITS = 36
 RE_BLOCK_ACCOUNT = r"^\d{3,}(-\d+)*$"
 RE_LEDGER_ACCOUNT = r"^\d{3,}[-\d]*\d$"
@@ -47,6 +48,11 @@ def reading_order() -> Column:
     return F.shiftleft(c("page").cast("bigint"), PAGE_BITS) + c("line")
 
 
+def reading_span() -> Column:
+    """The span that an ``ordered_scan`` deals a line out by: its page, if that has less than a million lines."""
+    return F.shiftright(reading_order(), LEVEL_BITS[0])
+
+
 def pack_lines(words: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One row per line with its words left to right; words dealt out by line or by page already are not moved."""
     return words.groupBy(*LINE, *extra).agg(
@@ -54,6 +60,12 @@ def pack_lines(words: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     ).withColumn("seq", reading_order())
 
 
+def dealt_lines(lines: DataFrame, parts: int) -> DataFrame:
+    """Packed lines as a stage table, dealt out by ``SPAN`` and numbered (``_n``) inside it; lines that are packed by ``_span`` do not move."""
+    lines = lines if "_span" in lines.columns else lines.withColumn("_span", reading_span())
+    return stage_by(lines.withColumn("_n", F.row_number().over(Window.partitionBy(*SPAN).orderBy("seq")) - 1), SPAN, parts)
+
+
 def texts(w: Column | str = "w") -> Column:
     return F.transform(w, lambda k: k["text"])
 
@@ -227,16 +239,21 @@ def _has_date(w: Column | str = "w") -> Column:
 def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     """R8 + R11: block number, CFDI zone and pending wrapped account of each line.
 
-    ``lines`` is read twice, so it should be a stage table.
+    ``lines`` are ``dealt_lines``, else they are made so. The scans carry flags, not words, and neither is moved again: the flags of
+    a span, a page mostly, are stored as one array, and at each use of the blocks a line finds its own there by its number.
 
     Blocks open by label, or by a dated left text line. The second kind is swallowed while
     an account without amounts waits for them, so the waiting state is carried first.
     """
     w0 = F.get("w", F.lit(0))
     value = F.get(value_words(), F.lit(0))["text"]
-    # What the words of a line say, read once; the scans below carry flags, not words.
-    l = stage(lines.select(
-        "doc_id", "seq", label().alias("_lab"), F.size(amounts("polizas")).alias("n_montos"), w0["text"].rlike(RE_BLOCK_ACCOUNT).alias("_acct"),
+    if "_n" not in lines.columns:
+        lines = dealt_lines(lines, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keep = lambda l: stage_like(l, lines, SPAN)
+    scan = lambda l, **what: ordered_scan(l, ["doc_id"], "seq", keep=True, dealt=True, **what)
+    # What the words of a line say, read once.
+    l = keep(lines.select(
+        *SPAN, "seq", label().alias("_lab"), F.size(amounts("polizas")).alias("n_montos"), w0["text"].rlike(RE_BLOCK_ACCOUNT).alias("_acct"),
         F.coalesce(value.rlike(RE_DATE_CELL), F.lit(False)).alias("_fechado"),
         ((w0["x0"] <= account_width) & (F.size("w") >= 3) & _has_date()).alias("_nombra")))
     lab = c("_lab")
@@ -249,7 +266,7 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
                      .when(starts_with_label(lab, ("folio",)), "folio"))
     l = l.withColumn("_cand", ~c("abre") & c("_nombra") & ~c("_acct") & (c("n_montos") == 0)).drop("_lab", "_fechado", "_nombra")
     # CFDI zone: from its mark to the next labelled block (named blocks do not open inside it).
-    l = stage(ordered_scan(l, ["doc_id"], "seq", before={
+    l = keep(scan(l, before={
         "_z": F.when(c("abre"), F.lit(False)).when(c("marca_cfdi"), F.lit(True)), "_open": F.when(c("abre") | c("_cand"), F.lit(True))}))
     l = l.withColumn("en_cfdi", F.coalesce("_z", F.lit(False)) & ~c("abre")).drop("_z")
     inside = c("_open").isNotNull() & ~c("en_cfdi")
@@ -259,12 +276,15 @@ def journal_blocks(lines: DataFrame, account_width: float = 25.0) -> DataFrame:
     l = l.withColumn("abre_envuelto", waits)
     event = F.when(waits, c("seq")).when(c("abre") | c("es_total") | c("es_mov")
                                          | (plain & (c("n_montos") > 0) & ~c("en_cfdi")), F.lit(-1).cast("bigint"))
-    l = stage(ordered_scan(l, ["doc_id"], "seq", before={"_wait": event}))
+    l = keep(scan(l, before={"_wait": event}))
     l = l.withColumn("envuelto", F.when((c("_wait") >= 0) & plain & ~waits & ~c("en_cfdi"), c("_wait")))
     l = l.withColumn("abre_nombre", c("_cand") & plain & ~c("en_cfdi") & c("envuelto").isNull())
-    l = ordered_scan(l, ["doc_id"], "seq", running={"bloque": (c("abre") | c("abre_nombre")).cast("int")})
-    found = l.filter("bloque > 0").withColumn("poliza_id", F.format_string("P%05d", "bloque")).drop("_cand", "_open", "_wait", "_acct")
-    return lines.join(found, ["doc_id", "seq"])
+    l = scan(l, running={"bloque": (c("abre") | c("abre_nombre")).cast("int")})
+    flags = [k for k in l.columns if k not in (*SPAN, "seq", "_cand", "_open", "_wait", "_acct")]
+    found = keep(l.groupBy(*SPAN).agg(F.sort_array(F.collect_list(F.struct("seq", *flags))).alias("_of")))
+    own = lines.join(found.hint("shuffle_hash"), SPAN).withColumn("_o", F.get("_of", c("_n"))).filter("_o.bloque > 0")
+    return own.select(*[k for k in lines.columns if k not in ("_span", "_n")], *[c(f"_o.{k}").alias(k) for k in flags],
+                      F.format_string("P%05d", c("_o.bloque")).alias("poliza_id"))
 
 
 def journal_entries(blocks: DataFrame, account_width: float = 25.0) -> DataFrame:

@@ -53,3 +53,19 @@ def test_lines_of_a_journal_are_packed_once(spark, monkeypatch):
     assert "Aggregate" not in seen[0]
     assert sorted((r.page, r.line, r.poliza_id, r.es_mov) for r in rows) == [
         (1, 0, "P00001", False), (1, 1, "P00001", True), (2, 0, "P00001", True), (3, 0, "P00002", False), (3, 1, "P00002", True)]
+
+
+def test_lines_of_a_journal_are_dealt_out_once(spark):
+    """Neither the scans nor the meeting of lines and flags moves a line; a block, its invoices and a waiting account go on over pages."""
+    text = [(1, 1, 0, "101-09 ANTES 1.00"), (1, 1, 1, "Tipo de poliza: Diario"), (1, 1, 2, "101-01 CARGO 5.00"), (1, 2, 0, "101-02"), (1, 3, 0, "SIGUE 6.00"),
+            (1, 3, 1, "CFDI"), (1, 4, 1000000, "01/02/2024 F-1"), (1, 5, 0, "Tipo de poliza: Egreso"), (1, 5, 1, "101-03 X 7.00"), (2, 1, 0, "Tipo de poliza: Diario")]
+    packed = rd.pack_lines(words(spark, text).withColumn("_span", rd.reading_span()).repartition(4, *rd.SPAN), ["_span"])
+    rows, moved = unmoved(spark, lambda: rd.journal_blocks(rd.dealt_lines(packed, 4)))
+    assert not moved
+    want = [(1, 1, 1, "P00001", False, False), (1, 1, 2, "P00001", True, False), (1, 2, 0, "P00001", False, False), (1, 3, 0, "P00001", False, False),
+            (1, 3, 1, "P00001", False, False), (1, 4, 1000000, "P00001", False, True), (1, 5, 0, "P00002", False, False), (1, 5, 1, "P00002", True, False), (2, 1, 0, "P00001", False, False)]
+    assert sorted((r.doc_id, r.page, r.line, r.poliza_id, r.es_mov, r.en_cfdi) for r in rows) == want
+    wait = {(r.page, r.line): (r.abre_envuelto, r.envuelto) for r in rows if r.doc_id == 1}
+    assert wait[2, 0][0] and wait[3, 0][1] == 2 << rd.PAGE_BITS and wait[5, 1][1] is None
+    plain = rd.journal_blocks(rd.pack_lines(words(spark, text)))
+    assert sorted((r.doc_id, r.page, r.line, r.poliza_id, r.es_mov, r.en_cfdi) for r in plain.collect()) == want
