@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cotejo.operators import rules_ledger as rl
 from cotejo.operators.rules_ledger import close_accounts, natures
 
 MONTHS = "doc_id long, cuenta string, orden int, seq long, c int, a int, s int"
@@ -51,3 +52,29 @@ def test_months_move_once(spark):
         "doc_id", "cuenta", F.col("i").cast("decimal(18,2)").alias("saldo_inicial"))
     plan = natures(heads, months)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and plan.count("LogicalRDD") <= 3
+
+
+def test_months_in_order_are_dealt_out_once_for_both_rules(spark):
+    """With the stored months V17 and V18 give the cases they give without, and V18 moves no month."""
+    rnd, rows = random.Random(9), []
+    for account in range(12):
+        for n in range(12):
+            rows.append((account % 3, f"A{account}", n + 1, (account << 18) + n, rnd.randint(0, 2), rnd.randint(0, 2), None if rnd.random() < 0.2 else rnd.randint(-2, 2)))
+    months = months_of(spark, rows).withColumn("periodo", F.col("orden").cast("string")).withColumn("acum_cargos", F.when(F.col("seq") % 5 > 0, F.col("acum_cargos")))
+    heads = spark.createDataFrame([(a % 3, f"A{a}", a, 0, "DA"[a % 2]) for a in range(12)], "doc_id long, cuenta string, seq long, i int, naturaleza string").select(
+        "doc_id", "cuenta", "seq", F.col("i").cast("decimal(18,2)").alias("saldo_inicial"), "naturaleza", F.col("i").cast("decimal(18,2)").alias("saldo_final"))
+    plain = [rl.monthly_balance(heads, months), rl.accumulated(months)]
+    both = rl.ledger_rules(heads, months)[:2]
+    for a, b in zip(plain, both, strict=True):
+        assert sorted(map(str, a.frame.collect())) == sorted(map(str, b.frame.collect()))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        moved = [r.frame._jdf.queryExecution().executedPlan().toString() for r in (plain[1], both[1])]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    carried = [sum("Exchange" in e and "_span#" in e and "REPARTITION" in e for e in p.split("\n")) for p in moved]
+    assert carried[0] > 0 and carried[1] == 0
